@@ -28,9 +28,11 @@ def aggregate_inputs(df: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_outputs(df: DataFrame) -> DataFrame:
+def aggregate_outputs(df: DataFrame, with_grade: bool = True) -> DataFrame:
     """One row per order and output material: total BFOUT, first species, mean dimensions, dominant grade.
 
+    `with_grade=False` leaves the grade out and with it the aggregation level it needs.
+
     The dominant grade is the one with the largest volume in the group, the smallest name on a tie. Volumes are summed
     per grade first; the second level merges those few rows, so no separate ranking or join is needed.
     """
@@ -45,6 +47,12 @@ def aggregate_outputs(df: DataFrame) -> DataFrame:
             first_by(F.col("MATERIALSPECIE")).alias("_specie"),
             F.min(F.when(known, F.col(SEQ))).alias("_specie_seq"),
         ]
+    if not with_grade:
+        return df.groupBy(ORDER, F.col("MATERIAL").alias("Output_Material")).agg(
+            F.sum("BFOUT").alias("Total_Output_BF"),
+            *([first_by(F.col("MATERIALSPECIE")).alias("Output_Specie")] if has_specie else []),
+            *[F.avg(c).alias(OUTPUT_NAMES[c]) for c in means],
+        )
     by_grade = df.groupBy(ORDER, "MATERIAL", *grade_keys).agg(
         F.sum("BFOUT").alias("_bf"),
         *specie,

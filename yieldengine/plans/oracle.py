@@ -36,14 +36,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     "raw101": (["movement"], "SELECT *, vol AS BFOUT FROM movement WHERE kind = 'O'"),
     "c261": (["raw261"], "SELECT * FROM raw261 WHERE NOT IS_DELETED"),
     "c101": (["raw101"], "SELECT * FROM raw101 WHERE NOT IS_DELETED"),
-    "product": (["movement"], """
-        SELECT MANUFACTURINGORDER, first(MATERIALSPECIE ORDER BY ln, pk, sk) AS product
-        FROM movement GROUP BY 1"""),
     "full261": (["movement"], "SELECT *, vol AS BFIN FROM movement WHERE NOT IS_DELETED"),
-    "full101": (["movement", "product"], """
-        SELECT m.* EXCLUDE (MATERIAL), p.product AS MATERIAL,
-               m.vol * (1.0::DOUBLE - round(m.loss * 100.0::DOUBLE) / 64.0::DOUBLE) AS BFOUT
-        FROM movement m JOIN product p USING (MANUFACTURINGORDER) WHERE NOT m.IS_DELETED"""),
+    "full101": (["movement"], """
+        SELECT * EXCLUDE (MATERIAL), 'Product#' || (CAST(MANUFACTURINGORDER AS BIGINT) % 6) AS MATERIAL,
+               vol * (1.0::DOUBLE - round(loss * 100.0::DOUBLE) / 64.0::DOUBLE) AS BFOUT
+        FROM movement WHERE NOT IS_DELETED"""),
 }
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldengine.functions import half_even
-from yieldengine.ml import evaluation
+from yieldengine.ml import classification, evaluation, regression
 from yieldengine.operators import cleaning, encode, forward, history, mix, orders, planning, simulate
 from yieldengine.operators.aggregates import aggregate_inputs, aggregate_outputs
 from yieldengine.operators.predictors import forward_predict, mean_yield_predictor
 from yieldengine.operators.volume import derive_input_volume, derive_output_volume
-from yieldengine.schema import FEATURE_COLUMNS, ORDER, SEQ
+from yieldengine.plans.datasets import prepare_dataset
+from yieldengine.schema import ORDER, SEQ
 from yieldengine.sources import ledgers
 from yieldengine.sources.testtables import full_ledgers, ledger_101, ledger_261, list_part, movements, table
 from yieldengine.staging import stage
@@ -45,13 +47,13 @@ def clean_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cleaning.clean_strict(ledger_261(spark, sf_dir)), cleaning.clean_strict(ledger_101(spark, sf_dir))
 
 
-def split_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.yield_history(*clean_pair(spark, sf_dir))
+def split_history(spark: SparkSession, sf_dir: str, with_grade: bool = True) -> DataFrame:
+    return history.yield_history(*clean_pair(spark, sf_dir), with_grade)
 
 
 def full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     issued, received = full_ledgers(spark, sf_dir)
-    return history.yield_history(cleaning.clean_strict(issued), cleaning.clean_strict(received))
+    return history.yield_history(cleaning.clean_strict(issued), cleaning.clean_strict(received), with_grade=False)
 
 
 def joined_text(column: str) -> Column:
@@ -61,10 +63,29 @@ def joined_text(column: str) -> Column:
 # ---------------------------------------------------------------- requests
 
 
+def as_table(fn: Query) -> Query:
+    """Requests and histories that several steps read are written once, as they would be in a planning run."""
+
+    @functools.wraps(fn)
+    def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return stage(fn(spark, sf_dir), fn.__name__)
+
+    return written
+
+
+@as_table
+def planning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_history(spark, sf_dir).select(
+        ORDER, "Input_Material", "Input_Plant", "Output_Material", "Total_Input_BF", "Total_Output_BF",
+        "Yield_Percentage",
+    )
+
+
 def material_plants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_261(spark, sf_dir).select("MATERIAL", "PLANT").distinct()
 
 
+@as_table
 def forward_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return material_plants(spark, sf_dir).select(
         F.concat_ws("|", "MATERIAL", "PLANT").alias("request_id"),
@@ -73,6 +94,7 @@ def forward_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@as_table
 def kd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per material and plant, plus per material with no further filter."""
     per_plant = material_plants(spark, sf_dir)
@@ -86,6 +108,7 @@ def kd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@as_table
 def line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per plant: a request of two lines (its two first materials) and one for a material nobody has used."""
     used = movements(spark, sf_dir).select("PLANT", "MATERIAL").distinct()
@@ -102,6 +125,7 @@ def line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.unionByName(new)
 
 
+@as_table
 def material_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per material, at the first plant that uses it."""
     return movements(spark, sf_dir).groupBy("MATERIAL").agg(F.min("PLANT").alias("Input_Plant")).select(
@@ -216,10 +240,10 @@ def yield_history(spark, sf_dir):
 
 @query
 def yield_outliers_removed(spark, sf_dir):
-    trimmed = history.remove_outlier_chain(split_history(spark, sf_dir))
-    return trimmed.select(
+    past = split_history(spark, sf_dir, with_grade=False).select(
         ORDER, "Input_Material", "Output_Material", "Total_Input_BF", "Total_Output_BF", "Yield_Percentage"
     )
+    return history.remove_outlier_chain(past)
 
 
 @query
@@ -231,25 +255,27 @@ def yield_valid_range(spark, sf_dir):
 
 @query
 def same_material_orders(spark, sf_dir):
-    return history.same_material_count(split_history(spark, sf_dir))
+    return history.same_material_count(split_history(spark, sf_dir, with_grade=False))
 
 
 @query
 def yield_statistics(spark, sf_dir):
     return rounded(
-        history.yield_statistics(split_history(spark, sf_dir)), 4,
+        history.yield_statistics(split_history(spark, sf_dir, with_grade=False)), 4,
         "mean_yield", "std_yield", "min_yield", "max_yield",
     )
 
 
 @query
 def yield_median(spark, sf_dir):
-    return rounded(history.yield_median(split_history(spark, sf_dir)), 6, "median_yield")
+    return rounded(history.yield_median(stage(
+        split_history(spark, sf_dir, with_grade=False).select("Input_Material", "Yield_Percentage"), "history"
+    )), 6, "median_yield")
 
 
 @query
 def yield_by_material(spark, sf_dir):
-    stats = history.yield_by_material(split_history(spark, sf_dir))
+    stats = history.yield_by_material(split_history(spark, sf_dir, with_grade=False))
     return rounded(stats, 4, "Mean_Yield", "Std_Yield", "Min_Yield", "Max_Yield").orderBy(
         F.col("Mean_Yield").desc(), "Input_Material", "Output_Material"
     )
@@ -257,7 +283,9 @@ def yield_by_material(spark, sf_dir):
 
 @query
 def material_yield_stats(spark, sf_dir):
-    stats = history.material_yield_stats(split_history(spark, sf_dir))
+    stats = history.material_yield_stats(stage(
+        split_history(spark, sf_dir, with_grade=False).select("Input_Material", "Yield_Percentage"), "history"
+    ))
     return rounded(stats, 4, "mean", "std", "min", "max", "q25", "q75")
 
 
@@ -323,7 +351,7 @@ def order_output_mix(spark, sf_dir):
 
 @query
 def share_count_vs_bf(spark, sf_dir):
-    outputs = aggregate_outputs(cleaning.clean_strict(ledger_101(spark, sf_dir)))
+    outputs = aggregate_outputs(cleaning.clean_strict(ledger_101(spark, sf_dir)), with_grade=False)
     return rounded(mix.compare_shares(outputs), 6, "Historical_Pct_count", "Historical_Pct_bf")
 
 
@@ -331,7 +359,7 @@ def share_count_vs_bf(spark, sf_dir):
 def expected_volume_by_material(spark, sf_dir):
     """Expected output of 90,000 BF at the ledgers' overall ratio, spread by volume share."""
     issued, received = clean_pair(spark, sf_dir)
-    outputs = aggregate_outputs(received)
+    outputs = aggregate_outputs(received, with_grade=False)
     shares = mix.share_by_volume(outputs)
     total_in = issued.agg(F.sum("BFIN")).scalar()
     total_out = received.agg(F.sum("BFOUT")).scalar()
@@ -341,7 +369,7 @@ def expected_volume_by_material(spark, sf_dir):
 
 @query
 def share_by_count(spark, sf_dir):
-    outputs = aggregate_outputs(cleaning.clean_strict(ledger_101(spark, sf_dir)))
+    outputs = aggregate_outputs(cleaning.clean_strict(ledger_101(spark, sf_dir)), with_grade=False)
     return rounded(mix.share_by_count(outputs), 6, "Historical_Pct")
 
 
@@ -369,7 +397,9 @@ def kd_lookup_totals(spark, sf_dir):
 
 @query
 def kd_totals_from_history(spark, sf_dir):
-    return mix.kd_lookup_totals_from_history(kd_requests(spark, sf_dir), split_history(spark, sf_dir))
+    return mix.kd_lookup_totals_from_history(
+        kd_requests(spark, sf_dir), split_history(spark, sf_dir, with_grade=False)
+    )
 
 
 @query
@@ -416,7 +446,7 @@ def typical_features(spark, sf_dir):
 
 @query
 def advanced_forward(spark, sf_dir):
-    predictor = mean_yield_predictor(full_history(spark, sf_dir))
+    predictor = mean_yield_predictor(planning_history(spark, sf_dir))
     plan = forward.advanced_forward(
         forward_requests(spark, sf_dir), ledger_261(spark, sf_dir), ledger_101(spark, sf_dir), predictor
     )
@@ -456,7 +486,7 @@ def encode_lookup(spark, sf_dir):
 
 @query
 def simulate_lines(spark, sf_dir):
-    past = full_history(spark, sf_dir)
+    past = planning_history(spark, sf_dir)
     rows = simulate.simulate_lines(line_requests(spark, sf_dir), past, mean_yield_predictor(past))
     return rounded(
         rows, 4, "Predicted_Yield_Pct", "Model_Yield_Pct", "Historical_Yield_Pct", "Yield_Std", "Predicted_Output_BF"
@@ -465,12 +495,12 @@ def simulate_lines(spark, sf_dir):
 
 @query
 def simulate_outputs(spark, sf_dir):
-    past = full_history(spark, sf_dir)
+    past = planning_history(spark, sf_dir)
     return simulate.simulate_outputs(line_requests(spark, sf_dir), past, mean_yield_predictor(past))
 
 
 def _enhanced(spark, sf_dir):
-    past = full_history(spark, sf_dir)
+    past = planning_history(spark, sf_dir)
     return simulate.simulate_outputs_enhanced(
         line_requests(spark, sf_dir), past, mean_yield_predictor(past), STAND_IN_R2
     )
@@ -507,14 +537,14 @@ def best_case_waste(spark, sf_dir):
 @query
 def fallback_predictions(spark, sf_dir):
     return simulate.fallback_predictions(
-        line_requests(spark, sf_dir), mean_yield_predictor(full_history(spark, sf_dir))
+        line_requests(spark, sf_dir), mean_yield_predictor(planning_history(spark, sf_dir))
     )
 
 
 @query
 def deduplicated_input(spark, sf_dir):
     """Input volume per input material with every order counted once although it has several outputs."""
-    return simulate.order_deduplicated_input(split_history(spark, sf_dir), ["Input_Material"])
+    return simulate.order_deduplicated_input(split_history(spark, sf_dir, with_grade=False), ["Input_Material"])
 
 
 # ---------------------------------------------------------------- planning
@@ -529,30 +559,30 @@ def _confident(spark, sf_dir, past):
 
 @query
 def forward_confidence(spark, sf_dir):
-    plan = planning.plan_forward(_confident(spark, sf_dir, full_history(spark, sf_dir)))
+    plan = planning.plan_forward(_confident(spark, sf_dir, planning_history(spark, sf_dir)))
     return plan.drop("required_output_bf", "safety_margin_pct")
 
 
 @query
 def forward_predict_lines(spark, sf_dir):
-    return forward_predict(line_requests(spark, sf_dir), mean_yield_predictor(full_history(spark, sf_dir)))
+    return forward_predict(line_requests(spark, sf_dir), mean_yield_predictor(planning_history(spark, sf_dir)))
 
 
 @query
 def reverse_plan(spark, sf_dir):
-    return planning.plan_reverse(_confident(spark, sf_dir, full_history(spark, sf_dir)))
+    return planning.plan_reverse(_confident(spark, sf_dir, planning_history(spark, sf_dir)))
 
 
 @query
 def reverse_predict(spark, sf_dir):
     return planning.reverse_predict(
-        material_requests(spark, sf_dir), mean_yield_predictor(full_history(spark, sf_dir))
+        material_requests(spark, sf_dir), mean_yield_predictor(planning_history(spark, sf_dir))
     )
 
 
 @query
 def compare_materials(spark, sf_dir):
-    past = full_history(spark, sf_dir)
+    past = planning_history(spark, sf_dir)
     compared = planning.compare_materials(
         _confident(spark, sf_dir, past), history.material_stats(past), prices(spark, sf_dir)
     )
@@ -562,7 +592,7 @@ def compare_materials(spark, sf_dir):
 @query
 def waste_estimate(spark, sf_dir):
     scored = forward_predict(
-        material_requests(spark, sf_dir), mean_yield_predictor(full_history(spark, sf_dir))
+        material_requests(spark, sf_dir), mean_yield_predictor(planning_history(spark, sf_dir))
     )
     return planning.waste_estimate(scored, "Total_Input_BF", "predicted_yield_pct").select(
         "request_id", "predicted_yield_pct", "output_bf", "waste_bf", "waste_pct"
@@ -571,7 +601,7 @@ def waste_estimate(spark, sf_dir):
 
 @query
 def anomaly_orders(spark, sf_dir):
-    past = stage(full_history(spark, sf_dir), "history")
+    past = planning_history(spark, sf_dir)
     stats = stage(history.material_stats(past).coalesce(1), "material-stats")
     found = planning.detect_anomalies(past, mean_yield_predictor(past, staged=True), stats)
     return found.select(
@@ -586,7 +616,7 @@ def anomaly_orders(spark, sf_dir):
 
 def _scored_test_rows(spark, sf_dir):
     """Held-out fifth of the history (by order hash) scored with the means of the rest."""
-    past = evaluation.with_split(full_history(spark, sf_dir), [ORDER, "Output_Material"], SEED)
+    past = evaluation.with_split(planning_history(spark, sf_dir), [ORDER, "Output_Material"], SEED)
     predictor = mean_yield_predictor(past.where(~F.col("is_test")))
     scored = forward_predict(past.where("is_test"), predictor)
     return evaluation.test_results(
@@ -624,7 +654,7 @@ def split_and_folds(spark, sf_dir):
     """How many rows of every input material fall in the test part and in each cross-validation fold."""
     keys = [ORDER, "Output_Material"]
     past = evaluation.with_folds(
-        evaluation.with_split(split_history(spark, sf_dir), keys, SEED), keys, SEED, 5
+        evaluation.with_split(split_history(spark, sf_dir, with_grade=False), keys, SEED), keys, SEED, 5
     )
     return past.groupBy("Input_Material", "is_test", "fold").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -633,7 +663,7 @@ def split_and_folds(spark, sf_dir):
 def stratified_split(spark, sf_dir):
     """Per output material: rows and how many a stratified split holds out."""
     past = evaluation.with_stratified_split(
-        split_history(spark, sf_dir), "Output_Material", [ORDER, "Output_Material"], SEED
+        split_history(spark, sf_dir, with_grade=False), "Output_Material", [ORDER, "Output_Material"], SEED
     )
     return past.groupBy("Output_Material").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("held_out")
@@ -642,4 +672,109 @@ def stratified_split(spark, sf_dir):
 
 @query
 def class_weights(spark, sf_dir):
-    return rounded(evaluation.class_weights(split_history(spark, sf_dir), "Output_Material"), 8, "weight")
+    return rounded(evaluation.class_weights(split_history(spark, sf_dir, with_grade=False), "Output_Material"), 8, "weight")
+
+
+# ---------------------------------------------------------------- trained models
+#
+# All rows are used. The ensembles are smaller than the defaults in yieldengine.ml (200 trees of depth 15, 200 boosting
+# rounds, 5 folds) because the check runs them on one machine; the code path is the same.
+
+SMALL_YIELD_MODELS = regression.TrainingSpec(
+    forest_trees=20, forest_depth=8, boost_rounds=10, boost_depth=5, folds=3
+)
+SMALL_CLASSIFIERS = classification.ClassifierSpec(
+    forest_trees=20, forest_depth=8, boost_rounds=5, boost_depth=4
+)
+
+
+def once_per_session(fn):
+    """Training runs once per session and folder; the queries below read the same trained models."""
+    kept = {}
+
+    @functools.wraps(fn)
+    def trained(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in kept:
+            kept[key] = fn(spark, sf_dir)
+        return kept[key]
+
+    return trained
+
+
+@once_per_session
+def prepared(spark, sf_dir):
+    return prepare_dataset(*full_ledgers(spark, sf_dir))
+
+
+@once_per_session
+def yield_models(spark, sf_dir):
+    data = prepared(spark, sf_dir)
+    return regression.train_yield_models(data.history, data.encoders, SMALL_YIELD_MODELS)
+
+
+@once_per_session
+def output_classifiers(spark, sf_dir):
+    data = prepared(spark, sf_dir)
+    return classification.train_output_classifier(data.history, data.encoders, SMALL_CLASSIFIERS)
+
+
+@query
+def train_yield_models(spark, sf_dir):
+    return yield_models(spark, sf_dir).comparison()
+
+
+@query
+def cv_scores(spark, sf_dir):
+    return regression.cv_table(regression.metrics_table(spark, yield_models(spark, sf_dir).metrics))
+
+
+@query
+def feature_importance(spark, sf_dir):
+    return regression.top_features(yield_models(spark, sf_dir).importance())
+
+
+@query
+def model_predictions(spark, sf_dir):
+    """Held-out rows with the best model's prediction and error."""
+    return yield_models(spark, sf_dir).test_results
+
+
+@query
+def score_yield(spark, sf_dir):
+    """One typical request per material and plant, scored by the best model."""
+    requests = forward_requests(spark, sf_dir)
+    typical = forward.typical_features(requests, ledger_261(spark, sf_dir)).withColumns({
+        "Input_Material": F.col("ks_material"), "Input_Plant": F.col("plant"), "Total_Input_BF": F.lit(10000.0),
+    })
+    return forward_predict(typical, yield_models(spark, sf_dir).predictor())
+
+
+@query
+def advanced_forward_model(spark, sf_dir):
+    return forward.advanced_forward(
+        forward_requests(spark, sf_dir), ledger_261(spark, sf_dir), ledger_101(spark, sf_dir),
+        yield_models(spark, sf_dir).predictor(),
+    )
+
+
+@query
+def simple_forest(spark, sf_dir):
+    """The four-feature forest on orders with a valid yield."""
+    issued, received = full_ledgers(spark, sf_dir)
+    past = history.valid_yield_orders(cleaning.clean_lenient(issued), cleaning.clean_lenient(received))
+    return regression.simple_yield_forest(past, SMALL_YIELD_MODELS).comparison()
+
+
+@query
+def output_classifier_topk(spark, sf_dir):
+    requests = forward_requests(spark, sf_dir)
+    typical = forward.typical_features(requests, ledger_261(spark, sf_dir)).withColumns({
+        "Input_Material": F.col("ks_material"), "Input_Plant": F.col("plant"), "Total_Input_BF": F.lit(10000.0),
+    })
+    return classification.predict_top_k(typical, output_classifiers(spark, sf_dir), 5)
+
+
+@query
+def classifier_metrics(spark, sf_dir):
+    return classification.metrics_table(spark, output_classifiers(spark, sf_dir).metrics)
