@@ -130,10 +130,12 @@ def _scores(model: PipelineModel, rows: DataFrame) -> dict:
     return evaluation.regression_metrics(model.transform(rows), TARGET, "prediction").first().asDict()
 
 
-def in_parallel(jobs: dict[str, Callable[[], object]], parallelism: int) -> dict[str, object]:
+def in_parallel(
+    spark: SparkSession, jobs: dict[str, Callable[[], object]], parallelism: int
+) -> dict[str, object]:
     """Run independent fits at once; each is a chain of Spark jobs and the cluster interleaves them."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        running = {key: pool.submit(inheritable_thread_target(job)) for key, job in jobs.items()}
+        running = {key: pool.submit(inheritable_thread_target(spark)(job)) for key, job in jobs.items()}
         return {key: future.result() for key, future in running.items()}
 
 
@@ -179,7 +181,7 @@ def train_yield_models(
         jobs[name] = lambda name=name: fit(name, spec, used, train)
         if spec.folds > 1:
             jobs[f"cv:{name}"] = lambda name=name: cross_validate(name, spec, used, train)
-    done = in_parallel(jobs, spec.parallelism)
+    done = in_parallel(spark, jobs, spec.parallelism)
 
     models = {name: done[name] for name in spec.models}
     metrics = []
@@ -267,7 +269,7 @@ def simple_yield_forest(
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
     jobs: dict[str, Callable[[], object]] = {"model": lambda: forest(train)}
     jobs |= {f"fold{k}": lambda k=k: fold_score(k) for k in range(spec.folds)}
-    done = in_parallel(jobs, spec.parallelism)
+    done = in_parallel(spark, jobs, spec.parallelism)
     scores = [done[f"fold{k}"] for k in range(spec.folds)]
     mean, std = _spread(scores)
     model, on_test = done["model"], _scores(done["model"], test)
