@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from yieldengine.staging import stage
+
 ACCURACY = 10_000
 _SLACK = 3.0 / ACCURACY
 
@@ -44,7 +46,8 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, names: dict[s
     ])
     bracketed = sketch.select(*keys, brackets.alias("_b"))
     if keys:
-        placed = values.join(bracketed, keys)
+        # one row per key, written first: its size is then known, and below the broadcast threshold `values` stays put
+        placed = values.join(stage(bracketed, "brackets"), keys)
     else:
         placed = values.withColumn("_b", bracketed.scalar())
     ranked_in = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldengine.functions import repeatable_bucket
+from yieldengine.staging import stage
 
 TEST_PERCENT = 20
 STRATA_BUCKETS = 4096
@@ -42,7 +43,7 @@ def with_stratified_split(
             "_bucket",
         ).alias("_at"))
     )
-    placed = hashed.join(cuts, label)
+    placed = hashed.join(stage(cuts, "strata"), label)
     whole = placed.where(F.col("_bucket") != F.col("_at.cut")).withColumn(
         "is_test", F.col("_bucket") < F.col("_at.cut")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from yieldengine.functions import half_even
 from yieldengine.schema import ORDER, SEQ
+from yieldengine.staging import stage
 
 LIST_ROWS = 100_000
 
@@ -35,12 +36,14 @@ def materials_per_order(df: DataFrame, part: Column | None = None, list_rows: in
     """Every material of an order in row order, repeats included.
 
     An order with more than `list_rows` rows continues in further list parts, cut by `part` (a coarse, order-preserving
-    prefix of the row sequence), so no task ever builds an unbounded list and no row is lost.
+    prefix of the row sequence), so no task ever builds an unbounded list and no row is lost. The few long orders are
+    written first, so their known size lets the ledger join them without moving.
     """
     if part is None:
         numbered = df.withColumn("list_part", F.lit(0).cast("bigint"))
     else:
-        oversize = df.groupBy(ORDER).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > list_rows)
+        counts = df.groupBy(ORDER).agg(F.count(F.lit(1)).alias("_rows"))
+        oversize = stage(counts.where(F.col("_rows") > list_rows), "long-orders")
         numbered = df.join(oversize, ORDER, "left").withColumn(
             "list_part", F.when(F.col("_rows").isNotNull(), part.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         )

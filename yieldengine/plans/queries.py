@@ -417,7 +417,9 @@ def kd_lookup(spark, sf_dir):
 @query
 def production_order(spark, sf_dir):
     requests = kd_requests(spark, sf_dir)
-    rows = mix.allocate_with_wastage(requests, mix.kd_distribution(requests, split_history(spark, sf_dir)))
+    rows = stage(
+        mix.allocate_with_wastage(requests, mix.kd_distribution(requests, split_history(spark, sf_dir))), "allocation"
+    )
     selection = rows.where(F.col("Percentage") >= 5)
     order = mix.production_order(rows, selection)
     return rounded(order, 2, "selected_bf", "selected_pct").select(

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # recording a Python call site for every column expression costs more than building the plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
