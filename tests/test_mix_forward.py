@@ -4,7 +4,7 @@ import pytest
 from conftest import by
 from pyspark.sql import functions as F
 
-from yieldengine.operators import forward, mix
+from yieldengine.operators import forward, mix, ranking
 from yieldengine.operators.predictors import mean_yield_predictor
 from yieldengine.schema import FORWARD_REQUEST, KD_REQUEST, ORDER
 from yieldengine.sources.ledgers import demo_ledgers, from_rows
@@ -54,6 +54,10 @@ def test_distribution_filters_and_fallback(spark, history):
     plan = by(allocated, "request_id", "Output_Material", "Output_Grade")
     assert plan["any", "K1", "G1"]["Expected_Output_BF"] == 7280 and plan["any", "K1", "G1"]["total_expected_bf"] == 9100
     assert plan["none", None, None]["available_bf"] == 0 and plan["none", None, None]["total_expected_bf"] == 0
+    ranked = ranking.by_expected_volume(allocated.where("request_id = 'any'")).collect()
+    assert [r["Expected_Output_BF"] for r in ranked] == [7280, 1365, 455]
+    listed = ranking.by_material_and_volume(found.where("request_id = 'any'")).collect()
+    assert [(r["Output_Material"], r["BF_Output"]) for r in listed] == [("K1", 160), ("K1", 10), ("K2", 30)]
     order = mix.production_order(allocated, allocated.where("Percentage >= 10 and request_id = 'any'"))
     assert {(r["Output_Material"], r["Planned_Output_BF"]) for r in order.collect()} == {("K1", 7280.0), ("K2", 1365.0)}
     assert order.first()["selected_pct"] == 95

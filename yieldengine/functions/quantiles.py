@@ -78,56 +78,62 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, names: dict[s
 def column_quantiles(df: DataFrame, column: str, probabilities: list[float], window: int = 100_000) -> list[float]:
     """Exact quantiles of one column as driver scalars; `df` is scanned a few times, so pass a staged table.
 
-    Each pass narrows a bracket around the wanted ranks until it holds at most `window` rows (or a single value), and
-    only those are sorted. Runs two aggregations on small data, one or two more for every ten-thousandfold of rows.
+    Each pass narrows the brackets around the wanted ranks until they hold at most `window` rows (or a single value),
+    and only those are sorted. Two passes on small data, one more for every ten-thousandfold of rows.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     edges = values.agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("v", _probes(probabilities), ACCURACY).alias("e"),
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
     ).first()
-    if not edges["n"]:
+    n = edges["n"]
+    if not n:
         return [None for _ in probabilities]
-    results = []
-    for i, p in enumerate(probabilities):
-        position = p * (edges["n"] - 1)
-        low_rank, high_rank = int(position // 1), int(-(-position // 1))
-        if edges["n"] <= window:
-            bracket = (edges["lo"], edges["hi"])
-        else:
-            bracket = (edges["e"][2 * i], edges["e"][2 * i + 1])
-        low, high = _order_statistics(values, bracket, low_rank, high_rank, window)
-        results.append(low + (position - low_rank) * (high - low))
-    return results
-
-
-def _order_statistics(
-    values: DataFrame, bracket: tuple[float, float], low_rank: int, high_rank: int, window: int
-) -> tuple[float, float]:
-    settled = False
-    while True:
-        lo, hi = bracket
-        inside = F.col("v").between(lo, hi)
-        counts = values.agg(
-            F.count_if(F.col("v") < F.lit(lo)).alias("below"), F.count_if(inside).alias("inside"),
-        ).first()
-        first, last = low_rank - counts["below"], high_rank - counts["below"]
-        if first < 0 or last >= counts["inside"]:
-            raise RuntimeError("rank outside its bracket")
-        if lo == hi:
-            return lo, hi
-        if counts["inside"] <= window or settled:
-            ranked = values.where(inside).groupBy("v").count()
-            upto = F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            picked = ranked.withColumn("upto", upto).agg(
-                F.min(F.when(F.col("upto") > first, F.col("v"))).alias("low"),
-                F.min(F.when(F.col("upto") > last, F.col("v"))).alias("high"),
-            ).first()
-            return picked["low"], picked["high"]
-        probes = [
-            max(first / counts["inside"] - _SLACK, 0.0), min((last + 1) / counts["inside"] + _SLACK, 1.0),
-        ]
-        narrower = tuple(values.where(inside).agg(F.percentile_approx("v", probes, ACCURACY)).first()[0])
-        # both edges are values repeated so often that only a sliver lies between them
-        settled = narrower == bracket
-        bracket = narrower
+    positions = [p * (n - 1) for p in probabilities]
+    ranks = [(int(position // 1), int(-(-position // 1))) for position in positions]
+    if n <= window:
+        pairs = _pick(values, ranks)
+    else:
+        brackets = [(edges["e"][2 * i], edges["e"][2 * i + 1]) for i in range(len(probabilities))]
+        pairs = _narrow(values, brackets, ranks, window)
+    return [low + (position - rank[0]) * (high - low) for position, rank, (low, high) in zip(positions, ranks, pairs)]
+
+
+def _pick(values: DataFrame, ranks: list[tuple[int, int]]) -> list[tuple[float, float]]:
+    """Values at the given 0-based ranks, by a running count over the distinct values."""
+    upto = F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = values.groupBy("v").count().withColumn("upto", upto)
+    picked = ranked.agg(*[F.min(F.when(F.col("upto") > rank, F.col("v"))) for pair in ranks for rank in pair]).first()
+    return [(picked[2 * i], picked[2 * i + 1]) for i in range(len(ranks))]
+
+
+def _narrow(
+    values: DataFrame, brackets: list[tuple[float, float]], ranks: list[tuple[int, int]], window: int
+) -> list[tuple[float, float]]:
+    found: dict[int, tuple[float, float]] = {}
+    settled: set[int] = set()
+    while len(found) < len(ranks):
+        open_ones = [i for i in range(len(ranks)) if i not in found]
+        inside = {i: F.col("v").between(*brackets[i]) for i in open_ones}
+        counts = values.agg(*[
+            c for i in open_ones for c in (
+                F.count_if(F.col("v") < F.lit(brackets[i][0])).alias(f"below{i}"), F.count_if(inside[i]).alias(f"in{i}"),
+            )
+        ]).first()
+        for i in open_ones:
+            held = counts[f"in{i}"]
+            first, last = (rank - counts[f"below{i}"] for rank in ranks[i])
+            if first < 0 or last >= held:
+                raise RuntimeError("rank outside its bracket")
+            if brackets[i][0] == brackets[i][1]:
+                found[i] = brackets[i]
+            elif held <= window or i in settled:
+                found[i] = _pick(values.where(inside[i]), [(first, last)])[0]
+            else:
+                probes = [max(first / held - _SLACK, 0.0), min((last + 1) / held + _SLACK, 1.0)]
+                sketch = values.where(inside[i]).agg(F.percentile_approx("v", probes, ACCURACY)).first()[0]
+                narrower = (sketch[0], sketch[1])
+                if narrower == brackets[i]:
+                    # both edges are values repeated so often that only a sliver lies between them
+                    settled.add(i)
+                brackets[i] = narrower
+    return [found[i] for i in range(len(ranks))]

@@ -31,7 +31,7 @@ def _optional_match(requests: DataFrame, facts: DataFrame, filters: dict[str, st
     """Join on the material plus every filter the request gives; a null filter accepts anything."""
     on = F.col("r.material") == F.col(f"h.{material}")
     for given, column in filters.items():
-        if column in facts.columns:
+        if given in requests.columns and column in facts.columns:
             on = on & (F.col(f"r.{given}").isNull() | (F.col(f"r.{given}") == F.col(f"h.{column}")))
     return requests.alias("r").join(facts.alias("h"), on)
 
@@ -71,14 +71,18 @@ def expected_volume(input_bf: Column, total_in: Column, total_out: Column, share
     return {"expected_output": total, "expected_material_bf": total * (share_pct / F.lit(100.0))}
 
 
-def distribution_cells(history: DataFrame) -> DataFrame:
-    """Order counts, volumes and yield sums per input attributes and output material / grade."""
+def _usable(filters: dict[str, str], requests: DataFrame, facts: DataFrame) -> list[str]:
+    """Fact columns that some request can filter on; grouping by any other would only make the cells finer."""
+    return [c for given, c in filters.items() if given in requests.columns and c in facts.columns]
+
+
+def distribution_cells(history: DataFrame, filters: list[str]) -> DataFrame:
+    """Order counts, volumes and yield sums per input material, filter columns and output material / grade."""
     if "Output_Grade" not in history.columns:
         history = history.withColumn("Output_Grade", F.lit("N/A"))
-    keys = ["Input_Material", *[c for c in HISTORY_FILTERS.values() if c in history.columns]]
     return (
         history.where(F.col("Output_Material").isNotNull() & F.col("Output_Grade").isNotNull())
-        .groupBy(*keys, "Output_Material", "Output_Grade")
+        .groupBy("Input_Material", *filters, "Output_Material", "Output_Grade")
         .agg(F.sum("Total_Output_BF").alias("bf"), *moments(F.col("Yield_Percentage"), "y"))
     )
 
@@ -88,7 +92,8 @@ def kd_distribution(requests: DataFrame, history: DataFrame) -> DataFrame:
 
     Shares use volume; a request whose matching history carries no volume falls back to order counts.
     """
-    found = _optional_match(requests, distribution_cells(history), HISTORY_FILTERS, "Input_Material")
+    cells = distribution_cells(history, _usable(HISTORY_FILTERS, requests, history))
+    found = _optional_match(requests, cells, HISTORY_FILTERS, "Input_Material")
     n, s1, s2 = F.sum("h.y_n"), F.sum("h.y_s1"), F.sum("h.y_s2")
     stats = found.groupBy(
         F.col("r.request_id").alias("request_id"),
@@ -134,7 +139,7 @@ def kd_lookup_totals(requests: DataFrame, raw_261: DataFrame, raw_101: DataFrame
     The output of an order is credited in full to every matching request that consumed anything in it. Both ledgers
     are reduced to order grain first, so an order with very many lines enters the join as a few rows.
     """
-    filters = [c for c in LEDGER_FILTERS.values() if c in raw_261.columns]
+    filters = _usable(LEDGER_FILTERS, requests, raw_261)
     lines = raw_261.groupBy(ORDER, "MATERIAL", *filters).agg(F.sum("BFIN").alias("bfin"))
     orders = (
         _optional_match(requests, lines, LEDGER_FILTERS, "MATERIAL")
@@ -147,7 +152,7 @@ def kd_lookup_totals(requests: DataFrame, raw_261: DataFrame, raw_101: DataFrame
 
 def kd_lookup_totals_from_history(requests: DataFrame, history: DataFrame) -> DataFrame:
     """The same totals from the joined history, an order's input counted once however many outputs it has."""
-    filters = [c for c in HISTORY_FILTERS.values() if c in history.columns]
+    filters = _usable(HISTORY_FILTERS, requests, history)
     per_order = history.groupBy(ORDER, "Input_Material", *filters).agg(
         F.max("Total_Input_BF").alias("bfin"), F.sum("Total_Output_BF").alias("bfout")
     )

@@ -463,6 +463,16 @@ def oracle_sql() -> dict[str, str]:
                          90000.0::DOUBLE * ((SELECT sum(BFOUT) FROM c101) / (SELECT sum(BFIN) FROM c261)) AS total
                   FROM (SELECT MATERIAL, sum(BFOUT) AS bf FROM c101 GROUP BY 1))"""),
         "kd_distribution": sql(["kd"], "SELECT * FROM kd"),
+        "kd_distribution_by_grade": sql(["raw261", "history"], f"""
+            SELECT *, {r('BF_Output / sum(BF_Output) OVER (PARTITION BY request_id) * 100.0::DOUBLE', 2)} AS Percentage
+            FROM (SELECT q.MATERIAL || '|' || q.TALLYGRADE AS request_id, h.Output_Material, h.Output_Grade,
+                         {r('sum(h.Total_Output_BF)', 2)} AS BF_Output, count(*) AS Order_Count,
+                         {r('avg(h.Yield_Percentage)', 2)} AS Avg_Yield,
+                         {r('coalesce(stddev_samp(h.Yield_Percentage), 0)', 2)} AS Yield_Std
+                  FROM (SELECT DISTINCT MATERIAL, TALLYGRADE FROM raw261) q JOIN history h
+                       ON h.Input_Material = q.MATERIAL AND h.Input_Grade = q.TALLYGRADE
+                          AND (q.TALLYGRADE <> 'R' OR h.Input_Specie = 'ECONOMY')
+                  GROUP BY 1, 2, 3)"""),
         "kd_wastage_allocation": sql(["kd_alloc"], """
             SELECT request_id, Output_Material, Output_Grade, Percentage, wastage_bf, available_bf, Expected_Output_BF,
                    total_expected_bf FROM kd_alloc"""),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from yieldengine.functions import half_even
 from yieldengine.ml import classification, evaluation, regression
-from yieldengine.operators import cleaning, encode, forward, history, mix, orders, planning, simulate
+from yieldengine.operators import cleaning, encode, forward, history, mix, orders, planning, ranking, simulate
 from yieldengine.operators.aggregates import aggregate_inputs, aggregate_outputs
 from yieldengine.operators.predictors import forward_predict, mean_yield_predictor
 from yieldengine.operators.volume import derive_input_volume, derive_output_volume
@@ -102,8 +102,7 @@ def kd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_plant.unionByName(everywhere).select(
         F.concat_ws("|", "MATERIAL", F.coalesce("PLANT", F.lit("*"))).alias("request_id"),
         F.col("MATERIAL").alias("material"),
-        F.lit(None).cast("double").alias("thickness"), F.lit(None).cast("string").alias("grade"),
-        F.lit(None).cast("string").alias("species"), F.col("PLANT").alias("plant"),
+        F.col("PLANT").alias("plant"),
         F.lit(10000.0).alias("input_bf"), F.lit(9.0).alias("wastage_pct"),
     )
 
@@ -276,9 +275,7 @@ def yield_median(spark, sf_dir):
 @query
 def yield_by_material(spark, sf_dir):
     stats = history.yield_by_material(split_history(spark, sf_dir, with_grade=False))
-    return rounded(stats, 4, "Mean_Yield", "Std_Yield", "Min_Yield", "Max_Yield").orderBy(
-        F.col("Mean_Yield").desc(), "Input_Material", "Output_Material"
-    )
+    return ranking.by_mean_yield(rounded(stats, 4, "Mean_Yield", "Std_Yield", "Min_Yield", "Max_Yield"))
 
 
 @query
@@ -375,7 +372,25 @@ def share_by_count(spark, sf_dir):
 
 @query
 def kd_distribution(spark, sf_dir):
-    return mix.kd_distribution(kd_requests(spark, sf_dir), split_history(spark, sf_dir))
+    found = mix.kd_distribution(kd_requests(spark, sf_dir), split_history(spark, sf_dir))
+    return ranking.by_material_and_volume(found)
+
+
+@as_table
+def graded_requests(spark, sf_dir):
+    """Per material and input grade; every other one asks for the species too, as a filter that may be null."""
+    seen = ledger_261(spark, sf_dir).select("MATERIAL", "TALLYGRADE").distinct()
+    species = F.when(F.col("TALLYGRADE") == "R", F.lit("ECONOMY"))
+    return seen.select(
+        F.concat_ws("|", "MATERIAL", "TALLYGRADE").alias("request_id"), F.col("MATERIAL").alias("material"),
+        F.col("TALLYGRADE").alias("grade"), species.alias("species"),
+        F.lit(10000.0).alias("input_bf"), F.lit(9.0).alias("wastage_pct"),
+    )
+
+
+@query
+def kd_distribution_by_grade(spark, sf_dir):
+    return mix.kd_distribution(graded_requests(spark, sf_dir), split_history(spark, sf_dir))
 
 
 @query
@@ -498,7 +513,8 @@ def simulate_lines(spark, sf_dir):
 @query
 def simulate_outputs(spark, sf_dir):
     past = planning_history(spark, sf_dir)
-    return simulate.simulate_outputs(line_requests(spark, sf_dir), past, mean_yield_predictor(past))
+    found = simulate.simulate_outputs(line_requests(spark, sf_dir), past, mean_yield_predictor(past))
+    return ranking.by_predicted_yield(found)
 
 
 def _enhanced(spark, sf_dir):
@@ -510,7 +526,7 @@ def _enhanced(spark, sf_dir):
 
 @query
 def simulate_outputs_enhanced(spark, sf_dir):
-    return _enhanced(spark, sf_dir)
+    return ranking.by_recommendation(_enhanced(spark, sf_dir))
 
 
 @query
