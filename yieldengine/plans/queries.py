@@ -680,8 +680,9 @@ def split_and_folds(spark, sf_dir):
 @query
 def stratified_split(spark, sf_dir):
     """Per output material: rows and how many a stratified split holds out."""
+    labelled = split_history(spark, sf_dir, with_grade=False).select(ORDER, "Output_Material")
     past = evaluation.with_stratified_split(
-        split_history(spark, sf_dir, with_grade=False), "Output_Material", [ORDER, "Output_Material"], SEED
+        stage(labelled, "labelled"), "Output_Material", [ORDER, "Output_Material"], SEED
     )
     return past.groupBy("Output_Material").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("held_out")
