@@ -61,7 +61,10 @@ def _history_for(units: DataFrame, unit: list[str], pairs: DataFrame) -> DataFra
 
 
 def _candidates(requests: DataFrame, history: DataFrame, predictor: Predictor) -> DataFrame:
-    """One row per request and possible output: pooled history beside the mean model yield of its lines."""
+    """One row per request and possible output: pooled history beside the mean model yield of its lines.
+
+    The material names of a request are listed in line order; a request is one planning form, so its lines are few.
+    """
     lines = forward_predict(requests, predictor)
     names = F.sort_array(F.collect_list(F.struct("line_no", "Input_Material")))
     asked = lines.groupBy("request_id").agg(
