@@ -20,6 +20,12 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Separators of words that leave out ASCII punctuation, and of words of letters only (bytes above 127 count as letters).
+PUNCTUATED = SPACE.copy()
+PUNCTUATED[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+NOT_LETTER = PUNCTUATED.copy()
+NOT_LETTER[:65] = True
+
 _random = np.random.default_rng(20_240_601)
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE[LOWER]
@@ -92,16 +98,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _SLOT[63])
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without white space."""
+def word_spans(data: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs without separators."""
     solid = np.empty(len(data) + 2, dtype=np.int8)
     solid[0] = solid[-1] = 0
-    solid[1:-1] = ~SPACE[data]
+    solid[1:-1] = ~gap[data]
     step = np.diff(solid)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def document_words(column: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
+def document_words(column: pa.Array, lower: bool = True, gap: np.ndarray = SPACE) -> Iterator[np.ndarray]:
     """For each row, in order, the fingerprints of all its words (A-Z lower-cased if asked)."""
     data, offsets = utf8(column)
     row = 0
@@ -112,23 +118,23 @@ def document_words(column: pa.Array, lower: bool = True) -> Iterator[np.ndarray]
         row = last
         if last == first + 1:
             parts = [
-                span_hashes(data[a:b], *word_spans(data[a:b]), lower=lower)
+                span_hashes(data[a:b], *word_spans(data[a:b], gap), lower=lower)
                 for a, b in pieces(data, int(offsets[first]), int(offsets[last]))
             ]
             yield np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
             continue
         base = int(offsets[first])
         block = data[base : int(offsets[last])]
-        starts, ends = word_spans_of_rows(block, offsets[first : last + 1] - base)
+        starts, ends = word_spans_of_rows(block, offsets[first : last + 1] - base, gap)
         hashes = span_hashes(block, starts, ends, lower=lower)
         cut = np.searchsorted(starts, offsets[first : last + 1] - base)
         for i in range(last - first):
             yield hashes[cut[i] : cut[i + 1]]
 
 
-def word_spans_of_rows(block: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans_of_rows(block: np.ndarray, bounds: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word spans of a block of whole rows: a row's end also ends a word."""
-    solid = ~SPACE[block]
+    solid = ~gap[block]
     inner = bounds[1:-1]
     before = np.empty(len(block), dtype=bool)
     if len(block):
