@@ -2,24 +2,66 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from yieldengine.llm import setjoin
+from yieldengine.llm import decontaminate, pieces, quality, setjoin, toxicity
+
+#: Folder of the public vocabulary files; every node has it.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def model_file(name: str = "piece_bpe_32k.model") -> str:
+    return f"{os.environ.get('TOKENIZER_DIR', TOKENIZERS)}/{name}"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity and grade."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_severity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_severity(docs, model, ["doc_id"])
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component of near copies."""
     return setjoin.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a copy of a benchmark item, with the score and place of the best alignment."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being good."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model, ["doc_id"])
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
+    encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), model_file())
+    return encoded.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_jaccard_join,)}
+    found = (
+        op2_toxicity, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
+    )
+    return {f.__name__: f for f in found}
 
 
 def llm_oracle_sql() -> dict[str, str]:
