@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldengine.llm import decontaminate, pieces, quality, setjoin, toxicity
+from yieldengine.llm import decontaminate, pieces, quality, setjoin, toxicity, urls
 
 #: Folder of the public vocabulary files; every node has it.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_severity(docs, model, ["doc_id"])
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; a page's outcome is the label of the document of the same number."""
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), outcomes).drop("lower")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component of near copies."""
     return setjoin.jaccard_components(_table(spark, sf_dir, "documents"))
@@ -59,10 +66,54 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op2_toxicity, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
+        op2_toxicity, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
     )
     return {f.__name__: f for f in found}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": URL_FILTER_SQL}
+
+
+def _level_sql(level: str, prior: str) -> str:
+    """Strength of a level's prior by moments, as in `urls`."""
+    return f"""(SELECT least(greatest(CASE WHEN r IS NULL OR r <= 0 THEN 1000.0 ELSE (1 - r) / r END, 1.0), 1000.0) AS s FROM (
+        SELECT sum((bad - n * {prior}) * (bad - n * {prior}) - n * {prior} * (1 - {prior}))
+            / nullif(sum(n * (n - 1) * {prior} * (1 - {prior})), 0) AS r FROM {level} WHERE n > 0))"""
+
+
+URL_FILTER_SQL = f"""
+WITH given AS (
+    SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages),
+known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+hosts AS (
+    SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad,
+        regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
+    FROM given LEFT JOIN known USING (page_id) GROUP BY host),
+total AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS overall FROM hosts),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(overall) AS prior FROM hosts, total GROUP BY suffix),
+suffix_means AS (SELECT suffix, (bad + s * prior) / (n + s) AS suffix_mean FROM suffixes, {_level_sql("suffixes", "prior")}),
+domains AS (
+    SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(suffix_mean) AS suffix_mean
+    FROM hosts JOIN suffix_means USING (suffix) GROUP BY domain, suffix),
+domain_means AS (
+    SELECT domain, (bad + s * suffix_mean) / (n + s) AS domain_mean FROM domains, {_level_sql("domains", "suffix_mean")}),
+placed AS (SELECT * FROM hosts JOIN domain_means USING (domain)),
+judged AS (
+    SELECT host, (bad + s * domain_mean) / (n + s) AS m, n + s + 1 AS size FROM placed, {_level_sql("placed", "domain_mean")}),
+fitted AS (
+    SELECT page_id, host, path, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM given)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN m - 1.2816 * sqrt(m * (1 - m) / size) > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM fitted JOIN judged USING (host)
+"""
