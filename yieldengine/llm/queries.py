@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldengine.llm import decontaminate, pieces, quality, setjoin, toxicity, urls
+from yieldengine.llm import chat, decontaminate, pieces, quality, setjoin, toxicity, urls
 
 #: Folder of the public vocabulary files; every node has it.
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +22,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's digests, read back from its formatted parts and loss masks."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    parts = chat.format_conversations(turns.unionByName(more), model_file("byte_bpe_50k.json"))
+    return chat.digest_conversations(parts)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's expected severity and grade."""
     docs = _table(spark, sf_dir, "documents")
@@ -66,7 +75,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op2_toxicity, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
+        op1_chat_format, op2_toxicity, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
     )
     return {f.__name__: f for f in found}
 
