@@ -6,9 +6,9 @@ joined on every 2-subset of that prefix with k = 2; heavy sets, and the light on
 on inverted lists of the single shingles of the prefix with k = 1. The boundary is the size at which listing subsets
 starts to cost more than scanning lists, from the size histogram and the mean list length of the data at hand.
 
-Equal sets are one class from the start. Within a list every member is first held against one pivot; classes found
-linked are then one component, and only lists that still touch several components are compared pair by pair, in
-blocks. All links between components are thus either verified or ruled out by size and position, and no group is
+Equal sets are one class from the start. Every member of a list is first held against one pivot: the member with the
+fewest rarer shingles, which in a group of edited copies is the one nearest to their origin; classes found linked are then one component, and only lists that still touch several
+components are compared pair by pair, in blocks. All links between components are thus either verified or ruled out by size and position, and no group is
 expanded into its pairs.
 """
 
@@ -133,7 +133,7 @@ def _columns(batch: pa.RecordBatch, names) -> list[np.ndarray]:
 
 
 def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists sorted by (key, print): pairs with the list's first member (kind 0), and every member of a list (kind 1)."""
+    """Lists sorted by (key, place, print): pairs with the list's first member (kind 0), and every member of a list (kind 1)."""
     pivot = None  # key, print, size, place of the running list; then its last member
     for batch in batches:
         key, mark, n, place = _columns(batch, ("key", "print", "n", "place"))
@@ -258,18 +258,36 @@ def _bitmap(prints: DataFrame, column: str) -> bytes:
     return bytes(out)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold, by exact intersection of the shingle arrays."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets reach the threshold, by exact intersection of the shingle arrays.
+
+    The sets are made again from the texts, for the pairs' members only, and dealt out by fingerprint once for both
+    sides of the pairs; keeping every document's set instead would take several times the input.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(ends, "print"))
+    sets = texts.mapInArrow(_sets(wanted), "print long, shingles array<long>").dropDuplicates(["print"])
     left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        pairs.join(right, "b").join(left, "a")
         .where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
 
 
+def _list_length(counts: np.ndarray, total: int) -> float:
+    """Mean length of a prefix list: over the rarest fifth of all shingle occurrences (`counts`: of repeated shingles).
+
+    A prefix holds a set's rarest shingles, so the hot ones that the mean over all occurrences follows are not in it.
+    """
+    quota = total * (100 - PERCENT) / 100
+    single = min(quota, max(total - counts.sum(), 0.0))
+    taken = np.minimum(np.maximum(quota - single - (np.cumsum(counts) - counts), 0.0), counts)
+    return float((single + (taken * counts).sum()) / max(quota, 1.0))
+
+
 def _light_boundary(sizes: list[tuple[int, int]], list_length: float) -> int:
     """The set size up to which 2-subsets of the prefix cost less than scanning inverted lists."""
     gain, best, boundary = 0.0, 0.0, 0
@@ -297,9 +315,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         survey.where("kind = 1").groupBy("print").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "print").limit(ORDERED).toPandas()
     )
-    spread, total = float((frequent["n"].astype(float) ** 2).sum()), documents.agg(F.sum("n")).first()[0] or 0
+    total = documents.agg(F.sum("n")).first()[0] or 0
     sizes = [tuple(x) for x in documents.where("n between 4 and 256").groupBy("n").count().collect()]
-    boundary = _light_boundary(sizes, spread / max(total, 1))
+    boundary = _light_boundary(sizes, _list_length(np.sort(frequent["n"].to_numpy(float)), total))
     frequent = frequent.sort_values("print", key=lambda x: x.to_numpy().view(np.uint64))
     order = spark.sparkContext.broadcast((
         frequent["print"].to_numpy(np.int64).view(np.uint64).tobytes(), frequent["n"].to_numpy(np.int64).tobytes(),
@@ -307,29 +325,26 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     postings = given.select("text").mapInArrow(_postings(order, boundary), "key long, print long, n int, place int")
     told = stage(
-        postings.repartition("key").sortWithinPartitions("key", "print")
+        postings.repartition("key").sortWithinPartitions("key", "place", "print")
         .mapInArrow(_against_pivot, "kind int, key long, a long, b long, n int, place int"),
         "shingle-lists",
     )
-    pairs = told.where("kind = 0").select("a", "b").distinct()
-    members = told.where("kind = 1").select("key", F.col("a").alias("print"), "n", "place")
-
-    wanted = spark.sparkContext.broadcast(_bitmap(told.where("kind = 1"), "a"))
-    listed = members.select("print").distinct()
-    sets = stage(
-        given.select("text").mapInArrow(_sets(wanted), "print long, shingles array<long>")
-        .join(listed, "print", "left_semi").dropDuplicates(["print"]),
-        "shingle-sets",
+    # every member against the one pivot that it shares most lists with; what that leaves open follows below
+    pairs = (
+        told.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("lists"))
+        .groupBy("b").agg(F.max_by("a", F.struct("lists", F.bitwise_not("a"))).alias("a"))
     )
+    members = told.where("kind = 1").select("key", F.col("a").alias("print"), "n", "place")
 
-    links = stage(_verified(pairs, sets), "shingle-links")
+    pairs = stage(pairs, "shingle-pairs")
+    links = stage(_verified(pairs, given.select("text")), "shingle-links")
     linked = stage(connected_components(links), "shingle-components")
     placed = members.join(linked, members["print"] == linked["u"], "left").select(
         "key", "print", "n", "place", F.coalesce("component", "print").alias("component")
     )
     open_lists = (
         placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-        .where("low <> high and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        .where("low <> high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
     blocks = (
         placed.join(open_lists, "key")
@@ -342,7 +357,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         .mapInArrow(_within_lists, "a long, b long").distinct()
     )
-    more = stage(_verified(more, sets), "shingle-links")
+    more = stage(more, "shingle-pairs")
+    more = stage(_verified(more, given.select("text")), "shingle-links")
     linked = connected_components(links.unionByName(more))
 
     classes = documents.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
