@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldengine.llm import chat, decontaminate, pieces, quality, setjoin, toxicity, urls
+from yieldengine.llm import chat, decontaminate, neighbours, pieces, quality, setjoin, toxicity, urls
 
 #: Folder of the public vocabulary files; every node has it.
 TOKENIZERS = "/opt/tokenizers"
@@ -38,6 +38,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_severity(docs, model, ["doc_id"])
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict; a page's outcome is the label of the document of the same number."""
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
@@ -75,7 +81,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_chat_format, op2_toxicity, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
+        op1_chat_format, op2_toxicity, op3_neighbours, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
     )
     return {f.__name__: f for f in found}
 
