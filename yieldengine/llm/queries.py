@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldengine.llm import chat, decontaminate, neighbours, pieces, quality, setjoin, toxicity, urls
+from yieldengine.llm import chat, decontaminate, neighbours, pagetext, pieces, quality, setjoin, toxicity, urls
 
 #: Folder of the public vocabulary files; every node has it.
 TOKENIZERS = "/opt/tokenizers"
@@ -68,6 +68,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, ["doc_id"])
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return pagetext.extract_text(_table(spark, sf_dir, "pages")).drop("repeated_tokens")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), model_file())
@@ -81,7 +86,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_chat_format, op2_toxicity, op3_neighbours, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op10_pieces,
+        op1_chat_format, op2_toxicity, op3_neighbours, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op8_page_text, op10_pieces,
     )
     return {f.__name__: f for f in found}
 
