@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,19 +24,19 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldengine.llm.textscan import PIECE, span_hashes, utf8
+from yieldengine.llm.textscan import utf8
+from yieldengine.llm.units import UnitEncoder
 
 MARK = "▁"
-#: Units that a worker remembers, in each of two generations.
-REMEMBERED = 200_000
 #: Adjacent pairs whose compatibility a worker remembers.
 PAIRS = 1_000_000
 
 
-class PieceEncoder:
+class PieceEncoder(UnitEncoder):
     """Encoder and decoder for one model file; one per worker process."""
 
     def __init__(self, model_file: str):
+        super().__init__()
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(size)]
@@ -55,8 +54,6 @@ class PieceEncoder:
         self.prefix: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.run_limit = max((len(p) for p in self.ids if p == MARK * len(p)), default=1)
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
 
     def _merged(self, text: str) -> list[int]:
         """The encoding of a short text by merging: best rank first, leftmost among equals."""
@@ -154,87 +151,21 @@ class PieceEncoder:
                 out = self._space_run(spaces - 1) + out
         return tuple(out)
 
-    def _units(self, block: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of a block and the number of tokens of each unit; `fresh` marks bytes that begin a unit."""
-        starts = np.flatnonzero(fresh)
-        ends = np.append(starts[1:], len(block))
-        _, first, which = np.unique(span_hashes(block, starts, ends), return_index=True, return_inverse=True)
-        raw = block.tobytes()
-        found: list[tuple[int, ...]] = []
-        young, old = self.young, self.old
-        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
-            unit = raw[a:b]
-            ids = young.get(unit)
-            if ids is None:
-                ids = old.get(unit)
-                if ids is None:
-                    ids = self.encode_unit(unit.decode())
-                if len(unit) < 200:
-                    young[unit] = ids
-            found.append(ids)
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        counts = sizes[which]
-        ahead = np.cumsum(counts) - counts
-        return flat[np.repeat(begin[which] - ahead, counts) + np.arange(int(counts.sum()))], counts
+    def encode_unit_bytes(self, unit: bytes) -> tuple[int, ...]:
+        return self.encode_unit(unit.decode())
 
-    def encode_rows(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The token ids of every row, in order; null is empty."""
-        column = pc.fill_null(column, "")
-        if pc.any(pc.match_substring(column, MARK)).as_py():
-            column = pc.replace_substring(column, MARK, " ")  # the model writes spaces so, and reads both alike
-        column = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(" ", column, ""))
-        data, offsets = utf8(column)
-        row = 0
-        while row < len(offsets) - 1:
-            first, last = row, row + 1
-            while last < len(offsets) - 1 and offsets[last + 1] - offsets[first] <= PIECE:
-                last += 1
-            row = last
-            a, b = int(offsets[first]), int(offsets[last])
-            if last == first + 1 and b - a > PIECE:
-                parts = []
-                while a < b:
-                    block, fresh = self._piece(data, a, b)
-                    parts.append(self._units(block, fresh)[0])
-                    a += len(block)
-                yield np.concatenate(parts)
-                continue
-            block, bounds = data[a:b], offsets[first : last + 1] - a
-            if not len(block):
-                yield from (np.zeros(0, dtype=np.int32) for _ in range(last - first))
-                continue
-            fresh = self._fresh(block)
-            fresh[bounds[:-1][bounds[:-1] < len(block)]] = True
-            ids, counts = self._units(block, fresh)
-            ahead = np.concatenate([[0], np.cumsum(counts)])
-            cut = ahead[np.searchsorted(np.flatnonzero(fresh), bounds)]
-            for i in range(last - first):
-                yield ids[cut[i] : cut[i + 1]]
-
-    @staticmethod
-    def _fresh(block: np.ndarray) -> np.ndarray:
+    def fresh(self, block: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         space, line = block == 0x20, block == 0x0A
         fresh = line.copy()
-        fresh[0] = True
         fresh[1:] |= line[:-1] | (space[1:] & ~space[:-1])
         return fresh
 
-    def _piece(self, data: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The next bytes of a long row that end where a unit ends, about PIECE or, at need, more."""
-        size = PIECE
-        while True:
-            block = data[a : min(a + size, b)]
-            fresh = self._fresh(block)
-            if a + len(block) == b:
-                return block, fresh
-            last = int(np.flatnonzero(fresh)[-1])
-            if last > 0:
-                return block[:last], fresh[:last]
-            size *= 2
+    def encode_rows(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The token ids of every row, in order; null is empty."""
+        column = pc.fill_null(column, "")
+        if pc.any(pc.match_substring(column, MARK)).as_py():
+            column = pc.replace_substring(column, MARK, " ")  # the model writes spaces so, and reads both alike
+        return self.encode_spans(*utf8(pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(" ", column, ""))))
 
 
 _encoders: dict[str, PieceEncoder] = {}

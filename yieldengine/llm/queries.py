@@ -5,17 +5,17 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldengine.llm import chat, decontaminate, neighbours, pagetext, pieces, quality, setjoin, toxicity, urls
-
-#: Folder of the public vocabulary files; every node has it.
-TOKENIZERS = "/opt/tokenizers"
+from yieldengine.llm import chat, decontaminate, neighbours, packing, pagetext, pieces, quality, setjoin, toxicity, urls
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> str:
-    return f"{os.environ.get('TOKENIZER_DIR', TOKENIZERS)}/{name}"
+    """Path of a public vocabulary file, which every node has: in TOKENIZER_DIR if set, else where it is installed."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract_text(_table(spark, sf_dir, "pages")).drop("repeated_tokens")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids in packed rows."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), model_file("byte_bpe_50k.tiktoken"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     encoded = pieces.encode_pieces(_table(spark, sf_dir, "documents"), model_file())
@@ -86,7 +91,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_chat_format, op2_toxicity, op3_neighbours, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op8_page_text, op10_pieces,
+        op1_chat_format, op2_toxicity, op3_neighbours, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op8_page_text, op9_packing, op10_pieces,
     )
     return {f.__name__: f for f in found}
 

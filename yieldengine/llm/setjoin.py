@@ -8,8 +8,8 @@ starts to cost more than scanning lists, from the size histogram and the mean li
 
 Equal sets are one class from the start. Every member of a list is first held against one pivot: the member with the
 fewest rarer shingles, which in a group of edited copies is the one nearest to their origin; classes found linked are then one component, and only lists that still touch several
-components are compared pair by pair, in blocks. All links between components are thus either verified or ruled out by size and position, and no group is
-expanded into its pairs.
+components are compared pair by pair, in blocks. All links between components are thus either verified or ruled out by size, position and the overlap of the
+prefixes, and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -258,6 +258,28 @@ def _bitmap(prints: DataFrame, column: str) -> bytes:
     return bytes(out)
 
 
+def _plausible(pairs: DataFrame, fronts: DataFrame, boundary: int) -> DataFrame:
+    """The pairs that their whole prefixes allow to be linked; exact, and far lighter than fetching the sets.
+
+    With c shingles shared by the two prefixes, the overlap is at most c + max(n - prefix length): a shared shingle in the
+    prefix that ends first in the global order is in the other prefix too. Light sets have no list of single shingles,
+    so their pairs stay.
+    """
+    def side(name: str, n: str, front: str) -> DataFrame:
+        return fronts.select(F.col("print").alias(name), F.col("n").alias(n), F.col("front").alias(front))
+
+    def behind(n: str):
+        return F.ceil(F.col(n) * PERCENT / 100).cast("int") - 1  # members after the prefix
+
+    shared = F.size(F.array_intersect("f1", "f2"))
+    most = 180 * (shared + F.greatest(behind("n1"), behind("n2")))
+    return (
+        pairs.join(side("b", "n2", "f2"), "b").join(side("a", "n1", "f1"), "a")
+        .where((F.least("n1", "n2") <= boundary) | (most >= PERCENT * (F.col("n1") + F.col("n2"))))
+        .select("a", "b")
+    )
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets reach the threshold, by exact intersection of the shingle arrays.
 
@@ -336,7 +358,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
     members = told.where("kind = 1").select("key", F.col("a").alias("print"), "n", "place")
 
-    pairs = stage(pairs, "shingle-pairs")
+    fronts = stage(
+        members.groupBy("print").agg(F.max("n").alias("n"), F.collect_list(F.when(F.col("place") >= 0, F.col("key"))).alias("front")),
+        "shingle-fronts",
+    )
+    pairs = stage(_plausible(pairs, fronts, boundary), "shingle-pairs")
     links = stage(_verified(pairs, given.select("text")), "shingle-links")
     linked = stage(connected_components(links), "shingle-components")
     placed = members.join(linked, members["print"] == linked["u"], "left").select(
@@ -357,7 +383,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         .mapInArrow(_within_lists, "a long, b long").distinct()
     )
-    more = stage(more, "shingle-pairs")
+    more = stage(_plausible(more, fronts, boundary), "shingle-pairs")
     more = stage(_verified(more, given.select("text")), "shingle-links")
     linked = connected_components(links.unionByName(more))
 
