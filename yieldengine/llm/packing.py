@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldengine.llm.textscan import SPACE, utf8
+from yieldengine.llm.textscan import PIECE, SPACE, utf8
 from yieldengine.llm.units import UnitEncoder
 
 LENGTH = 2048
@@ -34,7 +34,7 @@ _RARE_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 
 
 class ByteEncoder(UnitEncoder):
-    """Byte-level BPE by a vocabulary of ranks; units are words with the space before them, and white-space runs."""
+    """Byte-level BPE by a vocabulary of ranks; a text of over a megabyte is encoded in pieces that no token crosses."""
 
     def __init__(self, rank_file: str):
         super().__init__()
@@ -42,11 +42,8 @@ class ByteEncoder(UnitEncoder):
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode_unit_bytes(self, unit: bytes) -> tuple[int, ...]:
-        return tuple(self.encoding.encode_ordinary(unit.decode()))
-
     def fresh(self, block: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        # white space before a word leaves its last character out: a space goes with the word, another one stands alone
+        # units: white space before a word leaves its last character out: a space goes with the word, another one stands alone
         gap, space = SPACE[block], block == 0x20
         ends, begins = np.zeros(len(block), dtype=bool), np.zeros(len(block), dtype=bool)
         ends[bounds[1:][bounds[1:] > 0] - 1] = True
@@ -60,8 +57,14 @@ class ByteEncoder(UnitEncoder):
         """The token ids of every row, in order; null is empty."""
         column = pc.fill_null(column, "")
         rare = pc.match_substring_regex(column, _RARE_SPACE).to_numpy(zero_copy_only=False)
-        for i, ids in enumerate(self.encode_spans(*utf8(column))):
-            yield np.array(self.encoding.encode_ordinary(column[i].as_py()), dtype=np.int32) if rare[i] else ids
+        data, offsets = utf8(column)
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            ids: list[int] = []
+            while a < b:
+                block = data[a:b] if rare[i] or b - a <= PIECE else self._piece(data, a, b)[0]
+                ids += self.encoding.encode_ordinary(block.tobytes().decode())
+                a += len(block)
+            yield np.array(ids, dtype=np.uint16)
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -160,7 +163,6 @@ def _packed(rank_file: str, length: int, padding: int):
 
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), tool.encode_rows(batch.column(1))):
-                ids = ids.astype(np.uint16)
                 for a in range(0, len(ids), length):
                     pool.append((key, a, ids[a : a + length]))
                 held += len(ids)
