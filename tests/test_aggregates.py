@@ -94,11 +94,8 @@ def test_order_lists(ledger):
     got = by(orders.materials_per_order(df), ORDER)
     assert got["1"]["Materials"] == list("BABCA")
     assert by(orders.distinct_materials_per_order(df), ORDER)["1"]["KD_Materials"] == list("BAC")
-    # an order that is too long continues in further parts and loses nothing
-    parts = orders.materials_per_order(df, F.floor(F.col("ROW_SEQ.n") / 2), list_rows=3).orderBy("list_part")
-    long_order = [r["Materials"] for r in parts.where(f"{ORDER} = '1'").collect()]
-    assert [m for part in long_order for m in part] == list("BABCA") and len(long_order) == 3
-    assert parts.where(f"{ORDER} = '2'").first()["list_part"] == 0
+    placed = orders.materials_in_order(df, F.floor(F.col("ROW_SEQ.n") / 2)).orderBy(ORDER, "position").collect()
+    assert [tuple(r) for r in placed] == [*(("1", i + 1, m) for i, m in enumerate("BABCA")), ("2", 1, "Z")]
     joined = by(orders.input_then_output_materials(df, df.where("MATERIAL <> 'Z'")), ORDER)
     assert joined["1"]["Materials"] == list("BBAC") and joined["2"]["Materials"] == ["Z"]
     mixed = by(orders.order_output_mix(df), ORDER, "MATERIAL")

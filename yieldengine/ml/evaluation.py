@@ -87,20 +87,25 @@ def regression_metrics(scored: DataFrame, actual: str, predicted: str) -> DataFr
 
 
 def error_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed, with the overall mean error."""
-    span = df.agg(F.struct(
+    """Equal-width bins from minimum to maximum, the last one closed, empty ones too, with the overall mean error.
+
+    Without a value there is no bin; if all values are equal they are in the first.
+    """
+    span = stage(df.agg(
         F.min(column).alias("low"), F.max(column).alias("high"), F.avg(column).alias("mean"),
-    )).scalar()
-    width: Column = (span["high"] - span["low"]) / F.lit(float(bins))
-    place = F.coalesce(F.floor(F.try_divide(F.col(column) - span["low"], width)), F.lit(0))
+    ).where(F.col("low").isNotNull()), "error-span")
+    row = span.first()
+    low, high, mean = row if row else (0.0, 0.0, 0.0)
+    width = (high - low) / bins
+    place = F.floor((F.col(column) - F.lit(low)) / F.lit(width)) if width else F.lit(0)
     counted = df.where(F.col(column).isNotNull()).groupBy(
         F.least(place, F.lit(bins - 1)).cast("int").alias("bin")
-    ).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.withColumns({
-        "bin_from": span["low"] + width * F.col("bin"),
-        "bin_to": span["low"] + width * (F.col("bin") + 1),
-        "mean_error": span["mean"],
-    })
+    ).agg(F.count(F.lit(1)).alias("_rows"))
+    every = span.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(counted, "bin", "left").select(
+        "bin", F.coalesce("_rows", F.lit(0)).alias("rows"), (F.lit(low) + F.lit(width) * F.col("bin")).alias("bin_from"),
+        (F.lit(low) + F.lit(width) * (F.col("bin") + 1)).alias("bin_to"), F.lit(mean).alias("mean_error"),
+    )
 
 
 def display_sample(df: DataFrame, keys: list[str], rows: int, seed: int) -> DataFrame:

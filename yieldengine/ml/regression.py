@@ -32,7 +32,10 @@ TREE_MODELS = ["RandomForest", "GradientBoosting", "BoostedColumns"]
 
 @dataclass(frozen=True)
 class TrainingSpec:
-    """Training parameters. The defaults are the fixed values the published models were trained with."""
+    """Training parameters. The defaults are the fixed values the published models were trained with.
+
+    `max_bins` bounds the values of a feature that a tree can separate.
+    """
 
     seed: int = 42
     test_percent: int = 20
@@ -47,6 +50,7 @@ class TrainingSpec:
     boost_rows: float = 0.8
     boost_columns: float = 0.8
     boost_min_leaf: int = 3
+    max_bins: int = 1024
     models: tuple[str, ...] = ("RandomForest", "GradientBoosting", "Ridge", "BoostedColumns")
     keys: tuple[str, ...] = (ORDER, "Output_Material")
     parallelism: int = 4
@@ -110,12 +114,13 @@ def _estimator(name: str, spec: TrainingSpec, train: DataFrame) -> list[Estimato
     if name == "RandomForest":
         return [RandomForestRegressor(
             labelCol=TARGET, numTrees=spec.forest_trees, maxDepth=spec.forest_depth,
-            minInstancesPerNode=spec.forest_min_leaf, featureSubsetStrategy="sqrt", seed=spec.seed, **DEEP_TREES,
+            minInstancesPerNode=spec.forest_min_leaf, featureSubsetStrategy="sqrt", maxBins=spec.max_bins,
+            seed=spec.seed, **DEEP_TREES,
         )]
     boosted = GBTRegressor(
         labelCol=TARGET, maxIter=spec.boost_rounds, maxDepth=spec.boost_depth, stepSize=spec.boost_rate,
-        subsamplingRate=spec.boost_rows, minInstancesPerNode=spec.boost_min_leaf, seed=spec.seed,
-        checkpointInterval=10,
+        subsamplingRate=spec.boost_rows, minInstancesPerNode=spec.boost_min_leaf, maxBins=spec.max_bins,
+        seed=spec.seed, checkpointInterval=10,
     )
     if name == "BoostedColumns":
         boosted = boosted.setFeatureSubsetStrategy(str(spec.boost_columns))

@@ -74,7 +74,8 @@ def yield_by_material(history: DataFrame) -> DataFrame:
 
 
 def material_stats(history: DataFrame, minimum: int = 3) -> DataFrame:
-    """Yield spread per input material with at least `minimum` rows, without quartiles."""
+    """Yield spread of every input material, without quartiles; `usable` tells those with at least `minimum` rows, whose
+    deviation may serve as a spread."""
     y = F.col("Yield_Percentage")
     return (
         history.where(F.col("Input_Material").isNotNull())
@@ -83,7 +84,7 @@ def material_stats(history: DataFrame, minimum: int = 3) -> DataFrame:
             F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.count(F.lit(1)).alias("count"),
             F.min(y).alias("min"), F.max(y).alias("max"),
         )
-        .where(F.col("count") >= minimum)
+        .withColumn("usable", F.col("count") >= minimum)
     )
 
 

@@ -6,6 +6,8 @@ output (its size follows the product catalogue, not the ledger), and requests jo
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,32 @@ def share_of(value: Column, *partition: str) -> Column:
     return F.try_divide(value, F.sum(value).over(Window.partitionBy(*partition))) * F.lit(100.0)
 
 
-def _optional_match(requests: DataFrame, facts: DataFrame, filters: dict[str, str], material: str) -> DataFrame:
-    """Join on the material plus every filter the request gives; a null filter accepts anything."""
-    on = F.col("r.material") == F.col(f"h.{material}")
-    for given, column in filters.items():
-        if given in requests.columns and column in facts.columns:
-            on = on & (F.col(f"r.{given}").isNull() | (F.col(f"r.{given}") == F.col(f"h.{column}")))
-    return requests.alias("r").join(facts.alias("h"), on)
+def _optional_match(
+    requests: DataFrame, facts: DataFrame, filters: dict[str, str], material: str, keys: list[str]
+) -> DataFrame:
+    """request_id with the facts under its material and every filter it gives; a null filter accepts anything.
+
+    `facts` holds sums at the finest grain. Which filters a request gives is one of a few patterns; for each pattern in
+    use the facts are summed to its columns and joined by equality on all of them, so no pair is joined to be thrown
+    away and a material with most rows is spread over its plants, grades and species. `keys` are kept beside the sums.
+    """
+    columns = [c for c in filters.values() if c in facts.columns]
+    given = {g: c for g, c in filters.items() if g in requests.columns and c in columns}
+    measures = [c for c in facts.columns if c not in (material, *columns, *keys)]
+    shown = [F.col(g).isNotNull().alias(g) for g in given]
+    rows = requests.select(*shown).distinct().collect() if given else []
+    found = []
+    for pattern in sorted({tuple(g for g in given if row[g]) for row in rows} or {()}):
+        own = requests
+        for g in given:
+            own = own.where(F.col(g).isNotNull() if g in pattern else F.col(g).isNull())
+        cells = facts.groupBy(material, *[given[g] for g in pattern], *keys).agg(*[F.sum(c).alias(c) for c in measures])
+        on = F.col("r.material") == F.col(f"h.{material}")
+        for g in pattern:
+            on = on & (F.col(f"r.{g}") == F.col(f"h.{given[g]}"))
+        joined = own.alias("r").join(cells.alias("h"), on)
+        found.append(joined.select("r.request_id", *[F.col(f"h.{c}").alias(c) for c in (*keys, *measures)]))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def share_by_count(outputs: DataFrame) -> DataFrame:
@@ -93,14 +114,11 @@ def kd_distribution(requests: DataFrame, history: DataFrame) -> DataFrame:
     Shares use volume; a request whose matching history carries no volume falls back to order counts.
     """
     cells = distribution_cells(history, _usable(HISTORY_FILTERS, requests, history))
-    found = _optional_match(requests, cells, HISTORY_FILTERS, "Input_Material")
-    n, s1, s2 = F.sum("h.y_n"), F.sum("h.y_s1"), F.sum("h.y_s2")
-    stats = found.groupBy(
-        F.col("r.request_id").alias("request_id"),
-        F.col("h.Output_Material").alias("Output_Material"),
-        F.col("h.Output_Grade").alias("Output_Grade"),
-    ).agg(
-        half_even(F.sum("h.bf"), 2).alias("BF_Output"),
+    outputs = ["Output_Material", "Output_Grade"]
+    found = _optional_match(requests, cells, HISTORY_FILTERS, "Input_Material", outputs)
+    n, s1, s2 = F.sum("y_n"), F.sum("y_s1"), F.sum("y_s2")
+    stats = found.groupBy("request_id", *outputs).agg(
+        half_even(F.sum("bf"), 2).alias("BF_Output"),
         n.alias("Order_Count"),
         half_even(s1 / n, 2).alias("Avg_Yield"),
         half_even(F.coalesce(pooled_std(n, s1, s2), F.lit(0.0)), 2).alias("Yield_Std"),
@@ -141,11 +159,7 @@ def kd_lookup_totals(requests: DataFrame, raw_261: DataFrame, raw_101: DataFrame
     """
     filters = _usable(LEDGER_FILTERS, requests, raw_261)
     lines = raw_261.groupBy(ORDER, "MATERIAL", *filters).agg(F.sum("BFIN").alias("bfin"))
-    orders = (
-        _optional_match(requests, lines, LEDGER_FILTERS, "MATERIAL")
-        .groupBy(F.col("r.request_id").alias("request_id"), F.col(f"h.{ORDER}").alias(ORDER))
-        .agg(F.sum("h.bfin").alias("bfin"))
-    )
+    orders = _optional_match(requests, lines, LEDGER_FILTERS, "MATERIAL", [ORDER])
     outputs = raw_101.groupBy(ORDER).agg(F.sum("BFOUT").alias("bfout"))
     return _with_totals(requests, orders.join(outputs, ORDER, "left"))
 
@@ -159,9 +173,7 @@ def kd_lookup_totals_from_history(requests: DataFrame, history: DataFrame) -> Da
     cells = per_order.groupBy("Input_Material", *filters).agg(
         F.sum("bfin").alias("bfin"), F.sum("bfout").alias("bfout")
     )
-    found = _optional_match(requests, cells, HISTORY_FILTERS, "Input_Material").select(
-        F.col("r.request_id").alias("request_id"), F.col("h.bfin").alias("bfin"), F.col("h.bfout").alias("bfout")
-    )
+    found = _optional_match(requests, cells, HISTORY_FILTERS, "Input_Material", [])
     return _with_totals(requests, found)
 
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from yieldengine.functions import half_even
 from yieldengine.schema import ORDER, SEQ
-from yieldengine.staging import stage
-
-LIST_ROWS = 100_000
 
 
 def common_orders(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -32,23 +29,30 @@ def ledger_totals(ledger_261: DataFrame, ledger_101: DataFrame) -> DataFrame:
     ).withColumn("total_bfout", bfout)
 
 
-def materials_per_order(df: DataFrame, part: Column | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Every material of an order in row order, repeats included.
+def materials_in_order(df: DataFrame, part: Column) -> DataFrame:
+    """Every material of an order with its position in row order (from 1), repeats included; one row each.
 
-    An order with more than `list_rows` rows continues in further list parts, cut by `part` (a coarse, order-preserving
-    prefix of the row sequence), so no task ever builds an unbounded list and no row is lost. The few long orders are
-    written first, so their known size lets the ledger join them without moving.
+    `part` is a coarse, order-preserving prefix of the row sequence. Positions are the counts of an order's earlier
+    parts plus the place in the row's own part, so an order with most rows is never sorted in one task.
     """
-    if part is None:
-        numbered = df.withColumn("list_part", F.lit(0).cast("bigint"))
-    else:
-        counts = df.groupBy(ORDER).agg(F.count(F.lit(1)).alias("_rows"))
-        oversize = stage(counts.where(F.col("_rows") > list_rows), "long-orders")
-        numbered = df.join(oversize, ORDER, "left").withColumn(
-            "list_part", F.when(F.col("_rows").isNotNull(), part.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        )
+    rows = df.where(F.col("MATERIAL").isNotNull()).select(ORDER, SEQ, "MATERIAL", part.alias("_part"))
+    counts = rows.groupBy(ORDER, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(ORDER).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(
+        F.col(ORDER).alias("_order"), F.col("_part").alias("_of"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_ahead")
+    )
+    place = F.row_number().over(Window.partitionBy(ORDER, "_part").orderBy(SEQ))
+    return (
+        rows.withColumn("_place", place)
+        .join(ahead, (F.col(ORDER) == F.col("_order")) & F.col("_part").eqNullSafe(F.col("_of")))
+        .select(ORDER, (F.col("_ahead") + F.col("_place")).alias("position"), "MATERIAL")
+    )
+
+
+def materials_per_order(df: DataFrame) -> DataFrame:
+    """The same as one list per order, for orders whose rows fit a list; `materials_in_order` has no such bound."""
     in_order = F.sort_array(F.collect_list(F.struct(F.col(SEQ).alias("seq"), F.col("MATERIAL").alias("material"))))
-    return numbered.where(F.col("MATERIAL").isNotNull()).groupBy(ORDER, "list_part").agg(
+    return df.where(F.col("MATERIAL").isNotNull()).groupBy(ORDER).agg(
         F.transform(in_order, lambda p: p["material"]).alias("Materials")
     )
 

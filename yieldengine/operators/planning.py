@@ -35,12 +35,17 @@ HIGH_YIELD_CAUSES = [
 ]
 
 
+def usable_spread(stats: DataFrame) -> Column:
+    """The deviation of materials with enough rows for one; null for the others."""
+    return F.when(F.col("usable"), F.col("std")) if "usable" in stats.columns else F.col("std")
+
+
 def with_confidence(
     requests: DataFrame, predictor: Predictor, stats: DataFrame, rmse: float = DEFAULT_RMSE,
     level: float = DEFAULT_LEVEL, model_name: str = "model",
 ) -> DataFrame:
     """Predicted yield with bounds from the material's own spread, or the model's error when it has too little."""
-    spread = stats.select("Input_Material", F.col("std").alias("_std"))
+    spread = stats.select("Input_Material", usable_spread(stats).alias("_std"))
     scored = predict_yield(requests, predictor).join(spread, "Input_Material", "left")
     margin = z_score(F.lit(level)) * F.coalesce(F.col("_std"), F.lit(float(rmse)))
     low = F.greatest(F.lit(0.0), F.col("predicted") - margin)
@@ -163,7 +168,7 @@ def detect_anomalies(
     threshold: float = DEFAULT_THRESHOLD,
 ) -> DataFrame:
     """Every history row against its prediction, in units of the material's spread (or the model's error)."""
-    spread = stats.select("Input_Material", F.col("std").alias("_std"))
+    spread = stats.select("Input_Material", usable_spread(stats).alias("_std"))
     scored = predict_yield(history, predictor).join(spread, "Input_Material", "left")
     deviation = F.col("Yield_Percentage") - F.col("predicted_yield_pct")
     in_std = F.when(F.col("_std") > 0, F.col("deviation") / F.col("_std")).otherwise(F.lit(0.0))

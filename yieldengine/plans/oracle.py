@@ -88,7 +88,7 @@ _MEANS = "SELECT Input_Material, Input_Plant, avg(Yield_Percentage) AS m FROM fu
 _SPREAD = """
     SELECT Input_Material, avg(Yield_Percentage) AS mean, stddev_samp(Yield_Percentage) AS std, count(*) AS n,
            min(Yield_Percentage) AS min, max(Yield_Percentage) AS max
-    FROM {0} WHERE Input_Material IS NOT NULL GROUP BY 1 HAVING count(*) >= 3"""
+    FROM {0} WHERE Input_Material IS NOT NULL GROUP BY 1"""
 
 CTES |= {
     "inputs": (["c261"], _inputs("c261")),
@@ -108,16 +108,18 @@ CTES |= {
         SELECT MATERIAL || '|' || PLANT AS request_id, MATERIAL AS material, PLANT AS plant FROM pairs
         UNION ALL SELECT DISTINCT MATERIAL || '|*', MATERIAL, NULL FROM pairs"""),
     "line_requests": (["movement"], """
-        SELECT PLANT AS request_id, line_no, PLANT AS Input_Plant, MATERIAL AS Input_Material,
-               5000.0::DOUBLE AS Total_Input_BF
-        FROM (SELECT PLANT, MATERIAL, CAST(row_number() OVER (PARTITION BY PLANT ORDER BY MATERIAL) AS INTEGER) line_no
-              FROM (SELECT DISTINCT PLANT, MATERIAL FROM movement)) WHERE line_no <= 2
+        SELECT PLANT || '|' || MATERIAL AS request_id, line_no, PLANT AS Input_Plant,
+               CASE line_no WHEN 1 THEN MATERIAL ELSE following END AS Input_Material, 5000.0::DOUBLE AS Total_Input_BF
+        FROM (SELECT PLANT, MATERIAL, coalesce(lead(MATERIAL) OVER (PARTITION BY PLANT ORDER BY MATERIAL),
+                     min(MATERIAL) OVER (PARTITION BY PLANT)) AS following
+              FROM (SELECT DISTINCT PLANT, MATERIAL FROM movement)),
+             (VALUES (1::INTEGER), (2::INTEGER)) lines(line_no)
         UNION ALL
         SELECT PLANT || '|new', 1, PLANT, 'New-' || PLANT, 8000.0::DOUBLE FROM (SELECT DISTINCT PLANT FROM movement)"""),
     "material_requests": (["movement"], """
-        SELECT MATERIAL AS request_id, MATERIAL AS Input_Material, min(PLANT) AS Input_Plant,
+        SELECT DISTINCT MATERIAL || '|' || PLANT AS request_id, MATERIAL AS Input_Material, PLANT AS Input_Plant,
                10000.0::DOUBLE AS Total_Input_BF, 5000.0::DOUBLE AS required_output_bf, 5.0::DOUBLE AS safety_margin_pct
-        FROM movement GROUP BY 1, 2"""),
+        FROM movement"""),
     "scored_lines": (["line_requests", "means", "overall"], f"""
         SELECT q.*, {r('predicted', 2)} AS predicted_yield_pct,
                {r('Total_Input_BF * predicted / 100.0::DOUBLE', 2)} AS predicted_output_bf
@@ -133,7 +135,7 @@ CTES |= {
                {r('greatest(0.0, predicted - margin)', 2)} AS lower_bound_pct,
                {r('least(150.0, predicted + margin)', 2)} AS upper_bound_pct,
                0.9::DOUBLE AS confidence_level, 'mean' AS model_used
-        FROM (SELECT m.*, 1.645::DOUBLE * coalesce(s.std, 3.8::DOUBLE) AS margin
+        FROM (SELECT m.*, 1.645::DOUBLE * coalesce(CASE WHEN s.n >= 3 THEN s.std END, 3.8::DOUBLE) AS margin
               FROM scored_materials m LEFT JOIN stats s USING (Input_Material)) q"""),
     "kd": (["kd_requests", "history"], f"""
         SELECT request_id, Output_Material, Output_Grade, BF_Output, Order_Count, Avg_Yield, Yield_Std,
@@ -406,7 +408,7 @@ def oracle_sql() -> dict[str, str]:
                    sum(Total_Output_BF) AS Total_Output, sum(Total_Input_BF) AS Total_Input
             FROM history GROUP BY 1, 2"""),
         "material_yield_stats": sql(["history"], f"""
-            SELECT s.Input_Material, {', '.join(f'{r(c, 4)} AS {c}' for c in summary_cols.split(', '))}, n AS count,
+            SELECT s.Input_Material, {', '.join(f'{r(c, 4)} AS {c}' for c in summary_cols.split(', '))}, n AS count, n >= 3 AS usable,
                    {r('q25', 4)} AS q25, {r('q75', 4)} AS q75
             FROM ({_SPREAD.format('history')}) s
             JOIN (SELECT Input_Material, quantile_cont(Yield_Percentage, 0.25) AS q25,
@@ -426,8 +428,11 @@ def oracle_sql() -> dict[str, str]:
                    (SELECT coalesce(sum(BFOUT), 0) FROM raw101 WHERE {chosen}) AS total_bfout
             FROM raw261 WHERE {chosen}"""),
         "materials_per_order": sql(["raw261", "raw101"], """
-            SELECT MANUFACTURINGORDER, 0::BIGINT AS list_part, string_agg(MATERIAL, ',' ORDER BY ln, pk, sk) AS Materials
+            SELECT MANUFACTURINGORDER, string_agg(MATERIAL, ',' ORDER BY ln, pk, sk) AS Materials
             FROM raw101 WHERE MANUFACTURINGORDER IN (SELECT MANUFACTURINGORDER FROM raw261) GROUP BY 1"""),
+        "materials_in_order": sql(["raw101"], """
+            SELECT MANUFACTURINGORDER, MATERIAL,
+                   row_number() OVER (PARTITION BY MANUFACTURINGORDER ORDER BY ln, pk, sk) AS position FROM raw101"""),
         "input_then_output_materials": sql(["raw261", "raw101"], """
             SELECT f.MANUFACTURINGORDER, concat_ws(',', ks, kd) AS Materials
             FROM (SELECT MANUFACTURINGORDER, first(MATERIAL ORDER BY ln, pk, sk) AS ks FROM raw261 GROUP BY 1) f
@@ -494,7 +499,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT request_id, Output_Material, Output_Grade, Percentage, Expected_Output_BF AS Planned_Output_BF,
                    {r('sum(Expected_Output_BF) OVER (PARTITION BY request_id)', 2)} AS selected_bf,
                    {r('sum(Percentage) OVER (PARTITION BY request_id)', 2)} AS selected_pct
-            FROM kd_alloc WHERE Percentage >= 5"""),
+            FROM (SELECT k.* FROM kd_alloc k JOIN kd_requests q ON q.request_id = k.request_id
+                  LEFT JOIN nation ON n_name = q.plant
+                  WHERE Output_Material IS NOT NULL AND (n_regionkey = 0 OR (coalesce(n_regionkey, -1) <> 1
+                        AND CAST(right(Output_Material, 1) AS INTEGER) % 2 = 0)))"""),
         "material_forward": sql(["forward"], f"""
             SELECT request_id, ks_material, plant, input_bf, status, total_orders, kd_materials_count,
                    CASE WHEN status = 'ok' THEN {r('bfin', 2)} END AS total_hist_input_bf,
@@ -639,12 +647,14 @@ def oracle_sql() -> dict[str, str]:
                    {r('avg(abs(Error))', 6)} AS mae, {r('sqrt(sum(Error * Error) / count(*))', 6)} AS rmse,
                    {r('avg(abs(Error / Actual)) FILTER (Actual > 0) * 100.0::DOUBLE', 6)} AS mape FROM tested"""),
         "error_histogram": sql(["tested"], f"""
-            SELECT bin, rows, {r('low + width * bin', 4)} AS bin_from, {r('low + width * (bin + 1)', 4)} AS bin_to,
-                   {r('mean', 4)} AS mean_error
-            FROM (SELECT CAST(least(floor((Error - low) / width), 49) AS INTEGER) AS bin, count(*) AS rows,
-                         any_value(low) AS low, any_value(width) AS width, any_value(mean) AS mean
-                  FROM tested CROSS JOIN (SELECT min(Error) AS low, (max(Error) - min(Error)) / 50.0::DOUBLE AS width,
-                                                 avg(Error) AS mean FROM tested) GROUP BY 1)"""),
+            SELECT b.bin, coalesce(rows, 0) AS rows, {r('low + width * b.bin', 4)} AS bin_from,
+                   {r('low + width * (b.bin + 1)', 4)} AS bin_to, {r('mean', 4)} AS mean_error
+            FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b
+            CROSS JOIN (SELECT min(Error) AS low, (max(Error) - min(Error)) / 50.0::DOUBLE AS width, avg(Error) AS mean
+                        FROM tested)
+            LEFT JOIN (SELECT CAST(least(floor((Error - low) / width), 49) AS INTEGER) AS bin, count(*) AS rows
+                       FROM tested CROSS JOIN (SELECT min(Error) AS low, (max(Error) - min(Error)) / 50.0::DOUBLE AS width
+                                               FROM tested) GROUP BY 1) c ON c.bin = b.bin"""),
         "test_row_sample": sql(["tested"], f"""
             SELECT MANUFACTURINGORDER, Output_Material, {r('Actual', 6)} AS Actual, Predicted, {r('Error', 6)} AS Error,
                    {r('Error_Pct', 6)} AS Error_Pct

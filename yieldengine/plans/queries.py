@@ -17,7 +17,7 @@ from yieldengine.operators.volume import derive_input_volume, derive_output_volu
 from yieldengine.plans.datasets import prepare_dataset
 from yieldengine.schema import ORDER, SEQ
 from yieldengine.sources import ledgers
-from yieldengine.sources.testtables import full_ledgers, ledger_101, ledger_261, list_part, movements, table
+from yieldengine.sources.testtables import full_ledgers, ledger_101, ledger_261, movements, sequence_part, table
 from yieldengine.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,12 +109,16 @@ def kd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @as_table
 def line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per plant: a request of two lines (its two first materials) and one for a material nobody has used."""
+    """Per plant and material: a request of two lines, for it and the plant's next material (after the last one, the
+    first); per plant one for a material nobody has used."""
     used = movements(spark, sf_dir).select("PLANT", "MATERIAL").distinct()
-    rank = F.row_number().over(Window.partitionBy("PLANT").orderBy("MATERIAL"))
-    two = used.withColumn("line_no", rank).where(F.col("line_no") <= 2).select(
-        F.col("PLANT").alias("request_id"), "line_no", F.col("PLANT").alias("Input_Plant"),
-        F.col("MATERIAL").alias("Input_Material"), F.lit(5000.0).alias("Total_Input_BF"),
+    at_plant = Window.partitionBy("PLANT").orderBy("MATERIAL")
+    following = F.coalesce(F.lead("MATERIAL").over(at_plant), F.min("MATERIAL").over(Window.partitionBy("PLANT")))
+    two = used.withColumn("next", following).select(
+        F.concat_ws("|", "PLANT", "MATERIAL").alias("request_id"), F.col("PLANT").alias("Input_Plant"),
+        F.posexplode(F.array("MATERIAL", "next")).alias("place", "Input_Material"),
+    ).select(
+        "request_id", (F.col("place") + 1).alias("line_no"), "Input_Plant", "Input_Material", F.lit(5000.0).alias("Total_Input_BF"),
     )
     new = used.select("PLANT").distinct().select(
         F.concat("PLANT", F.lit("|new")).alias("request_id"), F.lit(1).alias("line_no"),
@@ -126,9 +130,10 @@ def line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @as_table
 def material_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per material, at the first plant that uses it."""
-    return movements(spark, sf_dir).groupBy("MATERIAL").agg(F.min("PLANT").alias("Input_Plant")).select(
-        F.col("MATERIAL").alias("request_id"), F.col("MATERIAL").alias("Input_Material"), "Input_Plant",
+    """One request per material and plant that uses it."""
+    return movements(spark, sf_dir).select("MATERIAL", "PLANT").distinct().select(
+        F.concat_ws("|", "MATERIAL", "PLANT").alias("request_id"), F.col("MATERIAL").alias("Input_Material"),
+        F.col("PLANT").alias("Input_Plant"),
         F.lit(10000.0).alias("Total_Input_BF"), F.lit(5000.0).alias("required_output_bf"),
         F.lit(5.0).alias("safety_margin_pct"),
     )
@@ -324,7 +329,12 @@ def filtered_totals(spark, sf_dir):
 def materials_per_order(spark, sf_dir):
     received = ledger_101(spark, sf_dir)
     shared = orders.within_orders(received, orders.common_orders(received, ledger_261(spark, sf_dir)))
-    return orders.materials_per_order(shared, list_part()).withColumn("Materials", joined_text("Materials"))
+    return orders.materials_per_order(shared).withColumn("Materials", joined_text("Materials"))
+
+
+@query
+def materials_in_order(spark, sf_dir):
+    return orders.materials_in_order(ledger_101(spark, sf_dir), sequence_part())
 
 
 @query
@@ -429,14 +439,25 @@ def kd_lookup(spark, sf_dir):
     )
 
 
+def selected_outputs(spark, sf_dir, rows):
+    """The chosen (request, output) pairs: everything at plants of the first region, nothing at those of the second,
+    elsewhere outputs of a brand with an even last digit."""
+    plants = table(spark, sf_dir, "nation").select(F.col("n_name").alias("plant"), "n_regionkey")
+    asked = kd_requests(spark, sf_dir).select("request_id", "plant").join(plants, "plant", "left")
+    even = F.substring("Output_Material", -1, 1).cast("int") % 2 == 0
+    region = F.coalesce("n_regionkey", F.lit(-1))
+    return rows.join(asked.select("request_id", region.alias("region")), "request_id").where(
+        (F.col("region") == 0) | ((F.col("region") != 1) & even)
+    )
+
+
 @query
 def production_order(spark, sf_dir):
     requests = kd_requests(spark, sf_dir)
     rows = stage(
         mix.allocate_with_wastage(requests, mix.kd_distribution(requests, split_history(spark, sf_dir))), "allocation"
     )
-    selection = rows.where(F.col("Percentage") >= 5)
-    order = mix.production_order(rows, selection)
+    order = mix.production_order(rows, selected_outputs(spark, sf_dir, rows))
     return rounded(order, 2, "selected_bf", "selected_pct").select(
         "request_id", "Output_Material", "Output_Grade", "Percentage", "Planned_Output_BF", "selected_bf",
         "selected_pct",
@@ -750,6 +771,12 @@ def cv_scores(spark, sf_dir):
 
 @query
 def feature_importance(spark, sf_dir):
+    """Every feature of every model with an importance."""
+    return yield_models(spark, sf_dir).importance()
+
+
+@query
+def top_five_features(spark, sf_dir):
     return regression.top_features(yield_models(spark, sf_dir).importance())
 
 

@@ -66,8 +66,8 @@ def ledger_101(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("VOLUME", "BFOUT").drop("LOSS")
 
 
-def list_part() -> Column:
-    """Coarse prefix of the row sequence for orders too long for one list."""
+def sequence_part() -> Column:
+    """Coarse, order-preserving prefix of the row sequence."""
     seq = F.col(SEQ)
     return seq["l_linenumber"].cast("bigint") * F.lit(1 << 40) + F.floor(seq["l_partkey"] / F.lit(65536))
 
