@@ -1,139 +1,89 @@
-"""Exact, linearly interpolated quantiles that never gather a group's values in one place.
+"""Exact, linearly interpolated quantiles by range descent: no group's values are ever gathered or sorted.
 
-Spark's exact `percentile` keeps every distinct value of a group in one buffer, which a hot group overflows. Here a
-bounded sketch (`percentile_approx`) first brackets the wanted ranks, everything under the bracket collapses into one
-count during the map-side aggregation, and only the few values inside the bracket are ranked exactly.
+The range of a group's values is cut into BINS equal parts, counted with a map-side sum; the part that holds a wanted
+rank, shrunk to the smallest and largest value in it, is the next range, until it is a single value. A pass leaves about
+one value in BINS, so a few passes settle any size, and ties settle at once. All groups and ranks share the passes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yieldengine.staging import stage
 
-ACCURACY = 10_000
-_SLACK = 3.0 / ACCURACY
+BINS = 4096
 
 
-def _probes(probabilities: list[float]) -> list[float]:
-    edges = []
-    for p in probabilities:
-        edges += [max(p - _SLACK, 0.0), min(p + _SLACK, 1.0)]
-    return edges
+def _bin(value: Column, low: Column, high: Column) -> Column:
+    """Part of the range, non-decreasing in the value; halved where the range is wider than a double can say."""
+    width = high - low
+    share = F.when(width == float("inf"), (value * 0.5 - low * 0.5) / (high * 0.5 - low * 0.5)).otherwise((value - low) / width)
+    return F.least(F.floor(share * F.lit(BINS)), F.lit(BINS - 1)).cast("int")
+
+
+def _inside(values: DataFrame, open_ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """Values with the open range (_low, _high) of their group that holds them."""
+    if keys:
+        return values.join(open_ranks.select(*keys, "_low", "_high").distinct(), keys).where(
+            F.col("_v").between(F.col("_low"), F.col("_high"))
+        )
+    # without groups there are as many ranges as wanted ranks, at most
+    ranges = [(r["_low"], r["_high"]) for r in open_ranks.select("_low", "_high").distinct().collect()]
+    spans = F.array(*[F.struct(F.lit(a).alias("_low"), F.lit(b).alias("_high")) for a, b in ranges])
+    return values.select("_v", F.inline(spans)).where(F.col("_v").between(F.col("_low"), F.col("_high")))
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], column: str, names: dict[str, float]) -> DataFrame:
     """One row per key with a column per requested quantile, e.g. ``{"q25": 0.25, "q75": 0.75}``.
 
-    Groups of at most ACCURACY rows are ranked whole. In larger ones the sketch's rank error is below n / ACCURACY, so
-    a bracket three errors wide on each side must hold both neighbouring ranks; below-bracket rows become one count.
+    Null and NaN values take no part, nor do groups with a null key. `df` is scanned once per pass: pass a staged table.
     """
-    values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
-    labels, probabilities = list(names), list(names.values())
-    sketch = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", _probes(probabilities), ACCURACY).alias("_edges"),
+    value = F.col(column).cast("double")
+    values = df.where(value.isNotNull() & ~F.isnan(value)).select(*keys, value.alias("_v"))
+    for key in keys:
+        values = values.where(F.col(key).isNotNull())
+    position = {label: F.lit(p) * (F.col("_n") - 1) for label, p in names.items()}
+    wanted = F.array(*[
+        F.struct(F.lit(f"{label}|{end}").alias("_rank"), rounding(at).alias("_at"))
+        for label, at in position.items() for end, rounding in (("low", F.floor), ("high", F.ceil))
+    ])
+    groups = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    fields = [*keys, "_n", "_rank", "_at", "_low", "_high", "_below"]
+    ranks = stage(
+        groups.where("_n > 0").select(*keys, "_n", "_low", "_high", F.inline(wanted)).withColumn("_below", F.lit(0).cast("long"))
+        .select(*fields), "ranks",
     )
-    brackets = F.array(*[
-        F.struct(
-            F.lit(label).alias("q"),
-            (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
-            F.when(F.col("_n") > ACCURACY, F.col("_edges")[2 * i]).alias("lo"),
-            F.when(F.col("_n") > ACCURACY, F.col("_edges")[2 * i + 1]).alias("hi"),
+    while not ranks.where("_low < _high").isEmpty():
+        still_open = ranks.where("_low < _high")
+        counted = (
+            _inside(values, still_open, keys)
+            .groupBy(*keys, "_low", "_high", _bin(F.col("_v"), F.col("_low"), F.col("_high")).alias("_bin"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         )
-        for i, (label, p) in enumerate(zip(labels, probabilities))
-    ])
-    bracketed = sketch.select(*keys, brackets.alias("_b"))
-    if keys:
-        # one row per key, written first: its size is then known, and below the broadcast threshold `values` stays put
-        placed = values.join(stage(bracketed, "brackets"), keys)
-    else:
-        placed = values.withColumn("_b", bracketed.scalar())
-    ranked_in = (
-        placed.select(*keys, "_v", F.explode("_b").alias("_b"))
-        .where(F.col("_b.hi").isNull() | (F.col("_v") <= F.col("_b.hi")))
-        .groupBy(
-            *keys,
-            F.col("_b.q").alias("_q"),
-            F.col("_b.pos").alias("_pos"),
-            F.when(F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo")), F.col("_v")).alias("_v"),
+        upto = F.sum("_c").over(
+            Window.partitionBy(*keys, "_rank").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    # a null value is the collapsed "below the bracket" count and sorts first
-    order = Window.partitionBy(*keys, "_q").orderBy(F.col("_v").asc_nulls_first())
-    reached = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = ranked_in.withColumn("_upto", reached)
-    low_rank, high_rank = F.floor("_pos"), F.ceil("_pos")
-    low_value = F.min(F.when(F.col("_upto") > low_rank, F.col("_v")))
-    high_value = F.min(F.when(F.col("_upto") > high_rank, F.col("_v")))
-    fraction = F.max("_pos") - F.floor(F.max("_pos"))
-    per_quantile = ranked.groupBy(*keys, "_q").agg((low_value + fraction * (high_value - low_value)).alias("_value"))
-    return per_quantile.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == label, F.col("_value"))).alias(label) for label in labels]
-    )
+        # at most BINS rows for each group and rank
+        placed = still_open.join(counted, [*keys, "_low", "_high"]).withColumn("_upto", F.col("_below") + upto)
+        narrowed = placed.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))).select(
+            *keys, "_n", "_rank", "_at", F.col("_least").alias("_low"), F.col("_most").alias("_high"),
+            (F.col("_upto") - F.col("_c")).alias("_below"),
+        )
+        ranks = stage(ranks.where("_low = _high").select(*fields).unionByName(narrowed), "ranks")
 
+    def at_rank(name: str) -> Column:
+        return F.max(F.when(F.col("_rank") == name, F.col("_low")))
 
-def column_quantiles(df: DataFrame, column: str, probabilities: list[float], window: int = 100_000) -> list[float]:
-    """Exact quantiles of one column as driver scalars; `df` is scanned a few times, so pass a staged table.
+    def quantile(label: str, p: float) -> Column:
+        at, low, high = F.lit(p) * (F.max("_n") - 1), at_rank(f"{label}|low"), at_rank(f"{label}|high")
+        return low + (at - F.floor(at)) * (high - low)
 
-    Each pass narrows the brackets around the wanted ranks until they hold at most `window` rows (or a single value),
-    and only those are sorted. Two passes on small data, one more for every ten-thousandfold of rows.
-    """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    edges = values.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", _probes(probabilities), ACCURACY).alias("e"),
-    ).first()
-    n = edges["n"]
-    if not n:
-        return [None for _ in probabilities]
-    positions = [p * (n - 1) for p in probabilities]
-    ranks = [(int(position // 1), int(-(-position // 1))) for position in positions]
-    if n <= window:
-        pairs = _pick(values, ranks)
-    else:
-        brackets = [(edges["e"][2 * i], edges["e"][2 * i + 1]) for i in range(len(probabilities))]
-        pairs = _narrow(values, brackets, ranks, window)
-    return [low + (position - rank[0]) * (high - low) for position, rank, (low, high) in zip(positions, ranks, pairs)]
-
-
-def _pick(values: DataFrame, ranks: list[tuple[int, int]]) -> list[tuple[float, float]]:
-    """Values at the given 0-based ranks, by a running count over the distinct values."""
-    upto = F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = values.groupBy("v").count().withColumn("upto", upto)
-    picked = ranked.agg(*[F.min(F.when(F.col("upto") > rank, F.col("v"))) for pair in ranks for rank in pair]).first()
-    return [(picked[2 * i], picked[2 * i + 1]) for i in range(len(ranks))]
-
-
-def _narrow(
-    values: DataFrame, brackets: list[tuple[float, float]], ranks: list[tuple[int, int]], window: int
-) -> list[tuple[float, float]]:
-    found: dict[int, tuple[float, float]] = {}
-    settled: set[int] = set()
-    while len(found) < len(ranks):
-        open_ones = [i for i in range(len(ranks)) if i not in found]
-        inside = {i: F.col("v").between(*brackets[i]) for i in open_ones}
-        counts = values.agg(*[
-            c for i in open_ones for c in (
-                F.count_if(F.col("v") < F.lit(brackets[i][0])).alias(f"below{i}"), F.count_if(inside[i]).alias(f"in{i}"),
-            )
-        ]).first()
-        for i in open_ones:
-            held = counts[f"in{i}"]
-            first, last = (rank - counts[f"below{i}"] for rank in ranks[i])
-            if first < 0 or last >= held:
-                raise RuntimeError("rank outside its bracket")
-            if brackets[i][0] == brackets[i][1]:
-                found[i] = brackets[i]
-            elif held <= window or i in settled:
-                found[i] = _pick(values.where(inside[i]), [(first, last)])[0]
-            else:
-                probes = [max(first / held - _SLACK, 0.0), min((last + 1) / held + _SLACK, 1.0)]
-                sketch = values.where(inside[i]).agg(F.percentile_approx("v", probes, ACCURACY)).first()[0]
-                narrower = (sketch[0], sketch[1])
-                if narrower == brackets[i]:
-                    # both edges are values repeated so often that only a sliver lies between them
-                    settled.add(i)
-                brackets[i] = narrower
-    return [found[i] for i in range(len(ranks))]
+    found = ranks.groupBy(*keys).agg(*[quantile(label, p).alias(label) for label, p in names.items()])
+    return found
+
+
+def column_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float]:
+    """Exact quantiles of one column as driver scalars, nulls where there is no value; pass a staged table."""
+    names = {f"q{i}": p for i, p in enumerate(probabilities)}
+    return list(grouped_quantiles(df, [], column, names).first())

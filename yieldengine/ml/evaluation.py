@@ -26,30 +26,40 @@ def with_stratified_split(
 ) -> DataFrame:
     """Hold out exactly the rounded share of every class.
 
-    Each class is cut at a hash bucket: buckets below the cut are test rows without any ranking, and only the rows of
-    the one bucket where the share is reached are ranked. A class with most of the rows is therefore never sorted whole.
+    Each class is cut at a hash bucket: buckets below the cut are test rows without any ranking. The bucket where the
+    share is reached is cut again by a second hash, and only the rows of one bucket of that, one in STRATA_BUCKETS
+    squared of the class, are ranked. A class with most of the rows is therefore never sorted, nor a share of it.
     """
-    hashed = df.withColumn("_bucket", repeatable_bucket(keys, seed, STRATA_BUCKETS))
-    counts = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    per_class = Window.partitionBy(label)
-    upto = F.sum("_c").over(per_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    wanted = F.floor(F.sum("_c").over(per_class) * F.lit(test_percent / 100.0) + F.lit(0.5))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    wanted = counts.select(label, F.floor(F.col("_c") * F.lit(test_percent / 100.0) + F.lit(0.5)).alias("_wanted"))
+    edge, parts = df.join(stage(wanted, "strata"), label), []
+    for level in range(2):
+        below, above, edge = _cut(edge, label, repeatable_bucket(keys, seed + 1000 * level, STRATA_BUCKETS), df.columns)
+        parts += [below.withColumn("is_test", F.lit(True)), above.withColumn("is_test", F.lit(False))]
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(*keys))
+    edge = edge.withColumn("is_test", rank <= F.col("_wanted")).drop("_wanted")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(edge)
+
+
+def _cut(df: DataFrame, label: str, bucket: Column, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows below and above the bucket in which a class reaches its _wanted rows, and that bucket's with the rest."""
+    hashed = df.withColumn("_bucket", bucket)
+    counts = hashed.groupBy(label, "_wanted", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = (
-        counts.withColumns({"_upto": upto, "_wanted": wanted})
-        .where(F.col("_upto") >= F.col("_wanted"))
-        .groupBy(label)
-        .agg(F.min_by(
+        counts.withColumn("_upto", F.sum("_c").over(order)).where(F.col("_upto") >= F.col("_wanted"))
+        .groupBy(label).agg(F.min_by(
             F.struct(F.col("_bucket").alias("cut"), (F.col("_wanted") - F.col("_upto") + F.col("_c")).alias("rest")),
             "_bucket",
         ).alias("_at"))
     )
     placed = hashed.join(stage(cuts, "strata"), label)
-    whole = placed.where(F.col("_bucket") != F.col("_at.cut")).withColumn(
-        "is_test", F.col("_bucket") < F.col("_at.cut")
+    edge = placed.where(F.col("_bucket") == F.col("_at.cut"))
+    return (
+        placed.where(F.col("_bucket") < F.col("_at.cut")).select(*columns),
+        placed.where(F.col("_bucket") > F.col("_at.cut")).select(*columns),
+        edge.select(*columns, F.col("_at.rest").alias("_wanted")),
     )
-    rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy(*keys))
-    edge = placed.where(F.col("_bucket") == F.col("_at.cut")).withColumn("is_test", rank <= F.col("_at.rest"))
-    return whole.unionByName(edge).drop("_bucket", "_at")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
