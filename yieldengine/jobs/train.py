@@ -15,6 +15,7 @@ from yieldengine.operators.history import yield_statistics
 from yieldengine.plans.datasets import prepare_dataset
 from yieldengine.session import configure
 from yieldengine.sources.ledgers import read_ledgers, read_year_ledgers
+from yieldengine.staging import remove_staged
 
 
 def parse_arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -24,6 +25,7 @@ def parse_arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--data-dir", default="data", help="folder of yearly ledgers, with --years")
     parser.add_argument("--years", nargs="*", default=[], help="train on these years' ledgers")
     parser.add_argument("--output-dir", default="models")
+    parser.add_argument("--checkpoint-dir", help="shared folder for intermediate tables, unless spark.checkpoint.dir is set")
     parser.add_argument("--classifier", action="store_true", help="also train the output-material classifier")
     return parser.parse_args(argv)
 
@@ -52,8 +54,11 @@ def run(
 def main(argv: list[str] | None = None) -> int:
     args = parse_arguments(argv)
     spark = configure(SparkSession.builder.appName("yieldengine-train")).getOrCreate()
+    if args.checkpoint_dir:
+        spark.sparkContext.setCheckpointDir(args.checkpoint_dir)
     try:
         run(spark, args)
+        remove_staged(spark)
     except (AnalysisException, ValueError) as error:
         print(f"ERROR: {error}", file=sys.stderr)
         return 1

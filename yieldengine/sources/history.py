@@ -5,10 +5,13 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from yieldengine.plans.datasets import PreparedDataset, prepare_dataset
-from yieldengine.sources.ledgers import available_years, read_ledgers, read_raw_ledgers, read_year_ledgers
+from yieldengine.plans.datasets import prepare_dataset
+from yieldengine.sources.ledgers import (
+    NoLedger, available_years, is_missing, read_ledgers, read_raw_ledgers, read_year_ledgers,
+)
 
 
 @dataclass
@@ -26,30 +29,31 @@ def rename_summary(summary: DataFrame) -> DataFrame:
 def load_history(
     spark: SparkSession, data_dir: str, year: str | None = None, summary_path: str | None = None
 ) -> HistorySources:
-    """First source that can be read wins. The raw pair is kept beside it for booked totals."""
-    years = [year] if year else [r["year"] for r in available_years(spark, data_dir).collect()]
-    raw_261 = raw_101 = None
-    try:
-        raw_261, raw_101 = read_raw_ledgers(spark, data_dir, years)
-    except Exception as error:  # noqa: BLE001
-        warnings.warn(f"no raw ledgers: {error}", stacklevel=2)
-
-    def yearly() -> PreparedDataset:
-        return prepare_dataset(*read_year_ledgers(spark, data_dir, years))
+    """First source that is there wins. The raw pair is kept beside it for booked totals.
 
-    def generic() -> PreparedDataset:
-        return prepare_dataset(*read_ledgers(spark, f"{data_dir}/261.csv", f"{data_dir}/101.csv"))
+    Only a missing source is passed over. An error while a source is read or prepared is raised: falling through would
+    answer from other, older data.
+    """
+    try:
+        years = [year] if year else [r["year"] for r in available_years(spark, data_dir).collect()]
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        years = []
 
-    for name, load in (("yearly", yearly), ("generic", generic)):
-        if name == "yearly" and not years:
-            continue
-        try:
-            return HistorySources(load().history, raw_261, raw_101)
-        except Exception as error:  # noqa: BLE001
-            warnings.warn(f"no {name} ledgers: {error}", stacklevel=2)
-    if summary_path:
+    def there(what: str, read):
         try:
-            return HistorySources(rename_summary(spark.read.parquet(summary_path)), raw_261, raw_101)
-        except Exception as error:  # noqa: BLE001
-            warnings.warn(f"no saved summary: {error}", stacklevel=2)
-    return HistorySources(None, raw_261, raw_101)
+            return read()
+        except (NoLedger, AnalysisException) as error:
+            if not is_missing(error):
+                raise
+            warnings.warn(f"no {what}: {error}", stacklevel=3)
+            return None
+
+    raw_261, raw_101 = there("raw ledgers", lambda: read_raw_ledgers(spark, data_dir, years)) or (None, None)
+    pair = there("yearly ledgers", lambda: read_year_ledgers(spark, data_dir, years)) if years else None
+    pair = pair or there("generic ledgers", lambda: read_ledgers(spark, f"{data_dir}/261.csv", f"{data_dir}/101.csv"))
+    if pair:
+        return HistorySources(prepare_dataset(*pair).history, raw_261, raw_101)
+    summary = there("saved summary", lambda: spark.read.parquet(summary_path)) if summary_path else None
+    return HistorySources(rename_summary(summary) if summary is not None else None, raw_261, raw_101)

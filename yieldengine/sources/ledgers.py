@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yieldengine.operators.cleaning import normalise_headers, raw_ledger
 from yieldengine.schema import ORDER, SEQ
 
-# File naming of the yearly ledgers (movement type, then year).
-YEAR_FILE = r"(?i)(?:^|/)(101|261)_(\d{4})\.csv$"
+# Naming of the yearly ledgers (movement type, then year), each one file or a folder of part files.
+YEAR_LEDGER = r"(?i)^(.*(?:^|/)(101|261)_(\d{4})\.(csv|parquet))(?:/.*)?$"
+
+
+class NoLedger(ValueError):
+    """A ledger that is not there."""
+
+
+def is_missing(error: Exception) -> bool:
+    """Whether an error says that a source is not there; any other error is one of the work and must be raised."""
+    return isinstance(error, NoLedger) or (
+        isinstance(error, AnalysisException) and error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+    )
+
+
 # Option lists and the ledger columns that feed them.
 INPUT_OPTIONS = {
     "Input_Material": "MATERIAL", "Input_Specie": "MATERIALSPECIE", "Input_Grade": "TALLYGRADE",
@@ -20,28 +34,31 @@ INPUT_OPTIONS = {
 OUTPUT_OPTIONS = {"Output_Material": "MATERIAL", "Output_Specie": "MATERIALSPECIE", "Output_Grade": "TALLYGRADE"}
 
 
-def _files(spark: SparkSession, data_dir: str, pattern: str) -> DataFrame:
-    """File listing as a table; the content column is pruned, so nothing is read."""
-    return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(data_dir)
-        .select("path", F.regexp_extract("path", pattern, 1).alias("kind"),
-                F.regexp_extract("path", pattern, 2).alias("year"))
-        .where(F.col("kind") != "")
-    )
+def _ledgers(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Yearly ledgers of a folder: path, kind, year, format. The content column is pruned, so nothing is read."""
+    part = {name: F.regexp_extract("path", YEAR_LEDGER, i) for i, name in enumerate(("root", "kind", "year", "format"), 1)}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(data_dir)
+    return files.select(*[c.alias(n) for n, c in part.items()]).where(F.col("kind") != "").select(
+        F.col("root").alias("path"), "kind", "year", F.lower("format").alias("format")
+    ).distinct()
 
 
 def available_years(spark: SparkSession, data_dir: str) -> DataFrame:
     """Years for which both ledgers exist, in order."""
-    files = _files(spark, data_dir, YEAR_FILE)
+    files = _ledgers(spark, data_dir)
     issued = files.where(F.col("kind") == "261").select("year")
     received = files.where(F.col("kind") == "101").select("year")
     return issued.intersect(received).orderBy("year")
 
 
 def with_row_sequence(df: DataFrame, rank: Column | None = None) -> DataFrame:
-    """Add the file row order: source rank, split offset, then position inside the split."""
+    """Add the file row order: source rank, file, split offset, then position inside the split.
+
+    The number within a split follows how splits are packed into tasks, so it only orders rows of one split.
+    """
     return df.withColumn(SEQ, F.struct(
         (F.lit(0) if rank is None else rank).alias("source"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     ))
@@ -53,27 +70,35 @@ def read_ledger_csv(spark: SparkSession, path: str, rank: int = 0) -> DataFrame:
     return normalise_headers(with_row_sequence(raw, F.lit(rank)))
 
 
+def read_ledger_columns(spark: SparkSession, path: str, rank: int = 0) -> DataFrame:
+    """A Parquet ledger in the same form as a CSV one: all columns as text."""
+    raw = with_row_sequence(spark.read.parquet(path), F.lit(rank))
+    return normalise_headers(raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns if c != SEQ], SEQ))
+
+
 def read_ledgers(spark: SparkSession, path_261: str, path_101: str) -> tuple[DataFrame, DataFrame]:
     return read_ledger_csv(spark, path_261), read_ledger_csv(spark, path_101)
 
 
 def read_year_ledgers(spark: SparkSession, data_dir: str, years: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Yearly files tagged with their year and unioned; columns may differ between years.
+    """Yearly ledgers, files or folders of part files, tagged with their year and unioned; columns may differ.
 
-    A missing file is reported and skipped; it is an error when one side has no file at all.
+    A missing ledger is reported and skipped; it is an error when one side has none at all.
     """
-    rows = _files(spark, data_dir, YEAR_FILE).where(F.col("year").isin([str(y) for y in years])).collect()
-    paths = {(r["kind"], r["year"]): r["path"] for r in rows}
+    rows = _ledgers(spark, data_dir).where(F.col("year").isin([str(y) for y in years])).orderBy("format").collect()
+    paths = {(r["kind"], r["year"]): r for r in rows}  # a year given in both formats is read as Parquet
     sides: dict[str, list[DataFrame]] = {"261": [], "101": []}
     for rank, year in enumerate(str(y) for y in years):
         for kind, parts in sides.items():
             if (kind, year) not in paths:
-                warnings.warn(f"{kind}_{year}.csv not found", stacklevel=2)
+                warnings.warn(f"{kind}_{year} not found", stacklevel=2)
                 continue
-            ledger = read_ledger_csv(spark, paths[kind, year], rank)
+            found = paths[kind, year]
+            read = read_ledger_csv if found["format"] == "csv" else read_ledger_columns
+            ledger = read(spark, found["path"], rank)
             parts.append(ledger.withColumn("_SOURCE_YEAR", F.lit(year)))
     if not sides["261"] or not sides["101"]:
-        raise ValueError(f"could not load data for years: {years}")
+        raise NoLedger(f"could not load data for years: {years}")
     return _union(sides["261"]), _union(sides["101"])
 
 
@@ -134,11 +159,13 @@ def read_option_lists(spark: SparkSession, json_path: str) -> DataFrame:
 def load_option_lists(
     spark: SparkSession, json_path: str | None, ledgers: tuple[DataFrame, DataFrame] | None
 ) -> DataFrame:
-    """The precomputed lists if they can be read, else the ledgers; the ledgers are then never touched."""
+    """The precomputed lists if they are there, else the ledgers; the ledgers are then never touched."""
     if json_path:
         try:
             return read_option_lists(spark, json_path)
-        except Exception as error:  # noqa: BLE001 - any unreadable file falls through to the ledgers
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             warnings.warn(f"option lists not readable: {error}", stacklevel=2)
     if ledgers is None:
         return spark.createDataFrame([], "option string, value string")
