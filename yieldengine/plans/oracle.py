@@ -344,6 +344,24 @@ def _encoded() -> str:
     return f"SELECT {fields} FROM inputs i{joins}"
 
 
+CATEGORIES = ["Input_Material", "Input_Specie", "Input_Grade", "Input_Plant", "Output_Material", "Output_Specie", "Output_Grade"]
+
+
+def _codes() -> str:
+    """Codes of the categories by rank among the values present."""
+    return ", ".join(
+        f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'Unknown')) - 1 AS INTEGER) AS {c}_Encoded" for c in CATEGORIES
+    )
+
+
+def _year_totals(source: str, volume: str, kind: str) -> str:
+    return f"""
+        SELECT SOURCE_YEAR AS year, MATERIAL, CAST(IS_DELETED AS VARCHAR) AS IS_DELETED, sum({volume}) AS volume,
+               count(*) AS rows, count(DISTINCT MANUFACTURINGORDER) AS orders, '{kind}' AS ledger
+        FROM {source} WHERE SOURCE_YEAR IN (SELECT SOURCE_YEAR FROM raw261 INTERSECT SELECT SOURCE_YEAR FROM raw101)
+        GROUP BY 1, 2, 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     ledger = ("MANUFACTURINGORDER, MATERIAL, MATERIALSPECIE, TALLYGRADE, PLANT, MATERIALTHICKNESS, TALLYLENGTH, "
               "TALLYWIDTH, {}, IS_DELETED, SOURCE_YEAR")
@@ -418,6 +436,13 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN Input_Thickness <= 40 THEN Input_Thickness ELSE
                         (SELECT quantile_cont(Input_Thickness, 0.5) FROM inputs WHERE Input_Thickness <= 40) END
                    AS Input_Thickness FROM inputs"""),
+        "prepared_history": sql(["trim_out"], f"SELECT *, {_codes()} FROM trim_out"),
+        "prepared_full_history": sql(["full_history"], f"""
+            SELECT MANUFACTURINGORDER, Output_Material, Total_Input_BF, Yield_Percentage, {_codes()} FROM full_history"""),
+        "years_found": sql(["raw261", "raw101"], """
+            SELECT SOURCE_YEAR AS year FROM raw261 INTERSECT SELECT SOURCE_YEAR FROM raw101"""),
+        "year_ledgers": sql(["raw261", "raw101"], _year_totals("raw261", "BFIN", "261") + " UNION ALL "
+                            + _year_totals("raw101", "BFOUT", "101")),
         "common_orders": sql(["raw261", "raw101"], """
             SELECT MANUFACTURINGORDER FROM raw101 INTERSECT SELECT MANUFACTURINGORDER FROM raw261"""),
         "bf_per_order": sql(["raw261", "raw101"], """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from yieldengine.plans.datasets import prepare_dataset
 from yieldengine.schema import ORDER, SEQ
 from yieldengine.sources import ledgers
 from yieldengine.sources.testtables import full_ledgers, ledger_101, ledger_261, movements, sequence_part, table
-from yieldengine.staging import stage
+from yieldengine.staging import checkpoint_root, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -519,6 +520,59 @@ def encode_lookup(spark, sf_dir):
     )
 
 
+# ---------------------------------------------------------------- the composed preparation job and its sources
+
+
+@query
+def prepared_history(spark, sf_dir):
+    """The whole preparation job over the split ledgers: cleaned, joined, trimmed, encoded, gaps filled."""
+    return prepare_dataset(ledger_261(spark, sf_dir), ledger_101(spark, sf_dir)).history
+
+
+@query
+def prepared_full_history(spark, sf_dir):
+    """The same over the full ledgers, without trimming, with the features and codes that training reads."""
+    prepared = prepare_dataset(*full_ledgers(spark, sf_dir), trim_outliers=False).history
+    return prepared.select(ORDER, "Output_Material", "Total_Input_BF", "Yield_Percentage", *[
+        c for c in prepared.columns if c.endswith("_Encoded")
+    ])
+
+
+def yearly_ledgers(spark, sf_dir):
+    """The split ledgers written by year, receipts as CSV folders and issues as Parquet folders, and their folder."""
+    folder = f"{checkpoint_root(spark)}/ledgers-{uuid.uuid4().hex}"
+    for kind, ledger in (("261", ledger_261(spark, sf_dir)), ("101", ledger_101(spark, sf_dir))):
+        rows = stage(ledger.drop(SEQ), "ledger")
+        for year in [r[0] for r in rows.select("SOURCE_YEAR").distinct().orderBy("SOURCE_YEAR").collect()]:
+            of_year = rows.where(F.col("SOURCE_YEAR") == year).drop("SOURCE_YEAR")
+            if kind == "261":
+                of_year.write.parquet(f"{folder}/261_{year}.parquet")
+            else:
+                of_year.write.option("header", True).csv(f"{folder}/101_{year}.csv")
+    return folder
+
+
+@query
+def years_found(spark, sf_dir):
+    """Years for which both ledgers are found in the folder of yearly ledgers."""
+    return ledgers.available_years(spark, yearly_ledgers(spark, sf_dir))
+
+
+@query
+def year_ledgers(spark, sf_dir):
+    """Totals per year, material and deletion mark of the yearly ledgers, read back and typed."""
+    folder = yearly_ledgers(spark, sf_dir)
+    years = [r["year"] for r in ledgers.available_years(spark, folder).collect()]
+    issued, received = ledgers.read_raw_ledgers(spark, folder, years)
+
+    def totals(ledger: DataFrame, volume: str, kind: str) -> DataFrame:
+        return ledger.groupBy(F.col("_SOURCE_YEAR").alias("year"), "MATERIAL", "IS_DELETED").agg(
+            F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("rows"), F.countDistinct(ORDER).alias("orders"),
+        ).withColumn("ledger", F.lit(kind))
+
+    return totals(issued, "BFIN", "261").unionByName(totals(received, "BFOUT", "101"))
+
+
 # ---------------------------------------------------------------- simulation
 
 
