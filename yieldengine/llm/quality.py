@@ -134,7 +134,8 @@ class QualityModel:
     def log_odds(self, text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         if self.text is None or self.metadata is None:
             return np.full(len(text), self.prior)
-        return self.text.log_odds(text) + self.metadata.log_odds(_indicators(metadata)) - self.prior
+        shape = np.where(text.any(axis=1), self.text.log_odds(text), self.prior)  # an empty text tells nothing
+        return shape + self.metadata.log_odds(_indicators(metadata)) - self.prior
 
 
 def co_train(views: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> list[View]:
@@ -215,7 +216,7 @@ def _scored(shared):
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default) of every row, with quality: the probability that the document is good.
 
-    Null and empty texts are judged by their metadata and an all-zero shape. Null metadata is a class of its own. Rows
+    Null and empty texts are judged by their metadata alone. Null metadata is a class of its own. Rows
     are independent: repeated rows give repeated results, nulls stay, a table without rows gives none. A column of
     docs named quality gives way to the result.
     """
