@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
+from yieldengine.llm.batches import bound_batches
+
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings that may not stand in a text as they are; a backslash goes in after the first character. Fixed values.
 CONTROL = (
@@ -148,6 +150,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str, learned: str
     roles and texts are empty; a null conv_id is one conversation. An empty assistant text has no token under the loss.
     Further columns are ignored, a table without rows gives none.
     """
+    bound_batches(conversations.sparkSession)
     given = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
     )

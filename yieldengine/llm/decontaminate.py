@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldengine.llm.batches import bound_batches
 from yieldengine.llm.textscan import PUNCTUATED, document_words, gram_hashes, integers
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -171,6 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     or items the result is empty.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = tests.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0

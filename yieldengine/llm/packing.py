@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldengine.llm.batches import bound_batches
 from yieldengine.llm.textscan import PIECE, SPACE, utf8
 from yieldengine.llm.units import UnitEncoder
 
@@ -182,5 +183,6 @@ def pack_documents(docs: DataFrame, rank_file: str, length: int = LENGTH, paddin
     rows are packed as often as they occur, a null doc_id stays null, other columns are ignored, a table without rows
     gives none. Lengths are below 65,536, as are ids.
     """
+    bound_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return given.mapInArrow(_packed(rank_file, length, padding), FIELDS)

@@ -24,6 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldengine.llm.batches import bound_batches
 from yieldengine.llm.textscan import utf8
 from yieldengine.llm.units import UnitEncoder
 
@@ -204,6 +205,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_column: str = "text", k
     A null or empty text has no ids and decodes to the empty text. Rows are independent: repeated rows give repeated
     results, nulls in kept columns stay, other columns are ignored, a table without rows gives none.
     """
+    bound_batches(docs.sparkSession)
     given = docs.select(*[F.col(c) for c in keep], F.col(text_column).alias("__text"))
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return given.mapInArrow(_round_trip(model_file, len(keep)), f"{fields}piece_ids array<int>, decoded string")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldengine.llm.batches import bound_batches
 from yieldengine.llm.labelled import first_by_hash, one_label_per_id, sampled
 from yieldengine.llm.textscan import SPACE, document_words, utf8
 from yieldengine.staging import stage
@@ -176,6 +177,7 @@ def _sample_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on bounded samples. Without labelled documents of both kinds every document has the same quality."""
+    bound_batches(docs.sparkSession)
     labels = one_label_per_id(labels, "quality")
     chosen = first_by_hash(labels, SAMPLE, 7)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
@@ -220,6 +222,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
     are independent: repeated rows give repeated results, nulls stay, a table without rows gives none. A column of
     docs named quality gives way to the result.
     """
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "quality"]
     given = docs.select(
         *[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), F.col("lang").cast("string").alias("__lang"),

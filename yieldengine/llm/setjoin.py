@@ -22,18 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldengine.llm.batches import bound_batches
 from yieldengine.llm.components import connected_components
 from yieldengine.llm.textscan import document_words, integers, mix, shingle_set
 from yieldengine.staging import stage
 
 WORDS = 5
 PERCENT = 80
-#: A shingle seen so often within one Arrow batch is counted; the order of the others is by fingerprint alone.
-REPEATED = 4
+#: A shingle seen so often among about WINDOW successive ones is counted; the order of the others is by fingerprint alone.
+REPEATED, WINDOW = 3, 2_000_000
 #: At most so many of the most frequent shingles are told apart by the global order (any order gives the same links).
 ORDERED = 200_000
-#: Members of one block of an inverted list.
-BLOCK = 4096
+#: Members of one block of an inverted list, and cells of a pair matrix (or pairs of an output batch) held at a time.
+BLOCK, CELLS = 4096, 100_000
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,9 +48,29 @@ def _signature(shingles: np.ndarray) -> int:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document (kind 0): id, set fingerprint, set size; per repeated shingle of a batch (kind 1): shingle, count."""
+    """Per document (kind 0): id, set fingerprint, set size; per repeated shingle of a window (kind 1): shingle, count."""
+    shared: list[np.ndarray] = []
+    seen: set[int] = set()
+    held = 0
+
+    def table(kind: int, ids: list, prints: list, n: list):
+        return pa.RecordBatch.from_arrays([
+            pa.array([kind] * len(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(n, pa.int64()),
+        ], names=["kind", "doc_id", "print", "n"])
+
+    def repeated():
+        nonlocal held
+        values = np.sort(np.concatenate(shared))
+        head = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        counts = np.diff(np.append(head, len(values)))
+        often = counts >= REPEATED
+        shared.clear()
+        seen.clear()
+        held = 0
+        return table(1, [None] * int(often.sum()), values[head[often]].view(np.int64).tolist(), counts[often].tolist())
+
     for batch in batches:
-        ids, prints, sizes, shared, seen = integers(batch.column(0)), [], [], [], set()
+        prints, sizes = [], []
         for words in document_words(batch.column(1)):
             shingles = shingle_set(words, WORDS)
             sizes.append(len(shingles))
@@ -57,16 +78,12 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if prints[-1] is not None and prints[-1] not in seen:
                 seen.add(prints[-1])
                 shared.append(shingles)
-        values, counts = np.unique(np.concatenate(shared) if shared else np.zeros(0, np.uint64), return_counts=True)
-        often = counts >= REPEATED
-        values, counts = values[often].view(np.int64), counts[often]
-        n, m = len(ids), len(values)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([0] * n + [1] * m, pa.int32()),
-            pa.array(ids + [None] * m, pa.int64()),
-            pa.array(prints + values.tolist(), pa.int64()),
-            pa.array(sizes + counts.tolist(), pa.int64()),
-        ], names=["kind", "doc_id", "print", "n"])
+                held += len(shingles)
+        yield table(0, integers(batch.column(0)), prints, sizes)
+        if held >= WINDOW:
+            yield repeated()
+    if shared:
+        yield repeated()
 
 
 def _ordered(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -173,21 +190,34 @@ def _within_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     rest = None
 
     def pairs(key, i, j, block, mark, component, n, place):
-        out = []
-        for x in range(0, len(mark), 256):  # rows of the pair matrix at a time
-            s = slice(x, x + 256)
-            ok = _may_link(n[s, None], place[s, None], n[None], place[None]) & (component[s, None] != component[None])
-            ok &= mark[s, None] < mark[None]
+        rows = max(1, CELLS // len(mark))  # of the pair matrix at a time
+        for x in range(0, len(mark), rows):
+            s = slice(x, x + rows)
+            ok = (component[s, None] != component[None]) & (mark[s, None] < mark[None])
             if i[0] != j[0]:
                 ok &= block[s, None] != block[None]
-            at = np.nonzero(ok)
-            out.append(np.stack([mark[s][at[0]], mark[at[1]]]))
-        return np.concatenate(out, axis=1)
+            one, two = np.nonzero(ok)
+            one += x
+            ok = _may_link(n[one], place[one], n[two], place[two])
+            if ok.any():
+                yield np.stack([mark[one[ok]], mark[two[ok]]])
 
     def emit(parts):
         a, b = np.concatenate(parts, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def batches_of(group_columns):
+        held, size = [], 0
+        for columns in group_columns:
+            for found in pairs(*columns):
+                held.append(found)
+                size += found.shape[1]
+                if size >= CELLS:
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
+
     def groups(columns):
         changed = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns[:3]], axis=0)) + 1
         return np.split(np.arange(len(columns[0])), changed)
@@ -199,12 +229,10 @@ def _within_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(columns[0]):
             continue
         *whole, last = groups(columns)
-        parts = [pairs(*(x[g] for x in columns)) for g in whole]
-        if parts:
-            yield emit(parts)
+        yield from batches_of([x[g] for x in columns] for g in whole)
         rest = [x[last] for x in columns]
     if rest is not None:
-        yield emit([pairs(*rest)])
+        yield from batches_of([rest])
 
 
 def _sets(wanted):
@@ -329,6 +357,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     are ignored. A table without rows gives none. Sets and shingles are told apart by 64-bit fingerprints.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     survey = stage(given.mapInArrow(_survey, "kind int, doc_id long, print long, n long"), "shingle-survey")
     documents = survey.where("kind = 0").select("doc_id", "print", "n")

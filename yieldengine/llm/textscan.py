@@ -1,6 +1,6 @@
 """Whole-batch text scanning with numpy: word boundaries and 64-bit word fingerprints straight from Arrow buffers.
 
-A batch is cut into pieces of about a megabyte (at white space, so that no word is cut); memory follows the piece, not
+A batch is cut into pieces of about a quarter of a megabyte (at white space, so that no word is cut); memory follows the piece, not
 the batch or the longest document. Fingerprints are polynomial hashes modulo 2^64 over random byte values, finished
 with an invertible mixer; they depend on the bytes alone.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldengine.llm.batches import bound_batches
 from yieldengine.llm.labelled import first_by_hash, one_label_per_id, sampled
 from yieldengine.llm.textscan import NOT_LETTER, mix, pieces, span_hashes, utf8, word_spans
 from yieldengine.staging import stage
@@ -133,6 +134,7 @@ def _grades(toxic: np.ndarray, evidence: np.ndarray) -> np.ndarray:
 
 def fit_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     """Fit on at most SAMPLE labelled documents. Without labelled documents of both kinds every document is clean."""
+    bound_batches(docs.sparkSession)
     empty = SeverityModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 50.0))
     chosen = first_by_hash(one_label_per_id(labels, "toxic"), SAMPLE, 2)
     rows = sampled(docs, chosen, [F.col("text")]).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
@@ -209,6 +211,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, keep: list[str] | None
     Null and empty texts are clean. Rows are independent: repeated rows give repeated results, nulls stay, a table
     without rows gives none. A column of docs named like a result gives way to it.
     """
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("expected_severity", "grade")]
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
