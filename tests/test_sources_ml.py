@@ -237,3 +237,34 @@ def test_exports(spark, tmp_path):
     assert got.columns == ["KD_Material", "Contribution_Pct", "Expected_BF_Output", "KS_Material", "Plant", "Input_BF", "Yield_Pct"]
     assert exports.with_context(df, run="r").first()["run"] == "r"
     assert exports.display_table(df.withColumn("Yield_Std", F.lit(1.0))).columns == ["Yield Std Dev"]
+
+
+def test_every_requested_classifier_is_trained_whatever_the_number_of_classes(spark):
+    rows = [(str(n), f"K{n % 36}", n % 36, *[float((n * k) % 7 + n % 36) for k in range(1, len(FEATURE_COLUMNS) + 1)]) for n in range(216)]
+    schema = f"{ORDER} string, Output_Material string, {classification.LABEL} int, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS)
+    spec = classification.ClassifierSpec(forest_trees=2, forest_depth=2, boost_rounds=1, boost_depth=1, parallelism=6)
+    trained = classification.train_output_classifier(spark.createDataFrame(rows, schema), None, spec)
+    assert set(trained.models) == set(spec.models)
+    assert all(m["n_classes"] == 36 for m in trained.metrics)
+
+
+def test_ledgers_as_folders_and_in_columns(spark, data_dir, tmp_path):
+    issued, received = ledgers.read_year_ledgers(spark, str(data_dir), ["2024"])
+    plain = [c for c in issued.columns if c not in ("ROW_SEQ", "_SOURCE_YEAR")]
+    as_is = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    issued.select(*plain).repartition(3).write.options(**as_is).csv(f"{tmp_path}/261_2024.csv")
+    received.drop("ROW_SEQ", "_SOURCE_YEAR").repartition(2).write.parquet(f"{tmp_path}/101_2024.parquet")
+    assert [r["year"] for r in ledgers.available_years(spark, str(tmp_path)).collect()] == ["2024"]
+    got = ledgers.read_year_ledgers(spark, str(tmp_path), ["2024"])
+    for folder, file in zip(got, (issued, received)):
+        names = [c for c in file.columns if c != "ROW_SEQ"]
+        assert folder.select(*names).exceptAll(file.select(*names)).isEmpty() and folder.count() == file.count()
+
+
+def test_a_failing_source_is_raised_not_passed_over(spark, data_dir, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr("yieldengine.sources.history.prepare_dataset", broken)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        load_history(spark, str(data_dir), "2024")
