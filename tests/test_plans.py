@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 MODEL_QUERIES = {
-    "train_yield_models", "cv_scores", "feature_importance", "model_predictions", "score_yield",
+    "train_yield_models", "cv_scores", "feature_importance", "top_five_features", "model_predictions", "score_yield",
     "advanced_forward_model", "simple_forest", "output_classifier_topk", "classifier_metrics",
 }
 # queries whose result is small enough that building them at the smallest size stays quick
