@@ -414,7 +414,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
     more = stage(_plausible(more, fronts, boundary), "shingle-pairs")
     more = stage(_verified(more, given.select("text")), "shingle-links")
-    linked = connected_components(links.unionByName(more))
+    # the components so far are stars already; only what joins them is new
+    stars = linked.where("u <> component").select("u", F.col("component").alias("v"))
+    linked = connected_components(stars.unionByName(more))
 
     classes = documents.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
     named = classes.join(linked, classes["print"] == linked["u"], "left").select(
