@@ -45,13 +45,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id. Documents without an id or words stay;
     of rows that repeat a doc_id, one stays."""
     found = stage(jaccard_components(docs), "near-copies")
-    # the ids that leave grow with the documents, so they are never broadcast; one shuffle serves join and window
+    # ids that leave and ids that repeat grow with the documents, so they are never broadcast
     leave = found.where("component_id <> doc_id").select("doc_id").distinct().hint("merge")
-    numbered = (
-        docs.where("doc_id is not null").join(leave, "doc_id", "left_anti")
-        .withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").hint("merge")
+    kept = docs.join(leave, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_anti")
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn(
+        "__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     )
-    return docs.where("doc_id is null").unionByName(numbered.where("__row = 1").select(*docs.columns))
+    return once.select(*docs.columns).unionByName(again.where("__row = 1").select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
