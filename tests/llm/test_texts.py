@@ -201,6 +201,16 @@ def test_extraction_of_nulls_repeats_and_nothing(spark):
     table = spark.createDataFrame([(None, None, "<p>a</p>"), (1, "u", "<p>b</p>"), (1, "u", "<p>b</p>")], "page_id long, url string, html string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in pagetext.extract_text(table).collect()) == [("1", "b", 1), ("1", "b", 1), ("None", "a", 1)]
     assert pagetext.extract_text(table.limit(0)).count() == 0
+
+
+def test_a_repeated_undeclared_page_keeps_its_text(spark):
+    body, notice = (" ".join(f"{w}{i}" for i in range(40)) for w in "bn")
+    copies = [page(f"<div><p>{body}</p></div>", number=n) for n in (1, 1, 2)]
+    assert extract(spark, copies) == {1: body, 2: body}
+    table = spark.createDataFrame(copies, "page_id long, url string, html string")
+    assert [r["text"] for r in pagetext.extract_text(table).collect()] == [body] * 3
+    noted = [page(f"<div><p>{notice}</p><p>{own}</p></div>", number=n) for n, own in ((1, "one"), (2, "one"), (3, "three"))]
+    assert extract(spark, noted) == {1: "one", 2: "one", 3: "three"}
     assert html.unescape("&am") == "&am"
 
 
