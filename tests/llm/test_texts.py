@@ -201,6 +201,7 @@ def test_extraction_of_nulls_repeats_and_nothing(spark):
     table = spark.createDataFrame([(None, None, "<p>a</p>"), (1, "u", "<p>b</p>"), (1, "u", "<p>b</p>")], "page_id long, url string, html string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in pagetext.extract_text(table).collect()) == [("1", "b", 1), ("1", "b", 1), ("None", "a", 1)]
     assert pagetext.extract_text(table.limit(0)).count() == 0
+    assert html.unescape("&am") == "&am"
 
 
 def test_a_repeated_undeclared_page_keeps_its_text(spark):
@@ -211,7 +212,41 @@ def test_a_repeated_undeclared_page_keeps_its_text(spark):
     assert [r["text"] for r in pagetext.extract_text(table).collect()] == [body] * 3
     noted = [page(f"<div><p>{notice}</p><p>{own}</p></div>", number=n) for n, own in ((1, "one"), (2, "one"), (3, "three"))]
     assert extract(spark, noted) == {1: "one", 2: "one", 3: "three"}
-    assert html.unescape("&am") == "&am"
+
+
+def test_repeats_are_found_over_the_whole_host_however_it_is_dealt(spark):
+    notice = " ".join(f"n{i}" for i in range(20))
+    rows = [page(f"<div><p>{notice}</p><p>own{n} text{n}</p></div>", number=n) for n in range(40)]
+    rows += [page(f"<article><p>{notice}</p></article>", "g.example.com", 50), page(f"<p>{notice}</p>", "g.example.com", 51)]
+    rows += [page(f"<p>{notice}</p>", "k.example.com", 60)]
+    expected = {n: f"own{n} text{n}" for n in range(40)} | {50: notice, 51: notice, 60: notice}
+    rows[41] = page(f"<p>{notice}</p><p>more</p>", "g.example.com", 51)
+    expected[51] = "more"
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    repeats = {}
+    for count, every in ((1, True), (7, True), (43, True), (1, False), (43, False)):
+        got = pagetext.extract_text(table.repartition(count), every).collect()
+        assert {r["page_id"]: r["text"] for r in got} == expected
+        repeats[count, every] = {r["page_id"]: r["repeated_tokens"] for r in got}
+    assert repeats[1, True] == repeats[7, True] == repeats[43, True] == {n: 0 if n == 60 else 20 for n in expected}
+
+
+def test_windows_do_not_depend_on_groups(monkeypatch):
+    draw = random.Random(5)
+    made = [f"<p>{' '.join(draw.choice('ab') + str(draw.randrange(2)) for _ in range(60))}</p>" for _ in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["h", "k"] * 6), pa.array(made)], names=["host", "html"])
+
+    def summed():
+        out = {}
+        for part in pagetext._windows(iter([batch])):
+            for key, low, high in zip(*(c.to_pylist() for c in part.columns)):
+                a, b = out.get(key, (low, high))
+                out[key] = (min(a, low), max(b, high))
+        return out
+
+    whole = summed()
+    monkeypatch.setattr(pagetext, "GROUP_TOKENS", 1)
+    assert summed() == whole and any(a != b for a, b in whole.values())
 
 
 def test_urls(spark):

@@ -70,7 +70,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
-    return pagetext.extract_text(_table(spark, sf_dir, "pages")).drop("repeated_tokens")
+    return pagetext.extract_text(_table(spark, sf_dir, "pages"), count_repeats=False).drop("repeated_tokens")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
