@@ -214,6 +214,17 @@ def test_a_repeated_undeclared_page_keeps_its_text(spark):
     assert extract(spark, noted) == {1: "one", 2: "one", 3: "three"}
 
 
+def test_a_wrapper_named_after_what_it_holds_does_not_empty_the_page(spark):
+    bodies = [
+        "<body class='has-sidebar nav-open'><p>own</p></body>", "<html class='no-comments'><body><p>own</p></body></html>",
+        "<div class='with-sidebar'><div class='content'><p>own</p></div><p>more</p></div>",
+        "<div class='content'><p>own</p></div><div class='sidebar'><div class='post'>other</div></div>",
+        "<body><div class='sidebar'>menu</div><p>own</p></body>",
+    ]
+    got = extract(spark, [page(body, f"h{n}.example.com", n) for n, body in enumerate(bodies)])
+    assert got == {n: "own" for n in range(len(bodies))}
+
+
 def test_repeats_are_found_over_the_whole_host_however_it_is_dealt(spark):
     notice = " ".join(f"n{i}" for i in range(20))
     rows = [page(f"<div><p>{notice}</p><p>own{n} text{n}</p></div>", number=n) for n in range(40)]
