@@ -268,3 +268,34 @@ def test_a_failing_source_is_raised_not_passed_over(spark, data_dir, monkeypatch
     monkeypatch.setattr("yieldengine.sources.history.prepare_dataset", broken)
     with pytest.raises(RuntimeError, match="executor lost"):
         load_history(spark, str(data_dir), "2024")
+
+
+def test_registered_queries_train_with_the_published_parameters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from yieldengine.ml import classification, regression
+    from yieldengine.plans import queries
+
+    given = {}
+
+    class Seen(Exception):
+        pass
+
+    def note(name, plain):
+        def train(*args):
+            given[name] = args[plain:]
+            raise Seen
+
+        return train
+
+    monkeypatch.setattr(queries, "prepared", lambda *_: SimpleNamespace(history=None, encoders=None))
+    monkeypatch.setattr(queries, "full_ledgers", lambda *_: (None, None))
+    monkeypatch.setattr(queries.cleaning, "clean_lenient", lambda ledger: ledger)
+    monkeypatch.setattr(queries.history, "valid_yield_orders", lambda *_: None)
+    monkeypatch.setattr(regression, "train_yield_models", note("yield", 2))
+    monkeypatch.setattr(classification, "train_output_classifier", note("classes", 2))
+    monkeypatch.setattr(regression, "simple_yield_forest", note("simple", 1))
+    for run in ("train_yield_models", "classifier_metrics", "simple_forest"):
+        with pytest.raises(Seen):
+            queries.all_queries()[run](spark, "published")
+    assert given == {"yield": (), "classes": (), "simple": ()}  # no other sizes than the defaults

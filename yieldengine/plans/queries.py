@@ -771,15 +771,7 @@ def class_weights(spark, sf_dir):
 
 # ---------------------------------------------------------------- trained models
 #
-# All rows are used. The ensembles are smaller than the defaults in yieldengine.ml (200 trees of depth 15, 200 boosting
-# rounds, 5 folds) because the check runs them on one machine; the code path is the same.
-
-SMALL_YIELD_MODELS = regression.TrainingSpec(
-    forest_trees=20, forest_depth=8, boost_rounds=10, boost_depth=5, folds=3
-)
-SMALL_CLASSIFIERS = classification.ClassifierSpec(
-    forest_trees=20, forest_depth=8, boost_rounds=5, boost_depth=4
-)
+# All rows are used, with the published parameters, which are the defaults in yieldengine.ml.
 
 
 def once_per_session(fn):
@@ -804,13 +796,13 @@ def prepared(spark, sf_dir):
 @once_per_session
 def yield_models(spark, sf_dir):
     data = prepared(spark, sf_dir)
-    return regression.train_yield_models(data.history, data.encoders, SMALL_YIELD_MODELS)
+    return regression.train_yield_models(data.history, data.encoders)
 
 
 @once_per_session
 def output_classifiers(spark, sf_dir):
     data = prepared(spark, sf_dir)
-    return classification.train_output_classifier(data.history, data.encoders, SMALL_CLASSIFIERS)
+    return classification.train_output_classifier(data.history, data.encoders)
 
 
 @query
@@ -863,7 +855,7 @@ def simple_forest(spark, sf_dir):
     """The four-feature forest on orders with a valid yield."""
     issued, received = full_ledgers(spark, sf_dir)
     past = history.valid_yield_orders(cleaning.clean_lenient(issued), cleaning.clean_lenient(received))
-    return regression.simple_yield_forest(past, SMALL_YIELD_MODELS).comparison()
+    return regression.simple_yield_forest(past).comparison()
 
 
 @query
