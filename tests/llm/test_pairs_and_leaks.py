@@ -127,3 +127,20 @@ def test_leaks_of_empty_tables(leaks):
     docs, items, _ = leaks
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_long_excerpts_and_repeated_items(spark, monkeypatch):
+    rng = random.Random(21)
+    short, long = words(rng, 59), words(rng, 300)
+    docs = [
+        (1, words(rng, 40) + short[:29] + words(rng, 40)), (2, words(rng, 40) + long[100:240]), (3, short[:8] + words(rng, 60)),
+        (4, words(rng, 300)), (5, short),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(short))] * 3 + [(8, " ".join(long))], "item_id long, text string")
+    collected = []
+    real = decontaminate._item_words
+    monkeypatch.setattr(decontaminate, "_item_words", lambda texts: collected.extend(texts) or real(texts))
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == [(1, 7)] * 3 + [(2, 8)] + [(5, 7)] * 3
+    assert len(collected) == 2  # a repeated item is collected once

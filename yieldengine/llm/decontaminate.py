@@ -4,7 +4,7 @@ A seed is the shortest run of at least three words of an item that chance would
 positions, by the word frequencies of the whole corpus (not by how often the run occurs: a leaked passage may occur in
 a third of all documents). Where a document holds a seed, the words around it are aligned with the item word by word
 (match +2, mismatch -1, gap -1, local); the share of the item's full score tells exact, edited and paraphrased copies
-from chance.
+from chance. A long passage of a longer item is a copy too, by the share of the passage's own full score.
 
 Items are taken in blocks of a fixed number of words, so what a task holds of the benchmark has a bound; a larger
 benchmark costs further passes. Nothing is shuffled but word counts, and rows are independent of each other.
@@ -23,7 +23,9 @@ from yieldengine.llm.batches import bound_batches
 from yieldengine.llm.textscan import PUNCTUATED, document_words, gram_hashes, integers
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: A hit has this share of the full score of the item, or, from EXCERPT_WORDS words on, of the passage that is aligned.
 LEAST_SHARE = 0.5
+EXCERPT_WORDS = 20
 LEAST_WORDS, MOST_WORDS = 3, 16
 CHANCE = 1e-9
 #: Words of the benchmark held by a task at a time.
@@ -118,7 +120,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 
 def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, items, seeds = block.value
+        numbers, times, items, seeds = block.value
         maybe = {n: _filter(grams) for n, (grams, _, _) in seeds.items()}
         for batch in batches:
             rows = []
@@ -148,8 +150,9 @@ def _search(block):
                         if score > best[0]:
                             best = (score, a + x, a + y)
                     share = best[0] / (MATCH * len(item))
-                    if share >= LEAST_SHARE:
-                        rows.append((key, numbers[number], best[0], share, best[1], best[2]))
+                    own = best[2] - best[1]
+                    if share >= LEAST_SHARE or own >= EXCERPT_WORDS and best[0] >= LEAST_SHARE * MATCH * own:
+                        rows.extend([(key, numbers[number], best[0], share, best[1], best[2])] * times[number])
             columns = list(zip(*rows)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -164,7 +167,7 @@ FIELDS = "doc_id long, item_id long, score long, share double, first_word long,
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document row and item of which it holds a copy: doc_id, item_id, score, share (of the full score),
+    """One row per document row and item of which it holds a copy, whole or a long passage: doc_id, item_id, score, share (of the full score),
     first_word and end_word (words of the document without ASCII punctuation, from 0).
 
     Null and empty texts, and items without words, match nothing. Repeated document rows give repeated results,
@@ -174,7 +177,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     spark = docs.sparkSession
     bound_batches(spark)
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    # a repeated item is searched once, and its results are repeated
+    tests = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id"), "text").agg(F.count(F.lit(1)).alias("times"))
     size = tests.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     blocks = -(-size // BLOCK_WORDS) or 1
     out = []
@@ -190,7 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         )
         total = max(counts.pop(None, 0), 1)
         chance = {int(w): max(counts.get(int(w.view(np.int64)), 0), 1) / total for w in words}
-        value = ([r["item_id"] for r in rows], items, _seeds(items, chance))
+        value = ([r["item_id"] for r in rows], [r["times"] for r in rows], items, _seeds(items, chance))
         out.append(given.mapInArrow(_search(spark.sparkContext.broadcast(value)), FIELDS))
     if not out:
         return spark.createDataFrame([], FIELDS)
