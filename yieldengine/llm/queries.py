@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldengine.llm import chat, decontaminate, neighbours, packing, pagetext, pieces, quality, setjoin, toxicity, urls
+from yieldengine.llm import ballhash, chat, decontaminate, neighbours, packing, pagetext, pieces, quality, setjoin, toxicity, urls
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> str:
@@ -89,9 +89,16 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and its component of fingerprints within 4 bits."""
+    found = ballhash.simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_format, op2_toxicity, op3_neighbours, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op8_page_text, op9_packing, op10_pieces,
+        op11_simhash,
     )
     return {f.__name__: f for f in found}
 
