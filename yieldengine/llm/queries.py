@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldengine.llm import ballhash, chat, decontaminate, neighbours, packing, pagetext, pieces, quality, setjoin, toxicity, urls
+from yieldengine.llm import ballhash, chat, decontaminate, lexical, neighbours, packing, pagetext, pieces, quality, setjoin, spelling, toxicity, urls
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> str:
@@ -95,16 +95,26 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the texts with its near words' number, its form and its root."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_format, op2_toxicity, op3_neighbours, op4_url_filter, op5_jaccard_join, op6_decontamination, op7_quality, op8_page_text, op9_packing, op10_pieces,
-        op11_simhash,
+        op11_simhash, op12_spelling, op13_lexical_search,
     )
     return {f.__name__: f for f in found}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": URL_FILTER_SQL}
+    return {"op4_url_filter": URL_FILTER_SQL, "op13_lexical_search": LEXICAL_SEARCH_SQL}
 
 
 def _level_sql(level: str, prior: str) -> str:
@@ -149,3 +159,27 @@ SELECT page_id, host, path, rule, CASE
     WHEN m - 1.2816 * sqrt(m * (1 - m) / size) > 0.3 THEN 'block' ELSE 'allow' END AS verdict
 FROM fitted JOIN judged USING (host)
 """
+
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LEXICAL_SEARCH_SQL = f"""
+WITH given AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS terms FROM documents),
+texts AS (SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM given WHERE len(terms) > 0),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM texts),
+asked AS (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+postings AS (
+    SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM texts)
+    WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM postings, corpus GROUP BY term),
+scored AS (
+    SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+    FROM wanted JOIN postings USING (term) JOIN weights USING (term) JOIN texts USING (r), corpus GROUP BY ALL)
+SELECT * FROM (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored JOIN texts USING (r) WHERE score > 0)
+WHERE rank <= 10
+"""
