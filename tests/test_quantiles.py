@@ -75,3 +75,24 @@ def test_median_fill_touches_only_gaps(spark):
     df = spark.createDataFrame([(1.0, 1, "a"), (None, 2, None), (4.0, None, "b"), (3.0, 4, "c")], "x double, n int, s string")
     got = [tuple(r) for r in fill_medians(df).collect()]
     assert got == [(1.0, 1, "a"), (3.0, 2, None), (4.0, 2.0, "b"), (3.0, 4, "c")]
+
+
+def test_a_sketch_that_misses_the_rank_only_costs_passes(skewed, monkeypatch):
+    """Brackets beside the wanted ranks: the sides are descended into."""
+    monkeypatch.setattr(module, "SLACK", -0.02)
+    rows, df = skewed
+    values = [v for _, v in rows if v is not None]
+    wanted = [0.0, 0.2, 0.5, 0.8, 1.0]
+    assert column_quantiles(df, "v", wanted) == pytest.approx([np.quantile(values, p) for p in wanted], abs=1e-9)
+
+
+def test_a_column_takes_two_passes(spark, monkeypatch):
+    """Distinct values: one pass for the sketch, one that counts."""
+    df = spark.createDataFrame([(float(v) ** 1.5,) for v in range(20_000)], "v double").cache()
+    df.count()
+    passes = []
+    for name in ("collect", "first"):
+        method = getattr(type(df), name)
+        monkeypatch.setattr(type(df), name, lambda self, *a, _m=method: (passes.append(1), _m(self, *a))[1])
+    assert column_quantiles(df, "v", [0.01, 0.5, 0.99]) == pytest.approx(np.quantile(np.arange(20_000) ** 1.5, [0.01, 0.5, 0.99]))
+    assert len(passes) <= 3

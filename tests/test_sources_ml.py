@@ -160,7 +160,7 @@ def test_ridge_matches_the_closed_form(spark):
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, Yield_Percentage double")
     model = regression.fit("Ridge", regression.TrainingSpec(ridge_alpha=1.0), ["a", "b"], df)
     got = np.array([r["prediction"] for r in model.transform(df).select("a", "b", "prediction").collect()])
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    z = (x - x.mean(0)) / x.std(0)
     w = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
     assert got == pytest.approx(z @ w + y.mean(), abs=1e-6)
 
@@ -172,7 +172,7 @@ def test_save_and_load(spark, trained, tmp_path):
     classes = classification.train_output_classifier(data.history, data.encoders, classification.ClassifierSpec(
         forest_trees=5, forest_depth=4, boost_rounds=2, boost_depth=2))
     assert {m["model"]: m["accuracy"] > 0.9 for m in classes.metrics} == {
-        "RandomForest_Classifier": True, "GradientBoosting_Classifier": True}
+        "RandomForest_Classifier": True, "GradientBoosting_Classifier": True, "BoostedColumns_Classifier": True}
     artifacts.save_classifiers(classes, f"{folder}/2025")
     (tmp_path / "models" / "drafts").mkdir()
     assert [r["year"] for r in artifacts.available_model_years(spark, folder).collect()] == ["2025"]
@@ -186,7 +186,7 @@ def test_save_and_load(spark, trained, tmp_path):
     before = by(forward_predict(requests, models.predictor()), "request_id")
     after = by(forward_predict(requests, loaded.yields.predictor()), "request_id")
     assert before == after and 75 < before["r1"]["predicted_yield_pct"] < 85
-    for name in ("RandomForest_Classifier", "GradientBoosting_Classifier"):
+    for name in ("RandomForest_Classifier", "GradientBoosting_Classifier", "BoostedColumns_Classifier"):
         top = as_dicts(classification.predict_top_k(requests.where("request_id = 'r1'"), loaded.classifiers, 2, name).orderBy("rank"))
         assert top[0]["output_material"] == "K0" and [r["rank"] for r in top] == [1, 2]
         assert top[0]["probability"] >= top[1]["probability"]
@@ -242,7 +242,7 @@ def test_exports(spark, tmp_path):
 def test_every_requested_classifier_is_trained_whatever_the_number_of_classes(spark):
     rows = [(str(n), f"K{n % 36}", n % 36, *[float((n * k) % 7 + n % 36) for k in range(1, len(FEATURE_COLUMNS) + 1)]) for n in range(216)]
     schema = f"{ORDER} string, Output_Material string, {classification.LABEL} int, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS)
-    spec = classification.ClassifierSpec(forest_trees=2, forest_depth=2, boost_rounds=1, boost_depth=1, parallelism=6)
+    spec = classification.ClassifierSpec(forest_trees=2, forest_depth=2, boost_rounds=1, boost_depth=1)
     trained = classification.train_output_classifier(spark.createDataFrame(rows, schema), None, spec)
     assert set(trained.models) == set(spec.models)
     assert all(m["n_classes"] == 36 for m in trained.metrics)
@@ -293,9 +293,11 @@ def test_registered_queries_train_with_the_published_parameters(spark, monkeypat
     monkeypatch.setattr(queries.cleaning, "clean_lenient", lambda ledger: ledger)
     monkeypatch.setattr(queries.history, "valid_yield_orders", lambda *_: None)
     monkeypatch.setattr(regression, "train_yield_models", note("yield", 2))
+    monkeypatch.setattr(regression, "cross_validate", note("folds", 1))
     monkeypatch.setattr(classification, "train_output_classifier", note("classes", 2))
     monkeypatch.setattr(regression, "simple_yield_forest", note("simple", 1))
-    for run in ("train_yield_models", "classifier_metrics", "simple_forest"):
+    for run in ("train_yield_models", "cv_scores", "classifier_metrics", "simple_forest"):
         with pytest.raises(Seen):
             queries.all_queries()[run](spark, "published")
-    assert given == {"yield": (), "classes": (), "simple": ()}  # no other sizes than the defaults
+    plain = regression.TrainingSpec()
+    assert given == {"yield": (plain,), "folds": (plain,), "classes": (), "simple": ()}  # no other sizes than the defaults

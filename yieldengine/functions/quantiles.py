@@ -7,6 +7,8 @@ one value in BINS, so a few passes settle any size, and ties settle at once. All
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +85,61 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, names: dict[s
     return found
 
 
+#: Size of the sketch that brackets the quantiles of a whole column, and the share of rows to each side of them it leaves.
+SKETCH, SLACK = 1024, 0.01
+
+
 def column_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float]:
-    """Exact quantiles of one column as driver scalars, nulls where there is no value; pass a staged table."""
-    names = {f"q{i}": p for i, p in enumerate(probabilities)}
-    return list(grouped_quantiles(df, [], column, names).first())
+    """Exact quantiles of one column as driver scalars, nulls where there is no value; pass a staged table.
+
+    The first pass takes count, range and a sketch, which brackets every quantile; the second counts what is below and
+    above each bracket and its BINS parts. That leaves single values but where a part of a bracket holds several; those are
+    descended into as in `grouped_quantiles`, and so is the side that holds a rank the sketch has missed.
+    """
+    value = F.col(column).cast("double")
+    values = df.where(value.isNotNull() & ~F.isnan(value)).select(value.alias("_v"))
+    sketch = F.kll_sketch_agg_double("_v", SKETCH)
+    ends = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-SLACK, SLACK)]
+    # an empty sketch has no quantiles to ask for
+    bounds = [F.when(F.count("_v") > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(e))) for e in ends]
+    n, low, high, *found = values.agg(F.count("_v"), F.min("_v"), F.max("_v"), *bounds).first()
+    if not n:
+        return [None] * len(probabilities)
+    ranks = sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)})
+    # a range of values and how many are below it, for every rank
+    bracket = {}
+    for p, a, b in zip(probabilities, found[::2], found[1::2]):
+        for f in (math.floor, math.ceil):
+            bracket[f(p * (n - 1))] = (a, b)
+    at = {k: (*bracket[k], 0) for k in ranks}
+    settled = {k: low for k in ranks if low == high}
+    first = True
+    while open_ := [k for k in ranks if k not in settled]:
+        spans = sorted({at[k][:2] for k in open_})
+        inside = F.col("_v").between(F.col("_low"), F.col("_high"))
+        place = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), BINS).when(
+            F.col("_low") == F.col("_high"), 0
+        ).otherwise(_bin(F.col("_v"), F.col("_low"), F.col("_high")))
+        span = F.array(*[F.struct(F.lit(i).alias("_span"), F.lit(a).alias("_low"), F.lit(b).alias("_high")) for i, (a, b) in enumerate(spans)])
+        spread = values.select("_v", F.inline(span))
+        counted = (
+            (spread if first else spread.where(inside)).groupBy("_span", place.alias("_bin"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most")).collect()
+        )  # at most BINS + 2 rows for each rank
+        for k in open_:
+            upto = at[k][2]
+            for row in sorted((r for r in counted if spans[r["_span"]] == at[k][:2]), key=lambda r: r["_bin"]):
+                if upto + row["c"] > k:
+                    at[k] = (row["least"], row["most"], upto)
+                    break
+                upto += row["c"]
+            if at[k][0] == at[k][1]:
+                settled[k] = at[k][0]
+        first = False
+
+    def between(p: float) -> float:
+        place = p * (n - 1)
+        lower, upper = settled[math.floor(place)], settled[math.ceil(place)]
+        return lower + (place - math.floor(place)) * (upper - lower)
+
+    return [between(p) for p in probabilities]

@@ -83,17 +83,21 @@ def test_results(scored: DataFrame, actual: str, predicted: str, keep: list[str]
 
 def regression_metrics(scored: DataFrame, actual: str, predicted: str) -> DataFrame:
     """r2, MAE, RMSE and MAPE (over positive actuals) in one pass."""
+    return scored.agg(*metric_columns(actual, predicted))
+
+
+def metric_columns(actual: str, predicted: str) -> list[Column]:
     y, p = F.col(actual), F.col(predicted)
     n = F.count(F.lit(1))
     residual = F.sum((y - p) * (y - p))
     percent_error = F.avg(F.when(y > 0, F.abs((y - p) / y))) * F.lit(100.0)
-    return scored.agg(
+    return [
         n.alias("rows"),
         (F.lit(1.0) - F.try_divide(residual, F.var_pop(y) * n)).alias("r2"),
         F.avg(F.abs(y - p)).alias("mae"),
         F.sqrt(F.try_divide(residual, n.cast("double"))).alias("rmse"),
         percent_error.alias("mape"),
-    )
+    ]
 
 
 def error_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

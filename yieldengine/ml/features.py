@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +29,3 @@ def complete_features(df: DataFrame, features: list[str]) -> DataFrame:
 def encode_requests(requests: DataFrame, encoders: DataFrame, features: list[str]) -> DataFrame:
     return complete_features(apply_encoders(requests, encoders), features)
 
-
-def assembler(features: list[str]) -> VectorAssembler:
-    """Codes go in as plain numbers: no nominal metadata, so trees split them as ordered values."""
-    return VectorAssembler(inputCols=features, outputCol="features")
-
-
-def scaler() -> StandardScaler:
-    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)

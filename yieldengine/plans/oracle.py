@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from yieldengine.operators.planning import CRITICAL_CAUSE, HIGH_YIELD_CAUSES, LOW_YIELD_CAUSES
+from yieldengine.schema import FEATURE_COLUMNS
 
 
 def r(x: str, digits: int) -> str:
@@ -100,6 +101,9 @@ CTES |= {
     "full_inputs": (["full261"], _inputs("full261")),
     "full_outputs": (["full101"], _outputs("full101")),
     "full_history": (["full_inputs", "full_outputs"], _history("full_inputs", "full_outputs")),
+    "full_trim_yield": (["full_history"], _trim("full_history", "Yield_Percentage")),
+    "full_trim_in": (["full_trim_yield"], _trim("full_trim_yield", "Total_Input_BF")),
+    "full_trim_out": (["full_trim_in"], _trim("full_trim_in", "Total_Output_BF")),
     "means": (["full_history"], _MEANS),
     "overall": (["full_history"], "SELECT avg(Yield_Percentage) AS m FROM full_history"),
     "stats": (["full_history"], _SPREAD.format("full_history")),
@@ -354,6 +358,68 @@ def _codes() -> str:
     )
 
 
+RIDGE_ALPHA = 1.0
+
+
+def _ridge() -> str:
+    """Table expressions: the training rows, and per fit (-1: all folds, else without that fold) the ridge weights.
+
+    The normal equations of the features, scaled to unit deviation, are eliminated one column a step.
+    """
+    d = range(len(FEATURE_COLUMNS))
+    y = len(FEATURE_COLUMNS)
+    fields = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(FEATURE_COLUMNS))
+    names = [f"x{i}" for i in d]
+    sums = ", ".join(
+        [f"avg({x}) AS m{i}" for i, x in enumerate([*names, "y"])] + [f"stddev_pop({x}) AS s{i}" for i, x in enumerate(names)]
+        + [f"covar_pop({a}, {b}) * count(*) AS c_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate([*names, "y"])]
+    )
+    start = [
+        f"c_{i}_{j} / (s{i}{'' if j == y else f' * s{j}'}) + {RIDGE_ALPHA if i == j else 0.0}::DOUBLE AS a_{i}_{j}" for i in d for j in (*d, y)
+    ]
+    steps = [f"e0 AS (SELECT fit, {', '.join(start)} FROM sums)"]
+    for k in d:
+        kept = [j for j in (*d, y) if j > k]
+        cells = [f"a_{k}_{j} / a_{k}_{k} AS a_{k}_{j}" for j in kept]
+        cells += [f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}" for i in d if i != k for j in kept]
+        steps.append(f"e{k + 1} AS (SELECT fit, {', '.join(cells)} FROM e{k})")
+    weights = ", ".join(f"a_{i}_{y} / s{i} AS w{i}" for i in d)
+    intercept = " - ".join([f"m{y}", *(f"a_{i}_{y} / s{i} * m{i}" for i in d)])
+    return f"""
+        coded AS (SELECT *, {_codes()} FROM full_trim_out),
+        training AS (
+            SELECT {fields}, Yield_Percentage AS y, {bucket(SPLIT_KEY, 42, 100)} < 20 AS is_test, {bucket(SPLIT_KEY, 43, 5)} AS fold
+            FROM coded h),
+        fits AS (SELECT CAST(unnest([-1, 0, 1, 2, 3, 4]) AS INTEGER) AS fit),
+        sums AS (SELECT fit, {sums} FROM training, fits WHERE NOT is_test AND fold <> fit GROUP BY fit),
+        {", ".join(steps)},
+        weights AS (SELECT fit, {weights}, {intercept} AS b FROM e{y} JOIN sums USING (fit)),
+        scored AS (
+            SELECT fit, is_test, fold, y, b + {' + '.join(f'w{i} * x{i}' for i in d)} AS p FROM training, weights)"""
+
+
+def _r2(rows: str) -> str:
+    return f"1 - sum((y - p) * (y - p)) FILTER ({rows}) / (var_pop(y) FILTER ({rows}) * count(*) FILTER ({rows}))"
+
+
+def _ridge_model() -> str:
+    weights = " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, {r(column, 6)} AS weight FROM weights WHERE fit = -1"
+        for name, column in [*((c, f"w{i}") for i, c in enumerate(FEATURE_COLUMNS)), ("(intercept)", "b")]
+    )
+    return f"SELECT * FROM ({weights})"
+
+
+def _ridge_scores() -> str:
+    held = "WHERE is_test"
+    return f"""
+        SELECT fit AS fold, {r(_r2("WHERE NOT is_test"), 6)} AS train_r2, {r(_r2(held), 6)} AS held_r2,
+               {r(f"avg(abs(y - p)) FILTER ({held})", 6)} AS mae, {r(f"sqrt(avg((y - p) * (y - p)) FILTER ({held}))", 6)} AS rmse,
+               {r(f"avg(abs((y - p) / y)) FILTER ({held} AND y > 0) * 100", 6)} AS mape
+        FROM scored WHERE fit = -1 GROUP BY fit
+        UNION ALL SELECT fit, NULL, {r(_r2("WHERE fold = fit"), 6)}, NULL, NULL, NULL FROM scored WHERE fit >= 0 AND NOT is_test GROUP BY fit"""
+
+
 def _year_totals(source: str, volume: str, kind: str) -> str:
     return f"""
         SELECT SOURCE_YEAR AS year, MATERIAL, CAST(IS_DELETED AS VARCHAR) AS IS_DELETED, sum({volume}) AS volume,
@@ -684,6 +750,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT MANUFACTURINGORDER, Output_Material, {r('Actual', 6)} AS Actual, Predicted, {r('Error', 6)} AS Error,
                    {r('Error_Pct', 6)} AS Error_Pct
             FROM tested ORDER BY md5(MANUFACTURINGORDER || '|' || Output_Material || '|42') LIMIT 500"""),
+        "ridge_model": sql(["full_trim_out"], "").rstrip() + "," + _ridge() + _ridge_model(),
+        "ridge_scores": sql(["full_trim_out"], "").rstrip() + "," + _ridge() + _ridge_scores(),
         "split_and_folds": sql(["history"], f"""
             SELECT Input_Material, {bucket(SPLIT_KEY, 42, 100)} < 20 AS is_test, {bucket(SPLIT_KEY, 43, 5)} AS fold,
                    count(*) AS rows FROM history h GROUP BY 1, 2, 3"""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -771,59 +772,76 @@ def class_weights(spark, sf_dir):
 
 # ---------------------------------------------------------------- trained models
 #
-# All rows are used, with the published parameters, which are the defaults in yieldengine.ml.
+# All rows are used, with the published parameters, which are the defaults in yieldengine.ml. A query trains what its
+# result needs and nothing is kept for another query.
 
 
-def once_per_session(fn):
-    """Training runs once per session and folder; the queries below read the same trained models."""
-    kept = {}
+def prepared(spark, sf_dir):
+    return prepare_dataset(*full_ledgers(spark, sf_dir))
 
-    @functools.wraps(fn)
-    def trained(spark, sf_dir):
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in kept:
-            kept[key] = fn(spark, sf_dir)
-        return kept[key]
 
-    return trained
+def yield_models(spark, sf_dir, *names, folds=1):
+    """The named models (all, if none is named), each with its folds' scores where there are two folds or more."""
+    data = prepared(spark, sf_dir)
+    spec = regression.TrainingSpec(folds=folds)
+    return regression.train_yield_models(data.history, data.encoders, replace(spec, models=names or spec.models))
 
 
-@once_per_session
-def prepared(spark, sf_dir):
-    return prepare_dataset(*full_ledgers(spark, sf_dir))
+@query
+def ridge_model(spark, sf_dir):
+    """The weights of the ridge model on the features as they are, and its intercept."""
+    model = yield_models(spark, sf_dir, "Ridge").models["Ridge"]
+    rows = [*zip(model.features, model.weights), ("(intercept)", model.intercept)]
+    return rounded(spark.createDataFrame(rows, "feature string, weight double"), 6, "weight")
 
 
-@once_per_session
-def yield_models(spark, sf_dir):
-    data = prepared(spark, sf_dir)
-    return regression.train_yield_models(data.history, data.encoders)
+@query
+def ridge_scores(spark, sf_dir):
+    """The ridge model on the training and the held-out part, and held-out r2 of each fold (-1: the model itself)."""
+    found = yield_models(spark, sf_dir, "Ridge", folds=5).metrics[0]
+    rows = [(-1, found["train_r2"], found["test_r2"], found["MAE"], found["RMSE"], found["MAPE"])]
+    rows += [(k, None, r2, None, None, None) for k, r2 in enumerate(found["cv_scores"])]
+    schema = "fold int, train_r2 double, held_r2 double, mae double, rmse double, mape double"
+    return rounded(spark.createDataFrame(rows, schema), 6, "train_r2", "held_r2", "mae", "rmse", "mape")
 
 
-@once_per_session
-def output_classifiers(spark, sf_dir):
-    data = prepared(spark, sf_dir)
-    return classification.train_output_classifier(data.history, data.encoders)
+@query
+def train_forest(spark, sf_dir):
+    return yield_models(spark, sf_dir, "RandomForest").comparison()
+
+
+@query
+def train_gradient_boosting(spark, sf_dir):
+    return yield_models(spark, sf_dir, "GradientBoosting").comparison()
+
+
+@query
+def train_boosted_columns(spark, sf_dir):
+    return yield_models(spark, sf_dir, "BoostedColumns").comparison()
 
 
 @query
 def train_yield_models(spark, sf_dir):
-    return yield_models(spark, sf_dir).comparison()
+    """All models, compared, with the mean and deviation of their folds' scores."""
+    return yield_models(spark, sf_dir, folds=5).comparison()
 
 
 @query
 def cv_scores(spark, sf_dir):
-    return regression.cv_table(regression.metrics_table(spark, yield_models(spark, sf_dir).metrics))
+    """Held-out r2 of every model and fold."""
+    data = prepared(spark, sf_dir)
+    return regression.cross_validate(data.history, regression.TrainingSpec())
 
 
 @query
 def feature_importance(spark, sf_dir):
-    """Every feature of every model with an importance."""
-    return yield_models(spark, sf_dir).importance()
+    """Every feature with its importance in the first tree model there is, the forest."""
+    return yield_models(spark, sf_dir, "RandomForest").importance()
 
 
 @query
 def top_five_features(spark, sf_dir):
-    return regression.top_features(yield_models(spark, sf_dir).importance())
+    return regression.top_features(yield_models(spark, sf_dir, "RandomForest").importance())
 
 
 @query
@@ -832,14 +850,18 @@ def model_predictions(spark, sf_dir):
     return yield_models(spark, sf_dir).test_results
 
 
-@query
-def score_yield(spark, sf_dir):
-    """One typical request per material and plant, scored by the best model."""
+def typical_requests(spark, sf_dir):
+    """One typical request per material and plant."""
     requests = forward_requests(spark, sf_dir)
-    typical = forward.typical_features(requests, ledger_261(spark, sf_dir)).withColumns({
+    return forward.typical_features(requests, ledger_261(spark, sf_dir)).withColumns({
         "Input_Material": F.col("ks_material"), "Input_Plant": F.col("plant"), "Total_Input_BF": F.lit(10000.0),
     })
-    return forward_predict(typical, yield_models(spark, sf_dir).predictor())
+
+
+@query
+def score_yield(spark, sf_dir):
+    """Typical requests scored by the best model."""
+    return forward_predict(typical_requests(spark, sf_dir), yield_models(spark, sf_dir).predictor())
 
 
 @query
@@ -858,13 +880,14 @@ def simple_forest(spark, sf_dir):
     return regression.simple_yield_forest(past).comparison()
 
 
+def output_classifiers(spark, sf_dir):
+    data = prepared(spark, sf_dir)
+    return classification.train_output_classifier(data.history, data.encoders)
+
+
 @query
 def output_classifier_topk(spark, sf_dir):
-    requests = forward_requests(spark, sf_dir)
-    typical = forward.typical_features(requests, ledger_261(spark, sf_dir)).withColumns({
-        "Input_Material": F.col("ks_material"), "Input_Plant": F.col("plant"), "Total_Input_BF": F.lit(10000.0),
-    })
-    return classification.predict_top_k(typical, output_classifiers(spark, sf_dir), 5)
+    return classification.predict_top_k(typical_requests(spark, sf_dir), output_classifiers(spark, sf_dir), 5)
 
 
 @query

@@ -26,13 +26,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Materialise `df` under the checkpoint folder and return a reader over the written table."""
+def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
+    """Materialise `df` under the checkpoint folder and return a reader over the written table (in session `reader`)."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
 
 
 def remove_staged(spark: SparkSession) -> None:
