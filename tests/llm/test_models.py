@@ -51,6 +51,24 @@ def test_severity_on_held_out_documents(corpus):
     assert {r["grade"] for r in toxic} == {1, 2, 3} and all(0 <= r["expected_severity"] <= 3 for r in found)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.8])
+def test_severity_at_any_share_of_toxic_documents(spark, share):
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(600):
+        toxic = rng.random() < share
+        words = [f"w{rng.randrange(500)}" for _ in range(60)]
+        for _ in range(rng.randrange(2, 6) if toxic else 0):
+            words[rng.randrange(60)] = rng.choice(INSULTS)
+        docs += [(i, " ".join(words))] * (3 if i % 50 == 0 else 1)
+        labels.append((i, int(toxic)))
+    frame = spark.createDataFrame(docs + [(700, " ".join(["scum"] + ["w1"] * 200_000)), (701, "w2 " * 200_000)], "doc_id long, text string")
+    model = toxicity.fit_severity(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["grade"] for r in toxicity.score_severity(frame, model, ["doc_id"]).collect()}
+    wrong = [i for i, toxic in labels if (found[i] > 0) != bool(toxic)]
+    assert len(wrong) <= 6 and found[701] == 0
+
+
 def test_severity_passes_other_columns_and_bears_missing_labels(corpus):
     docs, labels, _ = corpus
     model = toxicity.fit_severity(docs, labels.limit(0))

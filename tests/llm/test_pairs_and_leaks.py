@@ -123,6 +123,16 @@ def test_blocks_of_items_find_the_same(leaks, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()} == expected
 
 
+def test_items_of_few_or_common_words_are_no_leaks(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join([*words(rng, 40, 50), "yes", "of course", *words(rng, 20, 50)])) for i in range(20)]
+    docs.append((30, "yes. " * 100_000 + "one very rare7 item8 indeed9"))
+    items = [(1, "yes"), (2, "Of course!"), (3, ""), (4, "yes yes yes"), (5, "one very rare7 item8 indeed9"), (6, "one very rare7 item8 indeed9")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"]) for r in got) == [(30, 5, 100_000), (30, 6, 100_000)]
+
+
 def test_leaks_of_empty_tables(leaks):
     docs, items, _ = leaks
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0

@@ -12,6 +12,25 @@ from yieldengine.llm.pieces import encoder
 from yieldengine.llm.queries import model_file
 
 
+def test_two_texts_under_one_id_and_rows_without_an_id(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    item = "rare1 item2 words3 that4 stand5 in6 a7 test8"
+    rows = [
+        (1, one), (1, two), (2, one), (None, two), (None, three), (None, three + " end"), (None, None), (None, None), (3, ""), (4, ""),
+        (5, three[:40] + " " + item), (5, two[::-1]), (None, item), (7, "own text under a hot id")] + [(7, "own text under a hot id")] * 50
+    schema = "doc_id long, text string, group int, extra map<string,int>"
+    docs = spark.createDataFrame([(i, t, 3, {"a": 1}) for i, t in rows], schema)
+    kept = corpus_pipeline.drop_copies(spark, docs.repartition(3), str(tmp_path))
+    assert kept.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    expected = [(1, one), (1, two), (None, None), (3, ""), (4, ""), *rows[10:14]]
+    third = [x for x in left if x not in expected]
+    assert sorted(map(str, left)) == sorted(map(str, expected + third)) and third in ([(None, three)], [(None, three + " end")])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(str, [tuple(r) for r in clean])) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+
+
 def test_stages_keep_clean_documents_and_their_columns(spark, tmp_path):
     documents, labels = rows(900, 7)
     texts = {r[0]: r[1] for r in documents}

@@ -185,6 +185,22 @@ def test_declared_articles_and_odd_markup(spark):
     assert got == {n: text for n, (_, text) in cases.items()}
 
 
+def test_nothing_of_an_article_is_lost(spark):
+    """Ids that links lead to, class names that only hold a page part's name, a title before the article, formulas, odd quotes."""
+    cases = {
+        1: ("<article><h2 id='cookies'>Cookies</h2><p id='notice-period'>Notice</p><section id='related'><p>r</p></section></article>", "Cookies\nNotice\nr"),
+        2: ("<article><table class='form-factors'><tr><td>a<td>b</table><ol class='menu-items'><li>c</ol><p class='navbar'>d</p></article>", "a\nb\nc"),
+        3: ("<main><div><a href='/'>Home</a></div><h1>Title</h1><p>Lead</p><article><p>Body</p></article><div>More</div></main>", "Title\nLead\nBody"),
+        4: ("<article><p>x <math><mi>holds</mi></math></p></article>", "x holds"),
+        5: ("<article><p title=don't>Text it's here</p><p data-a = \"1 > 0\">more</p><p title=\"open>end</p></article>", "Text it's here\nmore\nend"),
+        6: ("<article><p>a</p><div class='site-footer'>n</div><div class='share-buttons'>n</div><div class='my-comment-box'>n</div>"
+            "<div class='promotion-rules-of-1890'>b</div><section id='comments'>n</section></article>", "a\nb"),
+        7: ("<main><p>a</p><div class='acme-sidebar'>n</div><div id='sidebar'>n</div></main>", "a"),
+    }
+    got = extract(spark, [page(body, f"n{n}.example.com", n) for n, (body, _) in cases.items()])
+    assert got == {n: text for n, (_, text) in cases.items()}
+
+
 def test_undeclared_boilerplate_is_found_by_repetition(spark):
     rng = random.Random(3)
     notice = "this site keeps what you read for ninety days unless you ask it not to"

@@ -28,6 +28,8 @@ LEAST_SHARE = 0.5
 EXCERPT_WORDS = 20
 LEAST_WORDS, MOST_WORDS = 3, 16
 CHANCE = 1e-9
+#: An item without a seed is searched by its longest runs if chance repeats them in less than this share of positions.
+COMMON = 1e-6
 #: Words of the benchmark held by a task at a time.
 BLOCK_WORDS = 1_000_000
 
@@ -79,9 +81,9 @@ def _seeds(items: list[np.ndarray], chance: dict[int, float]) -> dict[int, tuple
                 if ahead[start + n] - ahead[start] <= np.log(CHANCE):
                     lengths.setdefault(n, []).append(start)
                     break
-        if not lengths and len(words):  # nothing rare in it: the longest runs it has
-            n = min(MOST_WORDS, len(words))
-            lengths[n] = list(range(len(words) - n + 1))
+        n = min(MOST_WORDS, len(words))
+        if not lengths and n >= LEAST_WORDS:  # nothing rare in it: the longest runs it has
+            lengths[n] = [x for x in range(len(words) - n + 1) if ahead[x + n] - ahead[x] <= np.log(COMMON)]
         for n, starts in lengths.items():
             grams = gram_hashes(words, n)
             found.setdefault(n, []).extend((int(grams[x]), number, x) for x in starts)
@@ -170,7 +172,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     """One row per document row and item of which it holds a copy, whole or a long passage: doc_id, item_id, score, share (of the full score),
     first_word and end_word (words of the document without ASCII punctuation, from 0).
 
-    Null and empty texts, and items without words, match nothing. Repeated document rows give repeated results,
+    Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words or of common words alone (COMMON):
+    a text that holds "yes" is no copy of an item "yes". Very long texts are read whole; of alignments of equal score the
+    first is reported. Repeated document rows give repeated results,
     repeated items one result each; a null doc_id or item_id stays null. Further columns are ignored. Without documents
     or items the result is empty.
     """
@@ -179,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     # a repeated item is searched once, and its results are repeated
     tests = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id"), "text").agg(F.count(F.lit(1)).alias("times"))
-    size = tests.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
+    size = tests.agg(F.sum(F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 2))).first()[0] or 0  # words, at most
     blocks = -(-size // BLOCK_WORDS) or 1
     out = []
     for block in range(blocks):

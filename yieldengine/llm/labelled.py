@@ -20,5 +20,10 @@ def first_by_hash(rows: DataFrame, most: int, seed: int) -> DataFrame:
 
 
 def sampled(docs: DataFrame, ids: DataFrame, columns: list[Column]) -> DataFrame:
-    """The documents of a bounded table of ids; it has at most a sample's rows, so it may be broadcast."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(ids), "doc_id")
+    """One document for each of a bounded table of ids; it has at most a sample's rows, so it may be broadcast.
+
+    Of rows that repeat an id the first in order of the columns is taken, so the sample stays bounded however often.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*columns).alias("row")).join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id", *[c for c in ids.columns if c != "doc_id"]).agg(F.min("row").alias("row"))
+    return one.select(*ids.columns, "row.*")

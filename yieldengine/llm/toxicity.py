@@ -133,7 +133,11 @@ def _grades(toxic: np.ndarray, evidence: np.ndarray) -> np.ndarray:
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
-    """Fit on at most SAMPLE labelled documents. Without labelled documents of both kinds every document is clean."""
+    """Fit on at most SAMPLE labelled documents. Without labelled documents of both kinds every document is clean.
+
+    Texts are read whole, in pieces, whatever their length; equal texts count once. Of different texts under one doc_id the
+    first in order is taken. Any share of the labelled documents may be toxic.
+    """
     bound_batches(docs.sparkSession)
     empty = SeverityModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 50.0))
     chosen = first_by_hash(one_label_per_id(labels, "toxic"), SAMPLE, 2)
@@ -145,13 +149,13 @@ def fit_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     if not 0 < positive < n:
         return empty
     rate = positive / n
-    # features at least five times as frequent among toxic documents, and by more than chance
+    # features at least five times as frequent among toxic documents as among others, whatever the share of toxic ones, and by more than chance
     kept = (
         marks.select("doc_id", "label", F.explode("marks").alias("mark")).groupBy("mark")
         .agg(F.count("*").alias("n"), F.sum("label").alias("toxic"), F.sum(F.hash("doc_id").cast("long")).alias("documents"))
         .groupBy("n", "toxic", "documents").agg(F.min("mark").alias("mark"))
         .withColumn("z", (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
-        .where((F.col("n") >= 5) & (F.col("z") > 4) & (F.col("toxic") >= 5 * rate * F.col("n")))
+        .where((F.col("n") >= 5) & (F.col("z") > 4) & (F.col("toxic") * (n - positive) >= 5 * positive * (F.col("n") - F.col("toxic"))))
         .orderBy(F.desc("z"), "mark").limit(FEATURES).toPandas()
     )
     if kept.empty:
@@ -208,7 +212,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, keep: list[str] | None
     """The columns `keep` (all by default) of every row, with expected_severity (0 to 3) and grade (0 clean; the
     number of thresholds that are more likely passed than not).
 
-    Null and empty texts are clean. Rows are independent: repeated rows give repeated results, nulls stay, a table
+    Null and empty texts are clean, very long ones are read whole. Rows are independent: repeated rows give repeated results, nulls stay, a table
     without rows gives none. A column of docs named like a result gives way to it.
     """
     bound_batches(docs.sparkSession)
