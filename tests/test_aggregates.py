@@ -87,12 +87,16 @@ def test_valid_yield(spark):
     assert with_yield(df).count() == 5
 
 
-def test_order_lists(ledger):
+def test_order_lists(ledger, monkeypatch):
     rows = [("1", m, "S", "A", "P", 1.0, 1.0, 1.0, float(i), False) for i, m in enumerate("BABCA")]
     rows.append(("2", "Z", "S", "A", "P", 1.0, 1.0, 1.0, 4.0, False))
     df = ledger("BFOUT", rows)
-    got = by(orders.materials_per_order(df), ORDER)
+    part = F.floor(F.col("ROW_SEQ.n") / 2)
+    got = by(orders.materials_per_order(df, part), ORDER)
     assert got["1"]["Materials"] == list("BABCA")
+    monkeypatch.setattr(orders, "BLOCK_POSITIONS", 2)
+    got = by(orders.materials_per_order(df, part), ORDER, "block")
+    assert {k: r["Materials"] for k, r in got.items()} == {("1", 0): ["B", "A"], ("1", 1): ["B", "C"], ("1", 2): ["A"], ("2", 0): ["Z"]}
     assert by(orders.distinct_materials_per_order(df), ORDER)["1"]["KD_Materials"] == list("BAC")
     placed = orders.materials_in_order(df, F.floor(F.col("ROW_SEQ.n") / 2)).orderBy(ORDER, "position").collect()
     assert [tuple(r) for r in placed] == [*(("1", i + 1, m) for i, m in enumerate("BABCA")), ("2", 1, "Z")]

@@ -13,8 +13,9 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 MODEL_QUERIES = {
-    "train_yield_models", "cv_scores", "feature_importance", "top_five_features", "model_predictions", "score_yield",
-    "advanced_forward_model", "simple_forest", "output_classifier_topk", "classifier_metrics",
+    "train_forest", "train_gradient_boosting", "train_boosted_columns", "train_yield_models", "cv_scores", "feature_importance",
+    "top_five_features", "model_predictions", "score_yield", "advanced_forward_model", "simple_forest", "simple_predictions",
+    "output_classifier_topk", "output_probabilities", "classifier_importance", "classifier_metrics",
 }
 # queries whose result is small enough that building them at the smallest size stays quick
 LAZY = [
@@ -38,6 +39,34 @@ def test_no_cross_join_and_no_python(spark, name):
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|MapInPandas", plan)
 
 
+def test_every_branch_of_the_recommendations_occurs(spark):
+    """At the size that the queries are checked at: every level, strength, weight, thin-history branch and plan status."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for path in glob.glob(f"{SF.removesuffix('0.001')}0.01/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(path)[: -len('.parquet')]} AS SELECT * FROM read_parquet('{path}')")
+    told = {name: f"({oracle_sql()[name]})" for name in ("varied_confidence", "varied_recommendations", "varied_thin_history", "forward_statuses")}
+
+    def values(name, column):
+        return {x for (x,) in db.execute(f"SELECT DISTINCT {column} FROM {told[name]}").fetchall()}
+
+    assert values("varied_confidence", "Confidence_Level") == {"HIGH", "MEDIUM", "LOW", "VERY LOW"}
+    assert values("varied_confidence", "Risk_Level") == {"LOW", "MEDIUM", "HIGH", "VERY HIGH"}
+    bounds = "CASE WHEN Historical_Orders >= 100 THEN 4 WHEN Historical_Orders >= 50 THEN 3 WHEN Historical_Orders >= 20 THEN 2 WHEN Historical_Orders >= 5 THEN 1 ELSE 0 END"
+    assert values("varied_confidence", bounds) == {0, 1, 2, 3, 4}
+    assert values("varied_confidence", "CAST(least(ceil(Yield_Std / 5), 5) AS INTEGER)") == {1, 2, 3, 4, 5}
+    assert values("varied_confidence", "Historical_Orders < 70") == {True, False}
+    assert values("varied_recommendations", "strength") == {"STRONG", "MODERATE", "WEAK"}
+    assert values("varied_thin_history", "limited_data") == {True, False}
+    assert values("forward_statuses", "status") == {"ok", "no input history", "no output history", "no output above threshold"}
+
+
+def test_the_facts_are_aggregated_once_whatever_the_patterns(spark):
+    """Requests that may give four filters: one grouping of the cells, by grouping sets."""
+    plan = plan_of(all_queries()["kd_distribution_by_thickness"](spark, SF))
+    assert plan.count("Expand") == 1 and "Union" not in plan
+
+
 def test_scan_is_pruned_and_filtered(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = plan_of(all_queries()["yield_by_material"](spark, SF))

@@ -6,7 +6,7 @@ output (its size follows the product catalogue, not the ledger), and requests jo
 
 from __future__ import annotations
 
-import functools
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,27 +34,27 @@ def _optional_match(
 ) -> DataFrame:
     """request_id with the facts under its material and every filter it gives; a null filter accepts anything.
 
-    `facts` holds sums at the finest grain. Which filters a request gives is one of a few patterns; for each pattern in
-    use the facts are summed to its columns and joined by equality on all of them, so no pair is joined to be thrown
-    away and a material with most rows is spread over its plants, grades and species. `keys` are kept beside the sums.
+    `facts` holds sums at the finest grain. Which filters a request gives is a pattern, a bit for each; the facts are summed
+    to every pattern at once by grouping sets, one pass and one shuffle, and joined by equality on the pattern and on
+    all filters. So no pair is joined to be thrown away, and a material with most rows is spread over its plants,
+    grades and species. `keys` are kept beside the sums.
     """
     columns = [c for c in filters.values() if c in facts.columns]
     given = {g: c for g, c in filters.items() if g in requests.columns and c in columns}
     measures = [c for c in facts.columns if c not in (material, *columns, *keys)]
-    shown = [F.col(g).isNotNull().alias(g) for g in given]
-    rows = requests.select(*shown).distinct().collect() if given else []
-    found = []
-    for pattern in sorted({tuple(g for g in given if row[g]) for row in rows} or {()}):
-        own = requests
-        for g in given:
-            own = own.where(F.col(g).isNotNull() if g in pattern else F.col(g).isNull())
-        cells = facts.groupBy(material, *[given[g] for g in pattern], *keys).agg(*[F.sum(c).alias(c) for c in measures])
-        on = F.col("r.material") == F.col(f"h.{material}")
-        for g in pattern:
-            on = on & (F.col(f"r.{g}") == F.col(f"h.{given[g]}"))
-        joined = own.alias("r").join(cells.alias("h"), on)
-        found.append(joined.select("r.request_id", *[F.col(f"h.{c}").alias(c) for c in (*keys, *measures)]))
-    return functools.reduce(DataFrame.unionByName, found)
+    sums = [F.sum(c).alias(c) for c in measures]
+    if not given:
+        cells = facts.groupBy(material, *keys).agg(*sums).withColumn("_pattern", F.lit(0))
+    else:
+        subsets = [s for n in range(len(given) + 1) for s in combinations(given.values(), n)]
+        pattern = sum(((1 - F.grouping(c).cast("int")) * (1 << i) for i, c in enumerate(given.values())), F.lit(0))
+        cells = facts.groupingSets([[material, *s, *keys] for s in subsets], material, *given.values(), *keys).agg(*sums, pattern.alias("_pattern"))
+    asked = sum((F.col(g).isNotNull().cast("int") * (1 << i) for i, g in enumerate(given)), F.lit(0))
+    on = (F.col("r.material") == F.col(f"h.{material}")) & (F.col("r._pattern") == F.col("h._pattern"))
+    for g, c in given.items():
+        on = on & F.col(f"r.{g}").eqNullSafe(F.col(f"h.{c}"))
+    joined = requests.withColumn("_pattern", asked).alias("r").join(cells.alias("h"), on)
+    return joined.select("r.request_id", *[F.col(f"h.{c}").alias(c) for c in (*keys, *measures)])
 
 
 def share_by_count(outputs: DataFrame) -> DataFrame:

@@ -49,12 +49,15 @@ def materials_in_order(df: DataFrame, part: Column) -> DataFrame:
     )
 
 
-def materials_per_order(df: DataFrame) -> DataFrame:
-    """The same as one list per order, for orders whose rows fit a list; `materials_in_order` has no such bound."""
-    in_order = F.sort_array(F.collect_list(F.struct(F.col(SEQ).alias("seq"), F.col("MATERIAL").alias("material"))))
-    return df.where(F.col("MATERIAL").isNotNull()).groupBy(ORDER).agg(
-        F.transform(in_order, lambda p: p["material"]).alias("Materials")
-    )
+#: Positions of an order that make one list.
+BLOCK_POSITIONS = 1000
+
+
+def materials_per_order(df: DataFrame, part: Column) -> DataFrame:
+    """The same as lists: one row per order and block (from 0) of BLOCK_POSITIONS positions, so every list is bounded."""
+    placed = materials_in_order(df, part).withColumn("block", F.floor((F.col("position") - 1) / BLOCK_POSITIONS).cast("int"))
+    in_order = F.sort_array(F.collect_list(F.struct("position", F.col("MATERIAL").alias("material"))))
+    return placed.groupBy(ORDER, "block").agg(F.transform(in_order, lambda p: p["material"]).alias("Materials"))
 
 
 def distinct_materials_per_order(df: DataFrame) -> DataFrame:

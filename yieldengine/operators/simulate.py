@@ -9,7 +9,8 @@ from yieldengine.functions import blended_yield, confidence, half_even, moments,
 from yieldengine.operators.predictors import Predictor, forward_predict, predict_yield
 from yieldengine.schema import ORDER
 
-SALTS = 16
+#: Units without history of their own that share a copy of the totals of all history.
+UNITS_A_COPY = 1000
 DEFAULT_R2 = 0.2
 NO_HISTORY_SPREAD = 15.0
 SAFE_YIELD_PCT = 91.5
@@ -42,18 +43,19 @@ def _history_for(units: DataFrame, unit: list[str], pairs: DataFrame) -> DataFra
     """History sums per unit (request or request line) and output, over all of the unit's distinct materials.
 
     A unit none of whose materials has history gets everything: it joins the per-output totals, which are kept in
-    SALTS copies so that many such units do not meet on a single key.
+    as many copies as such units ask for, so that no key holds many of them.
     """
     wanted = units.select(*unit, "Input_Material").distinct()
     known = pairs.select("Input_Material").distinct().withColumn("_known", F.lit(True))
     unmatched = (
         wanted.join(known, "Input_Material", "left")
         .groupBy(*unit).agg(F.count("_known").alias("_hits"))
-        .where(F.col("_hits") == 0)
-        .select(*unit, F.pmod(F.xxhash64(*unit), F.lit(SALTS)).alias("_salt"))
+        .where(F.col("_hits") == 0).select(*unit)
     )
+    copies = unmatched.agg(F.ceil((F.count(F.lit(1)) + 1) / UNITS_A_COPY).alias("copies")).scalar()
+    unmatched = unmatched.withColumn("_salt", F.pmod(F.xxhash64(*unit), copies))
     everything = _merged(pairs, "Output_Material").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))
     )
     found = wanted.join(pairs, "Input_Material").select(*unit, "Output_Material", *_SUMS)
     rest = unmatched.join(everything, "_salt").select(*unit, "Output_Material", *_SUMS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from yieldengine.operators.planning import CRITICAL_CAUSE, HIGH_YIELD_CAUSES, LOW_YIELD_CAUSES
 from yieldengine.schema import FEATURE_COLUMNS
 
@@ -358,6 +360,42 @@ def _codes() -> str:
     )
 
 
+def _thin(source: str) -> str:
+    return f"""
+        SELECT request_id, output_material, historical_orders, {r('100.0::DOUBLE - expected_yield', 2)} AS production_loss_pct,
+               {r('total - expected_output_bf', 2)} AS loss_bf, historical_orders <= 5 AS limited_data,
+               CASE WHEN historical_orders <= 5 THEN {r('total * 0.915::DOUBLE', 2)} END AS safer_output_bf
+        FROM (SELECT *, CASE WHEN expected_yield > 0 THEN expected_output_bf / (expected_yield / 100.0::DOUBLE) ELSE 0 END AS total
+              FROM {source})"""
+
+
+def _renamed(name: str, mapping: dict[str, str]) -> tuple[list[str], str]:
+    """A shared table expression over other tables."""
+    needs, text = CTES[name]
+    for old, new in mapping.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return [mapping.get(n, n) for n in needs], text
+
+
+# The varied history and its requests, and what the simulation makes of them.
+CTES["varied_history"] = (["full_history"], """
+    SELECT MANUFACTURINGORDER, CASE WHEN part % 2 = 0 THEN Input_Material WHEN part = 1 THEN Input_Material || '*'
+               ELSE Input_Material || '@' || Input_Plant END AS Input_Material, 'any' AS Input_Plant,
+           CASE WHEN part % 2 = 0 THEN 'Main' WHEN part = 1 AND CAST(MANUFACTURINGORDER AS BIGINT) % 6 < 3 THEN 'Half' ELSE Output_Material END
+               AS Output_Material, Total_Input_BF, y AS Yield_Percentage, Total_Input_BF * y / 100.0::DOUBLE AS Total_Output_BF
+    FROM (SELECT *, greatest(0.0::DOUBLE, 92.0::DOUBLE - 9.0::DOUBLE * ((CAST(substr(Input_Material, 7) AS INTEGER) - 1) // 5)
+                 + (Yield_Percentage - 92.0::DOUBLE)
+                   * [1.0::DOUBLE, 3.0, 4.5, 6.0, 9.0][CAST(substr(Input_Material, 7) AS INTEGER) % 5 + 1]) AS y, n_nationkey % 4 AS part
+          FROM full_history JOIN nation ON n_name = Input_Plant)""")
+CTES["varied_lines"] = (["varied_history"], """
+    SELECT DISTINCT Input_Material AS request_id, 1::INTEGER AS line_no, 'any' AS Input_Plant, Input_Material, 5000.0::DOUBLE AS Total_Input_BF
+    FROM varied_history""")
+_VARIED = {"full_history": "varied_history", "line_requests": "varied_lines"} | {
+    name: f"varied_{name}" for name in ("means", "overall", "scored_lines", "request_rows", "candidates", "enhanced_raw", "enhanced", "top")
+}
+CTES |= {_VARIED[name]: _renamed(name, _VARIED) for name in _VARIED if name not in ("full_history", "line_requests")}
+
+
 RIDGE_ALPHA = 1.0
 
 
@@ -434,7 +472,7 @@ def oracle_sql() -> dict[str, str]:
     dims = "MATERIALTHICKNESS * TALLYWIDTH * TALLYLENGTH / 144.0::DOUBLE"
     chosen = "PLANT = 'NATION_1' AND MATERIALSPECIE = 'ECONOMY'"
     summary_cols = "mean, std, min, max"
-    return {
+    found = {
         "clean_strict": sql(["c261"], f"SELECT {ledger.format('BFIN')} FROM c261"),
         "clean_lenient": sql(["c101"], f"""
             SELECT {ledger.format('BFOUT')}, strftime(POSTINGDATE, '%Y-%m-%d') AS POSTINGDATE
@@ -519,8 +557,9 @@ def oracle_sql() -> dict[str, str]:
                    (SELECT coalesce(sum(BFOUT), 0) FROM raw101 WHERE {chosen}) AS total_bfout
             FROM raw261 WHERE {chosen}"""),
         "materials_per_order": sql(["raw261", "raw101"], """
-            SELECT MANUFACTURINGORDER, string_agg(MATERIAL, ',' ORDER BY ln, pk, sk) AS Materials
-            FROM raw101 WHERE MANUFACTURINGORDER IN (SELECT MANUFACTURINGORDER FROM raw261) GROUP BY 1"""),
+            SELECT MANUFACTURINGORDER, CAST((nth - 1) // 1000 AS INTEGER) AS block, string_agg(MATERIAL, ',' ORDER BY nth) AS Materials
+            FROM (SELECT *, row_number() OVER (PARTITION BY MANUFACTURINGORDER ORDER BY ln, pk, sk) AS nth FROM raw101)
+            WHERE MANUFACTURINGORDER IN (SELECT MANUFACTURINGORDER FROM raw261) GROUP BY 1, 2"""),
         "materials_in_order": sql(["raw101"], """
             SELECT MANUFACTURINGORDER, MATERIAL,
                    row_number() OVER (PARTITION BY MANUFACTURINGORDER ORDER BY ln, pk, sk) AS position FROM raw101"""),
@@ -655,13 +694,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, w * hist + (1.0::DOUBLE - w) * model AS final FROM candidates)"""),
         "simulate_outputs_enhanced": sql(["enhanced"], "SELECT * FROM enhanced"),
         "top_recommendation": sql(["top"], "SELECT * FROM top"),
-        "thin_history_estimate": sql(["top"], f"""
-            SELECT request_id, output_material, historical_orders,
-                   {r('100.0::DOUBLE - expected_yield', 2)} AS production_loss_pct,
-                   {r('total - expected_output_bf', 2)} AS loss_bf, historical_orders <= 5 AS limited_data,
-                   CASE WHEN historical_orders <= 5 THEN {r('total * 0.915::DOUBLE', 2)} END AS safer_output_bf
-            FROM (SELECT *, CASE WHEN expected_yield > 0 THEN expected_output_bf / (expected_yield / 100.0::DOUBLE)
-                            ELSE 0 END AS total FROM top)"""),
+        "thin_history_estimate": sql(["top"], _thin("top")),
         "prediction_summary": sql(["summary"], "SELECT * FROM summary"),
         "best_case_waste": sql(["summary"], f"""
             SELECT request_id, best_output, {r('total_input_bf - best_output_bf', 2)} AS waste_bf,
@@ -750,6 +783,89 @@ def oracle_sql() -> dict[str, str]:
             SELECT MANUFACTURINGORDER, Output_Material, {r('Actual', 6)} AS Actual, Predicted, {r('Error', 6)} AS Error,
                    {r('Error_Pct', 6)} AS Error_Pct
             FROM tested ORDER BY md5(MANUFACTURINGORDER || '|' || Output_Material || '|42') LIMIT 500"""),
+        "kd_distribution_by_thickness": sql(["history"], f"""
+            SELECT material, thickness, grade, species, plant, Output_Material, Output_Grade, BF_Output, Order_Count,
+                   {r('BF_Output / sum(BF_Output) OVER (PARTITION BY material, thickness, grade, species, plant) * 100.0::DOUBLE', 2)} AS Percentage
+            FROM (SELECT q.*, h.Output_Material, h.Output_Grade, {r('sum(h.Total_Output_BF)', 2)} AS BF_Output, count(*) AS Order_Count
+                  FROM (SELECT DISTINCT Input_Material AS material, CASE WHEN p & 1 > 0 THEN Input_Thickness END AS thickness,
+                               CASE WHEN p & 2 > 0 THEN Input_Grade END AS grade, CASE WHEN p & 4 > 0 THEN Input_Specie END AS species,
+                               CASE WHEN p & 8 > 0 THEN Input_Plant END AS plant
+                        FROM (SELECT *, (CAST(floor(Input_Thickness) AS INTEGER) + length(Input_Plant)) % 16 AS p FROM history)) q
+                  JOIN history h ON h.Input_Material = q.material AND (q.thickness IS NULL OR h.Input_Thickness = q.thickness)
+                       AND (q.grade IS NULL OR h.Input_Grade = q.grade) AND (q.species IS NULL OR h.Input_Specie = q.species)
+                       AND (q.plant IS NULL OR h.Input_Plant = q.plant)
+                  GROUP BY ALL)"""),
+        "forward_by_contribution": sql(["forward"], """
+            SELECT request_id, kd AS KD_Material, share AS Contribution_Pct FROM forward WHERE status = 'ok'"""),
+        "allocation_by_expected_volume": sql(["kd_alloc"], "SELECT request_id, Output_Material, Output_Grade, Expected_Output_BF FROM kd_alloc"),
+        "forward_statuses": sql(["pair_in", "pair_orders", "raw101"], f"""
+            , few AS (
+                SELECT p.ks, p.plant, o.MATERIAL AS kd, sum(BFOUT) AS bf, count(DISTINCT o.MANUFACTURINGORDER) AS orders,
+                       CASE WHEN CAST(substr(p.ks, 7) AS INTEGER) % 2 = 0 THEN 0 ELSE 5 END AS least_
+                FROM pair_orders p JOIN raw101 o ON o.MANUFACTURINGORDER = p.MANUFACTURINGORDER
+                WHERE CAST(o.MANUFACTURINGORDER AS BIGINT) % 16 = 0 GROUP BY 1, 2, 3)
+            SELECT i.ks || '|' || i.plant AS request_id,
+                   CASE WHEN t.bf IS NULL THEN 'no output history' WHEN k.kd IS NULL THEN 'no output above threshold' ELSE 'ok' END AS status,
+                   i.orders AS total_orders, coalesce(t.n, 0) AS kd_materials_count, k.kd AS KD_Material, k.orders AS Order_Count,
+                   {r('k.bf / t.kept * 100.0::DOUBLE', 2)} AS Contribution_Pct
+            FROM pair_in i
+            LEFT JOIN (SELECT ks, plant, sum(bf) AS bf, sum(bf) FILTER (orders > least_) AS kept, count(*) FILTER (orders > least_) AS n
+                       FROM few GROUP BY 1, 2) t ON t.ks = i.ks AND t.plant = i.plant
+            LEFT JOIN (SELECT * FROM few WHERE orders > least_) k ON k.ks = i.ks AND k.plant = i.plant
+            UNION ALL SELECT DISTINCT 'unused|' || plant, 'no input history', NULL, 0, NULL, NULL, NULL FROM pair_in"""),
+        "default_ledgers": sql(["raw261", "raw101"], " UNION ALL ".join(f"""
+            SELECT MATERIAL, CAST(IS_DELETED AS VARCHAR) AS IS_DELETED, sum({volume}) AS volume, count(*) AS rows,
+                   count(DISTINCT MANUFACTURINGORDER) AS orders, '{kind}' AS ledger FROM raw{kind} GROUP BY 1, 2"""
+            for kind, volume in (("261", "BFIN"), ("101", "BFOUT")))),
+        "history_sources": sql(["history", "trim_out"], " UNION ALL ".join(f"""
+            SELECT Input_Material, CAST(count(*) AS BIGINT) AS rows, {r('avg(Yield_Percentage)', 6)} AS mean_yield, '{source}' AS source
+            FROM {rows} GROUP BY 1""" for rows, source in (("trim_out", "ledgers"), ("history", "summary")))),
+        "exported_distribution": sql(["forward"], f"""
+            SELECT kd AS KD_Material, {r('kd_bf', 2)} AS Historical_BF_Output, kd_orders AS Order_Count, share AS Contribution_Pct,
+                   {r('10000.0::DOUBLE * (hist_yield / 100.0::DOUBLE) * share / 100.0::DOUBLE', 2)} AS Expected_BF_Output,
+                   ks_material AS KS_Material, plant AS Plant, input_bf AS Input_BF,
+                   {r('10000.0::DOUBLE * (hist_yield / 100.0::DOUBLE)', 2)} AS Predicted_Total_Output_BF, {r('hist_yield', 2)} AS Yield_Pct
+            FROM forward WHERE status = 'ok'"""),
+        "exported_results": sql(["enhanced"], """
+            SELECT 'all plants' AS run, Output_Material AS output_material, Confidence_Level AS confidence, Confidence_Score AS score,
+                   Historical_Orders AS orders, Predicted_Yield_Pct AS yield_pct, Recommendation_Score AS recommendation FROM enhanced"""),
+        "prepared_features": sql(["inputs"], """
+            SELECT MANUFACTURINGORDER, Total_Input_BF,
+                   CASE WHEN Input_Length <= 40 THEN Input_Length ELSE
+                        (SELECT quantile_cont(Input_Length, 0.5) FROM inputs WHERE Input_Length <= 40) END AS Input_Length,
+                   'Total_Input_BF,Input_Length' AS used, CASE WHEN Input_Length <= 40 THEN Input_Length ELSE 0 END AS Scoring_Length,
+                   0.0::DOUBLE AS Input_Absent FROM inputs"""),
+        "order_lines": sql(["raw261", "raw101"], " UNION ALL ".join(
+            f"SELECT MANUFACTURINGORDER, MATERIAL, PLANT, {volume} AS bf, '{volume}' AS side FROM raw{kind} WHERE MANUFACTURINGORDER = '7'"
+            for kind, volume in (("261", "BFIN"), ("101", "BFOUT")))),
+        "preview_lines": sql(["raw261"], """
+            SELECT MANUFACTURINGORDER, MATERIAL, PLANT, BFIN FROM raw261 ORDER BY CAST(MANUFACTURINGORDER AS BIGINT), ln, pk, sk LIMIT 25"""),
+        "predictions_with_fallback": sql(["candidates", "scored_lines"], f"""
+            SELECT request_id, Output_Material, {r('w * hist + (1.0::DOUBLE - w) * model', 2)} AS Predicted_Yield_Pct,
+                   {r('Input_BF * (w * hist + (1.0::DOUBLE - w) * model) / 100.0::DOUBLE', 2)} AS Predicted_Output_BF,
+                   {r('hist', 2)} AS Historical_Yield_Pct, n AS Historical_Orders,
+                   CASE WHEN lines > 1 THEN 'Multi-Input' ELSE 'Single-Input' END AS Model_Type, NULL AS Confidence_Level, NULL AS Risk_Level,
+                   CAST(NULL AS INTEGER) AS Confidence_Score
+            FROM candidates WHERE Input_Material NOT LIKE 'New-%'
+            UNION ALL
+            SELECT request_id, 'Predicted Output', predicted_yield_pct, predicted_output_bf, predicted_yield_pct, 0, 'Single-Input', 'LOW',
+                   'HIGH', 30 FROM scored_lines WHERE Input_Material LIKE 'New-%'"""),
+        "varied_confidence": sql(["varied_enhanced"], """
+            SELECT request_id, Output_Material, Predicted_Yield_Pct, Yield_Min_Pct, Yield_Max_Pct, Yield_Std, Confidence_Score,
+                   Confidence_Level, Risk_Level, Historical_Orders, Recommendation_Score FROM varied_enhanced"""),
+        "varied_recommendations": sql(["varied_top"], """
+            SELECT request_id, strength, output_material, expected_yield, confidence_level, risk_level, historical_orders, message
+            FROM varied_top"""),
+        "varied_thin_history": sql(["varied_top"], _thin("varied_top")),
+        "stored_models": sql(["full_trim_out"], "").rstrip() + "," + _ridge() + f"""
+            SELECT year, year AS trained_years, 'Ridge' AS best_model, CAST({len(FEATURE_COLUMNS)} AS INTEGER) AS num_features, feature, weight
+            FROM ({_ridge_model()}) CROSS JOIN (
+                SELECT CAST(year AS VARCHAR) AS year FROM (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem WHERE l_linestatus = 'F'
+                    INTERSECT SELECT year(l_shipdate) FROM lineitem WHERE l_linestatus = 'O') ORDER BY 1 DESC LIMIT 2)
+            WHERE feature <> '(intercept)'""",
+        "stored_test_results": sql(["full_trim_out"], "").rstrip() + "," + _ridge() + f"""
+            SELECT {r('y', 4)} AS Actual, {r('p', 4)} AS Predicted, {r('y - p', 4)} AS Error, {r('(y - p) / y * 100.0::DOUBLE', 4)} AS Error_Pct
+            FROM scored WHERE fit = -1 AND is_test""",
         "ridge_model": sql(["full_trim_out"], "").rstrip() + "," + _ridge() + _ridge_model(),
         "ridge_scores": sql(["full_trim_out"], "").rstrip() + "," + _ridge() + _ridge_scores(),
         "split_and_folds": sql(["history"], f"""
@@ -763,3 +879,4 @@ def oracle_sql() -> dict[str, str]:
                    {r('CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n)', 8)} AS weight
             FROM (SELECT Output_Material, count(*) AS n FROM history GROUP BY 1)"""),
     }
+    return found | {"saved_option_lists": found["option_lists"]}

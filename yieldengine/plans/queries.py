@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yieldengine.functions import half_even
-from yieldengine.ml import classification, evaluation, regression
+from yieldengine.ml import artifacts, classification, evaluation, regression
+from yieldengine.ml.features import complete_features, prepare_features
 from yieldengine.operators import cleaning, encode, forward, history, mix, orders, planning, ranking, simulate
 from yieldengine.operators.aggregates import aggregate_inputs, aggregate_outputs
 from yieldengine.operators.predictors import forward_predict, mean_yield_predictor
 from yieldengine.operators.volume import derive_input_volume, derive_output_volume
 from yieldengine.plans.datasets import prepare_dataset
 from yieldengine.schema import ORDER, SEQ
-from yieldengine.sources import ledgers
+from yieldengine.sources import exports, ledgers
+from yieldengine.sources.history import load_history
 from yieldengine.sources.testtables import full_ledgers, ledger_101, ledger_261, movements, sequence_part, table
 from yieldengine.staging import checkpoint_root, stage
 
@@ -331,7 +333,7 @@ def filtered_totals(spark, sf_dir):
 def materials_per_order(spark, sf_dir):
     received = ledger_101(spark, sf_dir)
     shared = orders.within_orders(received, orders.common_orders(received, ledger_261(spark, sf_dir)))
-    return orders.materials_per_order(shared).withColumn("Materials", joined_text("Materials"))
+    return orders.materials_per_order(shared, sequence_part()).withColumn("Materials", joined_text("Materials"))
 
 
 @query
@@ -405,6 +407,26 @@ def kd_distribution_by_grade(spark, sf_dir):
     return mix.kd_distribution(graded_requests(spark, sf_dir), split_history(spark, sf_dir))
 
 
+@query
+def kd_distribution_by_thickness(spark, sf_dir):
+    """Requests that give any of thickness, grade, species and plant: one for each of the orders' own attributes."""
+    past = stage(split_history(spark, sf_dir), "history")
+    given = {"thickness": "Input_Thickness", "grade": "Input_Grade", "species": "Input_Specie", "plant": "Input_Plant"}
+    # which filters a request gives follows from its thickness and plant, so that every pattern occurs
+    pattern = F.pmod(F.floor("Input_Thickness") + F.length("Input_Plant"), F.lit(16)).cast("int")
+    asked = past.select("Input_Material", pattern.alias("pattern"), *[
+        F.when(F.shiftright(pattern, i) % 2 == 1, F.col(c)).alias(g) for i, (g, c) in enumerate(given.items())
+    ]).distinct()
+    requests = stage(asked.select(
+        F.concat_ws("|", "Input_Material", *[F.coalesce(F.col(g).cast("string"), F.lit("*")) for g in given]).alias("request_id"),
+        F.col("Input_Material").alias("material"), *given,
+    ).distinct(), "thickness-requests")
+    found = mix.kd_distribution(requests, past)
+    return requests.join(found, "request_id").select(
+        "material", *given, "Output_Material", "Output_Grade", "BF_Output", "Order_Count", "Percentage"
+    )
+
+
 @query
 def kd_wastage_allocation(spark, sf_dir):
     requests = kd_requests(spark, sf_dir)
@@ -473,6 +495,34 @@ def material_forward(spark, sf_dir):
     )
 
 
+@query
+def forward_by_contribution(spark, sf_dir):
+    """The rows of the plans, the largest contribution first."""
+    plan = forward.material_forward(forward_requests(spark, sf_dir), ledger_261(spark, sf_dir), ledger_101(spark, sf_dir))
+    return ranking.by_contribution(plan.where(F.col("status") == "ok").select("request_id", "KD_Material", "Contribution_Pct"))
+
+
+@query
+def allocation_by_expected_volume(spark, sf_dir):
+    """The rows of the allocations, the largest expected volume first."""
+    requests = kd_requests(spark, sf_dir)
+    allocated = mix.allocate_with_wastage(requests, mix.kd_distribution(requests, split_history(spark, sf_dir)))
+    return ranking.by_expected_volume(allocated.select("request_id", "Output_Material", "Output_Grade", "Expected_Output_BF"))
+
+
+@query
+def forward_statuses(spark, sf_dir):
+    """Plans on receipts of every 16th order alone, for brands of even number by any order, else by more than five; with
+    a request per plant for a material that nobody has used."""
+    even = F.regexp_extract("ks_material", r"(\d+)$", 1).cast("int") % 2 == 0
+    asked = forward_requests(spark, sf_dir).withColumn("min_order_count", F.when(even, 0).otherwise(F.col("min_order_count")))
+    unused = asked.select(F.concat(F.lit("unused|"), "plant").alias("request_id"), F.lit("unused").alias("ks_material"),
+                          "plant", "input_bf", "min_order_count").distinct()
+    received = ledger_101(spark, sf_dir).where(F.col(ORDER).cast("bigint") % 16 == 0)
+    plan = forward.material_forward(asked.unionByName(unused), ledger_261(spark, sf_dir), received)
+    return plan.select("request_id", "status", "total_orders", "kd_materials_count", "KD_Material", "Order_Count", "Contribution_Pct")
+
+
 @query
 def forward_totals(spark, sf_dir):
     plan = material_forward(spark, sf_dir).where(F.col("status") == "ok")
@@ -574,6 +624,110 @@ def year_ledgers(spark, sf_dir):
     return totals(issued, "BFIN", "261").unionByName(totals(received, "BFOUT", "101"))
 
 
+@query
+def default_ledgers(spark, sf_dir):
+    """Totals per material and deletion mark of the two ledgers under their default names, deleted rows included."""
+    issued, received = ledgers.read_raw_ledgers(spark, default_folder(spark, sf_dir))
+
+    def totals(ledger: DataFrame, volume: str, kind: str) -> DataFrame:
+        return ledger.groupBy("MATERIAL", "IS_DELETED").agg(
+            F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("rows"), F.countDistinct(ORDER).alias("orders"),
+        ).withColumn("ledger", F.lit(kind))
+
+    return totals(issued, "BFIN", "261").unionByName(totals(received, "BFOUT", "101"))
+
+
+def default_folder(spark, sf_dir):
+    """The split ledgers written as 261.csv and 101.csv (folders of part files); the lines of an order are in one, in order."""
+    folder = f"{checkpoint_root(spark)}/ledgers-{uuid.uuid4().hex}"
+    for kind, ledger in (("261", ledger_261(spark, sf_dir)), ("101", ledger_101(spark, sf_dir))):
+        rows = ledger.repartition(ORDER).sortWithinPartitions(ORDER, SEQ).drop(SEQ, "SOURCE_YEAR")
+        rows.write.option("header", True).csv(f"{folder}/{kind}.csv")
+    return folder
+
+
+@query
+def saved_option_lists(spark, sf_dir):
+    """The option lists saved as one JSON object and read from it, without a ledger at hand."""
+    path = f"{checkpoint_root(spark)}/options-{uuid.uuid4().hex}"
+    lists = ledgers.option_lists(ledger_261(spark, sf_dir), ledger_101(spark, sf_dir)).groupBy("option").agg(F.collect_list("value").alias("values"))
+    lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("option", "values"))))).coalesce(1).write.text(path)
+    return ledgers.load_option_lists(spark, path, None)
+
+
+@query
+def history_sources(spark, sf_dir):
+    """Yields per input material from ledgers under their default names, and from a saved summary where there are none."""
+    found = load_history(spark, default_folder(spark, sf_dir)).history
+    by_material = found.groupBy("Input_Material").agg(F.count(F.lit(1)).alias("rows"), F.avg("Yield_Percentage").alias("mean_yield"))
+    root = f"{checkpoint_root(spark)}/summary-{uuid.uuid4().hex}"
+    pairs = history.yield_by_material(split_history(spark, sf_dir, with_grade=False))
+    pairs.write.parquet(f"{root}/summary")
+    spark.createDataFrame([("no ledger",)], "note string").write.text(f"{root}/data")
+    saved = load_history(spark, f"{root}/data", None, f"{root}/summary").history
+    by_summary = saved.groupBy("Input_Material").agg(
+        F.sum("Historical_Orders").alias("rows"), (F.sum(F.col("Yield_Percentage") * F.col("Historical_Orders")) / F.sum("Historical_Orders")).alias("mean_yield"),
+    )
+    both = by_material.withColumn("source", F.lit("ledgers")).unionByName(by_summary.withColumn("source", F.lit("summary")))
+    return rounded(both, 6, "mean_yield")
+
+
+@query
+def exported_distribution(spark, sf_dir):
+    """The forward plans written as a result file and read back."""
+    path = f"{checkpoint_root(spark)}/export-{uuid.uuid4().hex}"
+    plan = forward.material_forward(forward_requests(spark, sf_dir), ledger_261(spark, sf_dir), ledger_101(spark, sf_dir))
+    exports.export_distribution(plan, path)
+    schema = (
+        "KD_Material string, Historical_BF_Output double, Order_Count long, Contribution_Pct double, Expected_BF_Output double, "
+        "KS_Material string, Plant string, Input_BF double, Predicted_Total_Output_BF double, Yield_Pct double"
+    )
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+@query
+def exported_results(spark, sf_dir):
+    """The enhanced simulation under its display names, with a context column, written and read back."""
+    path = f"{checkpoint_root(spark)}/export-{uuid.uuid4().hex}"
+    shown = exports.display_table(_enhanced(spark, sf_dir).select("*"))
+    exports.export_results(exports.with_context(shown, run="all plants"), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(
+        F.col("run"), F.col("Output Material").alias("output_material"), F.col("Confidence").alias("confidence"),
+        F.col("Score").cast("int").alias("score"), F.col("`Hist. Orders`").cast("long").alias("orders"),
+        F.col("`Yield %`").cast("double").alias("yield_pct"), F.col("`Rec. Score`").cast("double").alias("recommendation"),
+    )
+
+
+@query
+def prepared_features(spark, sf_dir):
+    """Features that exist with their gaps filled by medians, and for scoring absent ones as 0."""
+    inputs = aggregate_inputs(cleaning.clean_strict(ledger_261(spark, sf_dir))).select(
+        ORDER, "Total_Input_BF", F.when(F.col("Input_Length") <= 40, F.col("Input_Length")).alias("Input_Length"),
+    )
+    filled, used = prepare_features(stage(inputs, "inputs"), ["Total_Input_BF", "Input_Length", "Input_Absent"])
+    scoring = complete_features(inputs.withColumnRenamed("Input_Length", "Scoring_Length"), ["Scoring_Length", "Input_Absent"])
+    return filled.withColumn("used", F.lit(",".join(used))).join(scoring.select(ORDER, "Scoring_Length", "Input_Absent"), ORDER)
+
+
+@query
+def order_lines(spark, sf_dir):
+    """The issued and received lines of one order."""
+    both = ((ledger_261(spark, sf_dir), "BFIN"), (ledger_101(spark, sf_dir), "BFOUT"))
+    issued, received = (
+        cleaning.order_rows(ledger, "7").select(ORDER, "MATERIAL", "PLANT", F.col(volume).alias("bf"), F.lit(volume).alias("side"))
+        for ledger, volume in both
+    )
+    return issued.unionByName(received)
+
+
+@query
+def preview_lines(spark, sf_dir):
+    """The first 25 issued lines by order and line."""
+    rows = ledger_261(spark, sf_dir).orderBy(F.col(ORDER).cast("bigint"), SEQ).select(ORDER, "MATERIAL", "PLANT", "BFIN")
+    return cleaning.preview(rows, 25)
+
+
 # ---------------------------------------------------------------- simulation
 
 
@@ -635,6 +789,74 @@ def fallback_predictions(spark, sf_dir):
     )
 
 
+@query
+def predictions_with_fallback(spark, sf_dir):
+    """Simulated outputs of requests with history for their materials, and a cautious row per line of the others."""
+    requests, past = line_requests(spark, sf_dir), planning_history(spark, sf_dir)
+    predictor = mean_yield_predictor(past)
+    known = requests.where(~F.col("Input_Material").startswith("New-"))
+    found = simulate.simulate_outputs(known, past, predictor).select(
+        "request_id", "Output_Material", "Predicted_Yield_Pct", "Predicted_Output_BF", "Historical_Yield_Pct", "Historical_Orders", "Model_Type"
+    )
+    return simulate.with_fallback(found, requests, predictor)
+
+
+# A history with groups of every size, spread and level, so that every tier and branch of the recommendations occurs:
+# wide or narrow, and high or low yields by the brand's number, and fine or coarse groups by the plant.
+SPREADS = (1.0, 3.0, 4.5, 6.0, 9.0)
+
+
+@as_table
+def varied_history(spark, sf_dir):
+    past = planning_history(spark, sf_dir)
+    plants = table(spark, sf_dir, "nation").select(F.col("n_name").alias("Input_Plant"), F.col("n_nationkey").cast("int").alias("_key"))
+    number = F.regexp_extract("Input_Material", r"(\d+)$", 1).cast("int")
+    spread = F.element_at(F.array(*[F.lit(x) for x in SPREADS]), number % 5 + 1)
+    level = F.lit(92.0) - F.lit(9.0) * F.floor((number - 1) / 5)
+    part = F.col("_key") % 4
+    order = F.col(ORDER).cast("bigint") % 6
+    told = past.join(plants, "Input_Plant").select(
+        ORDER,
+        F.when(part % 2 == 0, F.col("Input_Material")).when(part == 1, F.concat("Input_Material", F.lit("*")))
+        .otherwise(F.concat_ws("@", "Input_Material", "Input_Plant")).alias("Input_Material"),
+        F.lit("any").alias("Input_Plant"),
+        F.when(part % 2 == 0, "Main").when((part == 1) & (order < 3), "Half").otherwise(F.col("Output_Material")).alias("Output_Material"),
+        "Total_Input_BF", F.greatest(F.lit(0.0), level + (F.col("Yield_Percentage") - 92.0) * spread).alias("Yield_Percentage"),
+    )
+    return told.withColumn("Total_Output_BF", F.col("Total_Input_BF") * F.col("Yield_Percentage") / 100.0)
+
+
+def _varied(spark, sf_dir):
+    past = varied_history(spark, sf_dir)
+    requests = past.select("Input_Material").distinct().select(
+        F.col("Input_Material").alias("request_id"), F.lit(1).alias("line_no"), F.lit("any").alias("Input_Plant"), "Input_Material",
+        F.lit(5000.0).alias("Total_Input_BF"),
+    )
+    requests = stage(requests, "varied-requests")
+    return simulate.simulate_outputs_enhanced(requests, past, mean_yield_predictor(past), STAND_IN_R2)
+
+
+@query
+def varied_confidence(spark, sf_dir):
+    """Enhanced simulation over groups of every size, spread and level."""
+    return _varied(spark, sf_dir).select(
+        "request_id", "Output_Material", "Predicted_Yield_Pct", "Yield_Min_Pct", "Yield_Max_Pct", "Yield_Std", "Confidence_Score",
+        "Confidence_Level", "Risk_Level", "Historical_Orders", "Recommendation_Score",
+    )
+
+
+@query
+def varied_recommendations(spark, sf_dir):
+    return simulate.top_recommendation(_varied(spark, sf_dir)).select(
+        "request_id", "strength", "output_material", "expected_yield", "confidence_level", "risk_level", "historical_orders", "message"
+    )
+
+
+@query
+def varied_thin_history(spark, sf_dir):
+    return simulate.thin_history_estimate(simulate.top_recommendation(_varied(spark, sf_dir)))
+
+
 @query
 def deduplicated_input(spark, sf_dir):
     """Input volume per input material with every order counted once although it has several outputs."""
@@ -805,6 +1027,40 @@ def ridge_scores(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, schema), 6, "train_r2", "held_r2", "mae", "rmse", "mape")
 
 
+def stored_ridge(spark, sf_dir):
+    """A store with the ridge model under each of the last two years of the ledgers; the earlier year's was replaced once."""
+    model = yield_models(spark, sf_dir, "Ridge")
+    years = [r["year"] for r in available_years(spark, sf_dir).collect()][-2:]
+    store = f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}"
+    for year in (years[0], *years):
+        artifacts.save_yield_models(replace(model, years=[year]), f"{store}/{year}")
+    return store
+
+
+@query
+def stored_models(spark, sf_dir):
+    """What is read back from a model store: per year the model's weights and what its metadata say."""
+    store = stored_ridge(spark, sf_dir)
+    found = []
+    for row in artifacts.available_model_years(spark, store).collect():
+        loaded = artifacts.load_artifacts(spark, store, row["year"])
+        told, model = loaded.metadata.first(), loaded.yields.best
+        found += [
+            (row["year"], ",".join(told["trained_years"]), told["best_model"], told["num_features"], feature, weight)
+            for feature, weight in zip(model.features, model.weights)
+        ]
+    schema = "year string, trained_years string, best_model string, num_features int, feature string, weight double"
+    return rounded(spark.createDataFrame(found, schema), 6, "weight")
+
+
+@query
+def stored_test_results(spark, sf_dir):
+    """The held-out rows as they were written beside the last year's model."""
+    store = stored_ridge(spark, sf_dir)
+    year = artifacts.available_model_years(spark, store).collect()[-1]["year"]
+    return rounded(artifacts.load_yield_models(spark, f"{store}/{year}").test_results, 4, "Actual", "Predicted", "Error", "Error_Pct")
+
+
 @query
 def train_forest(spark, sf_dir):
     return yield_models(spark, sf_dir, "RandomForest").comparison()
@@ -835,8 +1091,10 @@ def cv_scores(spark, sf_dir):
 
 @query
 def feature_importance(spark, sf_dir):
-    """Every feature with its importance in the first tree model there is, the forest."""
-    return yield_models(spark, sf_dir, "RandomForest").importance()
+    """Every feature with its importance in the first tree model there is, the forest, as read from the model's store."""
+    store = f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}"
+    artifacts.save_yield_models(yield_models(spark, sf_dir, "RandomForest"), store)
+    return artifacts.load_importance(spark, store)
 
 
 @query
@@ -885,9 +1143,44 @@ def output_classifiers(spark, sf_dir):
     return classification.train_output_classifier(data.history, data.encoders)
 
 
+@query
+def simple_predictions(spark, sf_dir):
+    """Typical requests, and one for a plant and material never seen, by the four-feature forest, unclipped."""
+    issued, received = full_ledgers(spark, sf_dir)
+    past = history.valid_yield_orders(cleaning.clean_lenient(issued), cleaning.clean_lenient(received))
+    trained = regression.simple_yield_forest(past, regression.TrainingSpec(forest_trees=100, folds=1))
+    asked = typical_requests(spark, sf_dir).select(
+        F.concat_ws("|", "ks_material", "plant").alias("request_id"), F.col("plant").alias("Plant"), "Input_Material",
+        F.col("Input_Thickness").alias("Thickness"), "Total_Input_BF",
+    )
+    new = asked.limit(1).withColumns({"request_id": F.lit("new"), "Plant": F.lit("new"), "Input_Material": F.lit("new")})
+    return regression.predict_simple(asked.unionByName(new), trained)
+
+
 @query
 def output_classifier_topk(spark, sf_dir):
-    return classification.predict_top_k(typical_requests(spark, sf_dir), output_classifiers(spark, sf_dir), 5)
+    """The most likely outputs of typical requests, by classifiers read back from their store."""
+    data = prepared(spark, sf_dir)
+    store = f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}"
+    artifacts.save_classifiers(classification.train_output_classifier(data.history, data.encoders), store)
+    loaded = replace(artifacts.load_classifiers(spark, store), encoders=data.encoders)
+    return classification.predict_top_k(typical_requests(spark, sf_dir), loaded, 5)
+
+
+@query
+def output_probabilities(spark, sf_dir):
+    """The most likely output's code for typical requests, with the probability of every class, by the forest."""
+    data = prepared(spark, sf_dir)
+    spec = classification.ClassifierSpec(models=("RandomForest_Classifier",))
+    trained = classification.train_output_classifier(data.history, data.encoders, spec)
+    return classification.predict_class(typical_requests(spark, sf_dir), trained)
+
+
+@query
+def classifier_importance(spark, sf_dir):
+    data = prepared(spark, sf_dir)
+    spec = classification.ClassifierSpec(models=("RandomForest_Classifier",))
+    return classification.train_output_classifier(data.history, data.encoders, spec).importance()
 
 
 @query
