@@ -3,9 +3,10 @@ stopping test.
 
 Vectors are scaled to length 1, where the nearest by distance is the nearest by cosine, and projected on DIMENSIONS
 Gaussian directions. The squared projected distance over the squared true distance then follows a chi-square
-distribution, so the projected neighbours of a query are looked at in increasing order (leaf by leaf of a kd-tree,
-nearest box first), each is verified by its true cosine, and the search stops once a nearer vector still unseen would have
-shown up so late only with a probability below MISS.
+distribution. A query goes through the leaves of a kd-tree by increasing distance of their boxes, in rings that grow; of
+a leaf it verifies, by true cosine, the vectors whose projected distance the chi-square test still allows: a nearer
+vector would be projected so far only with a probability below MISS. It stops where no box is left that the test allows.
+Queries of a shard share the work: a leaf meets all queries that ask for it as one matrix of projected distances.
 
 The index is dealt out by the top splits of a kd-tree over the projections, fitted on a bounded sample; all rows are
 indexed. A query first searches its home shard, then every other shard whose box the same test does not rule out at the
@@ -15,8 +16,8 @@ distance found. Equal vectors are one entry with their smallest ids, so a vector
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,17 @@ from pyspark.sql import functions as F
 
 from yieldengine.staging import stage
 
-DIMENSIONS = 8
-MISS = 0.02
+DIMENSIONS = 24
+MISS = 0.05
 LEAF = 128
-#: Rows of the sample that the shards' borders are fitted on, and the rows that a shard is made for.
-SAMPLE, SHARD_ROWS, LEAST_SHARDS = 20_000, 50_000, 8
+#: Rows of the sample that the shards' borders are fitted on; numbers of vectors that a shard is made for; shards at least.
+SAMPLE, SHARD_NUMBERS, LEAST_SHARDS = 20_000, 1 << 22, 8
+#: Queries that go through a shard side by side.
+QUERIES = 64
 SEED = 11
 
 
+@lru_cache(maxsize=16)
 def _directions(size: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((size, DIMENSIONS))
 
@@ -50,25 +54,38 @@ def _chance_of_less(x: np.ndarray | float) -> np.ndarray | float:
 _STOP = next(x for x in np.arange(0, 100, 0.01) if _chance_of_less(x) >= 1 - MISS)
 
 
+def _arrays(column: pa.Array, dtype=np.float64) -> list[np.ndarray]:
+    """The lists of a column without nulls as arrays over its buffers."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    ends = column.offsets.to_numpy() - (column.offsets[0].as_py() if len(column) else 0)
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType = pa.float64()) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values) if values else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+
+
+def _unit(values: np.ndarray) -> np.ndarray:
+    scaled = values / np.abs(values).max()
+    return scaled / np.sqrt(scaled @ scaled)
+
+
 def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as doubles with their projections of the unit vector."""
+    """Usable vectors as doubles with their projections of the unit vector.
+
+    Each is projected by itself, so that its place is the same number in whatever batch it comes.
+    """
     for batch in batches:
-        rows = []
-        for key, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if not vector.is_valid or not len(vector):
+        keys, vectors, places = [], [], []
+        for key, values in zip(batch.column(0).to_pylist(), _arrays(batch.column(1))):
+            if not len(values) or not np.isfinite(values).all() or not values.any():
                 continue
-            values = np.array(vector.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-            largest = np.max(np.abs(values))
-            if not np.isfinite(largest) or largest == 0:
-                continue
-            scaled = values / largest
-            unit = scaled / np.sqrt(scaled @ scaled)
-            rows.append((key, values.tolist(), (unit @ _directions(len(unit))).tolist()))
-        columns = list(zip(*rows)) or [()] * 3
-        doubles = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), doubles, doubles))], names=["vec_id", "vector", "place"]
-        )
+            keys.append(key)
+            vectors.append(values)
+            places.append(_unit(values) @ _directions(len(values)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(vectors), _lists(places)], names=["vec_id", "vector", "place"])
 
 
 class Splits:
@@ -108,104 +125,145 @@ class Splits:
 
 
 class Tree:
-    """kd-tree over the projections of one shard; leaves are runs of one permutation."""
+    """kd-tree over the projections of one shard: leaves are runs of one permutation, with the box of each."""
 
     def __init__(self, points: np.ndarray):
         self.order = np.arange(len(points))
         self.points = points
-        self.nodes: list[tuple[int, int, int, int]] = []  # first, last, left, right (-1: leaf)
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self._build(0, len(points))
-
-    def _build(self, first: int, last: int) -> int:
-        number, own = len(self.nodes), self.points[self.order[first:last]]
-        self.nodes.append((first, last, -1, -1))
-        self.low.append(own.min(axis=0))
-        self.high.append(own.max(axis=0))
-        if last - first > LEAF:
-            axis, middle = int(np.argmax(self.high[number] - self.low[number])), (last - first) // 2
+        self.spans: list[tuple[int, int]] = []
+        todo = [(0, len(points))]
+        while todo:
+            first, last = todo.pop()
+            if last - first <= LEAF:
+                self.spans.append((first, last))
+                continue
+            own = points[self.order[first:last]]
+            axis, middle = int(np.argmax(own.max(axis=0) - own.min(axis=0))), (last - first) // 2
             self.order[first:last] = self.order[first:last][np.argpartition(own[:, axis], middle)]
-            left = self._build(first, first + middle)
-            self.nodes[number] = (first, last, left, self._build(first + middle, last))
-        return number
-
-    def leaves(self, point: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """Leaves by increasing squared distance of their box: distance and the rows in it."""
-        def distance(node):
-            gap = np.maximum(np.maximum(self.low[node] - point, point - self.high[node]), 0)
-            return float(gap @ gap)
-
-        queue = [(distance(0), 0)]
-        while queue:
-            far, node = heapq.heappop(queue)
-            first, last, left, right = self.nodes[node]
-            if left < 0:
-                yield far, self.order[first:last]
-            else:
-                for child in (left, right):
-                    heapq.heappush(queue, (distance(child), child))
+            todo += [(first, first + middle), (first + middle, last)]
+        boxes = [points[self.order[a:b]] for a, b in self.spans]
+        self.low, self.high = np.stack([b.min(axis=0) for b in boxes]), np.stack([b.max(axis=0) for b in boxes])
+
+    def rows(self, leaf: int) -> np.ndarray:
+        return self.order[slice(*self.spans[leaf])]
+
+    def distances(self, places: np.ndarray) -> np.ndarray:
+        """Squared distances of points to the boxes of all leaves."""
+        gap = np.maximum(np.maximum(self.low[None] - places[:, None], places[:, None] - self.high[None]), 0)
+        return np.einsum("qld,qld->ql", gap, gap)
 
 
 class Shard:
     """The entries of one shard: their vectors, smallest ids, and one kd-tree for each vector length."""
 
-    def __init__(self, vectors: list[np.ndarray], ids: list[list[int]], places: np.ndarray):
+    def __init__(self, vectors: list[np.ndarray], ids: list[np.ndarray], places: np.ndarray):
         self.by_size: dict[int, tuple] = {}
+        self.verified = self.asked = 0  # pairs of query and vector whose cosine was taken, and all of them
         for size in sorted({len(v) for v in vectors}):
             at = [i for i, v in enumerate(vectors) if len(v) == size]
-            own = np.stack([vectors[i] for i in at])
-            scaled = own / np.abs(own).max(axis=1, keepdims=True)
-            unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+            unit = np.stack([_unit(vectors[i]) for i in at])
             self.by_size[size] = (unit, [ids[i] for i in at], Tree(places[at]))
 
-    def search(self, key: int | None, vector: np.ndarray, place: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
-        """Up to k entries' ids by cosine, ties to the smaller id; `least` is a cosine that k others reach already."""
-        if len(vector) not in self.by_size:
-            return []
-        unit, ids, tree = self.by_size[len(vector)]
-        scaled = vector / np.abs(vector).max()
-        query = scaled / np.sqrt(scaled @ scaled)
-        best: list[tuple[float, int]] = []  # (cosine, -id), a heap with the worst on top
-        for far, rows in tree.leaves(place):
-            reach = max(least, best[0][0] if len(best) == k else -1.0)
-            if far > _STOP * max(2 - 2 * reach, 1e-12):
-                break
-            cosines = (unit[rows] * query).sum(axis=1)
-            for i in np.flatnonzero(cosines >= reach - 1e-12):
-                for other in ids[rows[i]]:
-                    if other != key:
-                        entry = (float(cosines[i]), -other)
-                        if len(best) < k:
-                            heapq.heappush(best, entry)
-                        elif entry > best[0]:
-                            heapq.heapreplace(best, entry)
-        return [(cosine, -other) for cosine, other in best]
-
-
-def _probe(k: int):
+    def search(self, keys: list, vectors: list[np.ndarray], places: np.ndarray, k: int, least: np.ndarray, home: bool) -> list[list[tuple[float, int]]]:
+        """Per query up to k entries' ids by cosine, ties to the smaller id.
+
+        `least`: a cosine that k others reach already. At home a query's own row, once, is not counted.
+        """
+        found: list[list[tuple[float, int]]] = [[] for _ in keys]
+        sizes = np.array([len(v) for v in vectors])
+        for size in np.unique(sizes):
+            if int(size) in self.by_size:
+                of = np.flatnonzero(sizes == size)
+                for x in range(0, len(of), QUERIES):
+                    some = of[x : x + QUERIES]
+                    best = self._rings(int(size), [keys[i] for i in some], np.stack([_unit(vectors[i]) for i in some]), places[some], k, least[some], home)
+                    for i, own in zip(some, best):
+                        found[i] = [(cosine, -other) for cosine, other in own]
+        return found
+
+    def _rings(self, size: int, keys: list, queries: np.ndarray, places: np.ndarray, k: int, least: np.ndarray, home: bool):
+        unit, ids, tree = self.by_size[size]
+        self.asked += len(keys) * len(unit)
+        best: list[list[tuple[float, int]]] = [[] for _ in keys]  # (cosine, -id), heaps with the worst on top
+        own = [home] * len(keys)
+        reach = least.copy()
+        boxes = tree.distances(places)
+        order = np.argsort(boxes, axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(boxes.shape[1])[None], axis=1)
+
+        def bound(of=slice(None)):
+            return _STOP * np.maximum(2 - 2 * reach[of], 1e-12)
+
+        first, last = 0, 1
+        while first < boxes.shape[1]:
+            ring = (rank >= first) & (rank < last) & (boxes <= bound()[:, None])
+            if not ring.any():
+                break  # boxes come by their distance, so none further on is allowed
+            for leaf in np.flatnonzero(ring.any(axis=0)):
+                at = np.flatnonzero(ring[:, leaf] & (boxes[:, leaf] <= bound()))
+                if not len(at):
+                    continue
+                rows = tree.rows(leaf)
+                points = tree.points[rows]
+                far = (places[at] ** 2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None] - 2 * places[at] @ points.T
+                near = far <= bound(at)[:, None] + 1e-9
+                self.verified += int(near.sum())
+                if not near.any():
+                    continue
+                hit, row = np.nonzero(near & (queries[at] @ unit[rows].T >= reach[at][:, None] - 1e-9))
+                for q, r in zip(at[hit].tolist(), rows[row].tolist()):
+                    cosine = float((unit[r] * queries[q]).sum())
+                    if cosine < reach[q] - 1e-12:
+                        continue
+                    for other in ids[r].tolist():
+                        if own[q] and other == keys[q] and np.array_equal(unit[r], queries[q]):
+                            own[q] = False
+                            continue
+                        entry = (cosine, -other)
+                        if len(best[q]) < k:
+                            heapq.heappush(best[q], entry)
+                        elif entry > best[q][0]:
+                            heapq.heapreplace(best[q], entry)
+                    if len(best[q]) == k:
+                        reach[q] = max(least[q], best[q][0][0])
+            first, last = last, last * 4
+        return best
+
+
+def _probe(k: int, home: bool):
     """Rows sorted by (shard, kind): a shard's entries (kind 0) become its trees, then queries (kind 1) search them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, entries, shard = None, [], None
+        current, shard = None, None
+        entries: tuple[list, list, list] = ([], [], [])
         for batch in batches:
+            names = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            shards, kinds = names["shard"].to_numpy(), names["kind"].to_numpy()
+            vectors, places, ids = _arrays(names["vector"]), _arrays(names["place"]), _arrays(names["ids"], np.int64)
+            cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             out = []
-            for row in batch.to_pylist():
-                if row["shard"] != current:
-                    current, entries, shard = row["shard"], [], None
-                if row["kind"] == 0:
-                    entries.append((np.array(row["vector"]), row["ids"], row["place"]))
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)]):
+                if a == b:
+                    continue
+                if shards[a] != current:
+                    current, shard, entries = shards[a], None, ([], [], [])
+                if kinds[a] == 0:
+                    for held, new in zip(entries, (vectors, ids, places)):
+                        held += [v.copy() for v in new[a:b]]
+                    continue
+                if shard is None and entries[0]:
+                    shard, entries = Shard(entries[0], entries[1], np.stack(entries[2])), ([], [], [])
+                if shard is None:
                     continue
-                if shard is None and entries:
-                    vectors, ids, places = zip(*entries)
-                    shard, entries = Shard(list(vectors), list(ids), np.array(places)), []
-                if shard is not None:
-                    found = shard.search(row["key"], np.array(row["vector"]), np.array(row["place"]), k, row["reach"])
-                    out += [(row["key"], other, cosine) for cosine, other in found]
-            columns = list(zip(*out)) or [()] * 3
+                keys, tags = names["key"].slice(a, b - a).to_pylist(), names["tag"].slice(a, b - a).to_pylist()
+                reach = names["reach"].slice(a, b - a).to_numpy()
+                found = shard.search(keys, vectors[a:b], np.stack(places[a:b]), k, reach, home)
+                out += [(key, tag, other, cosine) for key, tag, own in zip(keys, tags, found) for cosine, other in own]
+            columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))],
-                names=["query_id", "vec_id", "score"],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+                names=["query_id", "tag", "vec_id", "score"],
             )
 
     return run
@@ -239,55 +297,58 @@ def _others(shared):
     return run
 
 
-def _searched(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    entries = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"), "ids", "vector", "place", F.lit(-1.0).alias("reach"))
-    asked = queries.select("shard", F.lit(1).alias("kind"), "key", F.lit(None).cast("array<long>").alias("ids"), "vector", "place", "reach")
+def _searched(index: DataFrame, queries: DataFrame, k: int, home: bool) -> DataFrame:
+    none = F.lit(None).cast("long")
+    entries = index.select("shard", F.lit(0).alias("kind"), none.alias("key"), none.alias("tag"), "ids", "vector", "place", F.lit(-1.0).alias("reach"))
+    asked = queries.select("shard", F.lit(1).alias("kind"), "key", "tag", F.array().cast("array<long>").alias("ids"), "vector", "place", "reach")
     return (
         entries.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
-        .mapInArrow(_probe(k), "query_id long, vec_id long, score double")
+        .mapInArrow(_probe(k, home), "query_id long, tag long, vec_id long, score double")
     )
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Per query the k nearest rows of `vectors` by cosine: query_id, rank from 1, vec_id, score (cosine, in doubles).
 
-    Ties go to the smaller vec_id; a query is not its own neighbour; with fewer than k candidates all are returned.
-    Vectors that are null, empty, zero or hold a null or non-finite value take no part, nor do rows without an id.
-    Repeated ids count once, with the vector that sorts first. Only vectors of equal length are compared. Further
-    columns are ignored; without queries or vectors the result is empty.
+    Ties go to the smaller vec_id; a query's own row is no candidate, any other is, repeated rows and further vectors
+    under an id included; with fewer than k candidates all are returned. Equal rows of `queries` are one query,
+    different vectors under one id are ranked each by itself. Vectors that are null, empty, zero or hold a null or non-finite
+    value take no part, nor do rows without an id. Only vectors of equal length are compared. Further columns are
+    ignored; without queries or vectors the result is empty.
     """
     spark = vectors.sparkSession
     fields = "vec_id long, vector array<double>, place array<double>"
 
     def usable(table: DataFrame) -> DataFrame:
-        given = table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("vector"))
-        whole = given.where("vec_id is not null and not exists(vector, x -> x is null)")
-        return whole.groupBy("vec_id").agg(F.min("vector").alias("vector")).mapInArrow(_projected, fields)
+        given = table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
+        return given.where("vec_id is not null and vector is not null and not exists(vector, x -> x is null)")
 
-    # equal vectors are one entry with the k + 1 smallest ids: enough even where the query is one of them
-    entries = stage(usable(vectors), "vectors")
+    # equal vectors are one entry with the k + 1 smallest ids: enough even where the query is one of them; more are
+    # left out before they are shuffled
+    entries = stage(usable(vectors).mapInArrow(_projected, fields), "vectors")
+    nth = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     numbered = (
-        entries.groupBy("vector", "place", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
-        .agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
-        .groupBy("vector", "place").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+        entries.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+        .groupBy("vector", "place").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     )
-    rows = entries.count()
+    rows, size = entries.agg(F.count("*"), F.max(F.size("vector"))).first()
     sample = entries.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).select("place").collect()
-    depth = max(LEAST_SHARDS, -(-rows // SHARD_ROWS)) - 1
+    depth = max(LEAST_SHARDS, -(-rows * (size or 1) // SHARD_NUMBERS)) - 1
     splits = Splits(np.array([r["place"] for r in sample]).reshape(-1, DIMENSIONS), depth.bit_length())
     shared = spark.sparkContext.broadcast(splits)
     index = stage(numbered.mapInArrow(_homes(shared), "vector array<double>, place array<double>, ids array<long>, shard long"), "vector-index")
 
-    asked = usable(queries).withColumnRenamed("vec_id", "key")
-    asked = stage(asked.mapInArrow(_homes(shared), "key long, vector array<double>, place array<double>, shard long"), "vector-queries")
-    home = stage(_searched(index, asked.withColumn("reach", F.lit(-1.0)), k), "neighbours-at-home")
-    reach = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    asked = usable(queries).dropDuplicates(["vec_id", "vector"]).mapInArrow(_projected, fields).withColumnRenamed("vec_id", "key")
+    asked = asked.mapInArrow(_homes(shared), "key long, vector array<double>, place array<double>, shard long")
+    asked = stage(asked.withColumn("tag", F.xxhash64("key", "vector")), "vector-queries")
+    home = stage(_searched(index, asked.withColumn("reach", F.lit(-1.0)), k, True), "neighbours-at-home")
+    reach = home.groupBy("tag").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     further = (
-        asked.join(reach, asked["key"] == reach["query_id"], "left")
-        .select("key", "vector", "place", "shard", F.coalesce("least", F.lit(-1.0)).alias("reach"))
-        .mapInArrow(_others(shared), "key long, vector array<double>, place array<double>, shard long, reach double, others array<long>")
-        .select("key", "vector", "place", "reach", F.explode("others").alias("shard"))
+        asked.join(reach, "tag", "left")
+        .select("key", "tag", "vector", "place", "shard", F.coalesce("least", F.lit(-1.0)).alias("reach"))
+        .mapInArrow(_others(shared), "key long, tag long, vector array<double>, place array<double>, shard long, reach double, others array<long>")
+        .select("key", "tag", "vector", "place", "reach", F.explode("others").alias("shard"))
     )
-    found = home.unionByName(_searched(index, further, k))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = home.unionByName(_searched(index, further, k, False))
+    order = Window.partitionBy("tag").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
