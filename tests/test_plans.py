@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 MODEL_QUERIES = {
-    "train_forest", "train_gradient_boosting", "train_boosted_columns", "train_yield_models", "cv_scores", "feature_importance",
+    "train_forest", "train_gradient_boosting", "train_boosted_columns", "train_yield_models", "cv_scores", "cv_scores_forest", "feature_importance",
     "top_five_features", "model_predictions", "score_yield", "advanced_forward_model", "simple_forest", "simple_predictions",
     "output_classifier_topk", "output_probabilities", "classifier_importance", "classifier_metrics",
 }
