@@ -87,6 +87,30 @@ def test_valid_yield(spark):
     assert with_yield(df).count() == 5
 
 
+def test_states_of_parts_give_the_aggregates_of_the_whole(ledger, spark, tmp_path):
+    """Whatever the volume comes from: given, from BFIN, from dimensions; orders that span years; a year read again."""
+    from yieldengine.operators import states
+
+    rows = [(str(i % 5), "AB"[i % 2], "ST"[i % 3 > 0] if i % 4 else None, "XY"[i % 3 == 1] if i % 7 else None, "P", float(i % 3), 2.0 + i, 12.0,
+             float(i - 2), False) for i in range(40)]
+    for volume, change in (("BFIN", {}), ("BFIN", {"BFIN": F.lit(0.0)}), ("BFOUT", {}), ("BFOUT", {"BFOUT": F.lit(0.0)}),
+                           ("BFOUT", {"BFOUT": F.lit(0.0), "BFIN": F.col("BFOUT")})):
+        df = ledger(volume, rows).withColumns(change)
+        side, of, whole, plain = (
+            ("inputs", states.input_states, states.inputs_of, aggregates.aggregate_inputs) if volume == "BFIN"
+            else ("outputs", states.output_states, states.outputs_of, aggregates.aggregate_outputs)
+        )
+        folder = f"{tmp_path}/{volume}{len(change)}"
+        for year, part in (("2024", df.where("ROW_SEQ.n % 3 = 0")), ("2025", df.limit(3)), ("2025", df.where("ROW_SEQ.n % 3 > 0"))):
+            states.refresh_year(of(part), folder, year)
+        want = sorted(plain(df).collect(), key=str)
+        for got in (whole(states.read_states(spark, folder, side)), whole(of(df))):
+            assert set(got.columns) == set(plain(df).columns)
+            assert sorted(got.select(*plain(df).columns).collect(), key=str) == want
+    with pytest.raises(ValueError, match="BFIN"):
+        states.input_states(ledger("BFIN", rows).select(ORDER, "ROW_SEQ"))
+
+
 def test_order_lists(ledger, monkeypatch):
     rows = [("1", m, "S", "A", "P", 1.0, 1.0, 1.0, float(i), False) for i, m in enumerate("BABCA")]
     rows.append(("2", "Z", "S", "A", "P", 1.0, 1.0, 1.0, 4.0, False))

@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from yieldengine.operators.aggregates import aggregate_inputs, aggregate_outputs
 from yieldengine.operators.cleaning import clean_strict
 from yieldengine.operators.encode import apply_encoders, fill_unknown, fit_encoders
 from yieldengine.operators.history import fill_medians, join_on_order, remove_outlier_chain
+from yieldengine.operators.states import input_states, inputs_of, output_states, outputs_of
 from yieldengine.operators.volume import with_yield
 from yieldengine.staging import stage
 
@@ -28,10 +28,11 @@ def prepare_dataset(
     """Ledgers to encoded history: clean, aggregate, join, yield, trim, encode, fill medians.
 
     The aggregates before the join are returned too (all orders, matched or not). Encoders, medians and bounds are
-    fitted on all rows, before any train / test split. The history is written once and everything after reads that.
+    fitted on all rows, before any train / test split. Each ledger is read once, to the states of its aggregates; the
+    history is written once and everything after reads that.
     """
-    inputs = aggregate_inputs(clean_strict(ledger_261))
-    outputs = aggregate_outputs(clean_strict(ledger_101))
+    inputs = inputs_of(stage(input_states(clean_strict(ledger_261)), "input-states"))
+    outputs = outputs_of(stage(output_states(clean_strict(ledger_101)), "output-states"))
     history = with_yield(join_on_order(inputs, outputs))
     history = remove_outlier_chain(history) if trim_outliers else stage(history, "history")
     history = fill_unknown(history)

@@ -502,6 +502,7 @@ def oracle_sql() -> dict[str, str]:
         "input_agg": sql(["inputs"], "SELECT * FROM inputs"),
         "output_agg_dominant_grade": sql(["outputs"], "SELECT * FROM outputs"),
         "yield_history": sql(["history"], "SELECT * FROM history"),
+        "refreshed_history": sql(["history"], "SELECT * FROM history"),
         "yield_outliers_removed": sql(["trim_out"], """
             SELECT MANUFACTURINGORDER, Input_Material, Output_Material, Total_Input_BF, Total_Output_BF,
                    Yield_Percentage FROM trim_out"""),

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from yieldengine.functions import half_even
 from yieldengine.ml import artifacts, classification, evaluation, regression
 from yieldengine.ml.features import complete_features, prepare_features
-from yieldengine.operators import cleaning, encode, forward, history, mix, orders, planning, ranking, simulate
+from yieldengine.operators import cleaning, encode, forward, history, mix, orders, planning, ranking, simulate, states
 from yieldengine.operators.aggregates import aggregate_inputs, aggregate_outputs
 from yieldengine.operators.predictors import forward_predict, mean_yield_predictor
-from yieldengine.operators.volume import derive_input_volume, derive_output_volume
+from yieldengine.operators.volume import derive_input_volume, derive_output_volume, with_yield
 from yieldengine.plans.datasets import prepare_dataset
 from yieldengine.schema import ORDER, SEQ
 from yieldengine.sources import exports, ledgers
@@ -624,6 +624,23 @@ def year_ledgers(spark, sf_dir):
     return totals(issued, "BFIN", "261").unionByName(totals(received, "BFOUT", "101"))
 
 
+@query
+def refreshed_history(spark, sf_dir):
+    """The yield history from yearly states, after the last year was read again over a wrong version of it."""
+    folder = f"{checkpoint_root(spark)}/states-{uuid.uuid4().hex}"
+    sides = {"inputs": (ledger_261(spark, sf_dir), states.input_states), "outputs": (ledger_101(spark, sf_dir), states.output_states)}
+    merged = {}
+    for side, (ledger, of) in sides.items():
+        rows = stage(cleaning.clean_strict(ledger), "ledger")
+        years = [r[0] for r in rows.select("SOURCE_YEAR").distinct().orderBy("SOURCE_YEAR").collect()]
+        for year in years:
+            of_year = rows.where(F.col("SOURCE_YEAR") == year)
+            states.refresh_year(of(of_year if year != years[-1] else of_year.limit(10)), f"{folder}/{side}", year)
+        states.refresh_year(of(rows.where(F.col("SOURCE_YEAR") == years[-1])), f"{folder}/{side}", years[-1])
+        merged[side] = stage(states.read_states(spark, f"{folder}/{side}", side), "states")
+    return with_yield(history.join_on_order(states.inputs_of(merged["inputs"]), states.outputs_of(merged["outputs"])))
+
+
 @query
 def default_ledgers(spark, sf_dir):
     """Totals per material and deletion mark of the two ledgers under their default names, deleted rows included."""
