@@ -153,6 +153,17 @@ def test_classes_by_softmax_and_by_votes(signal, spark):
     assert nothing.transform(test).select("probability").first()[0] == pytest.approx([1 / 3] * 3)
 
 
+def test_models_that_are_left_no_rows_give_their_start(signal):
+    parts = (-1, 0, 1, 2)
+    models = [
+        boosted(trees=2, leave_out=parts), Ensemble(Squared(), Growth(3), 2, bagged=True, base=[0.0], leave_out=parts),
+        Ensemble(Softmax(3), Growth(3), 2, leave_out=parts, base=[0.5] * 3), Ensemble(Votes(3), Growth(3), 2, bagged=True, leave_out=parts, base=[0.0] * 3),
+    ]
+    table, _ = grown(signal, *models)
+    row = trees.scores(table, [1, 1, 3, 3]).first()
+    assert (row["score_0"], row["score_1"], row["score_2"], row["score_3"]) == ([91.0], [0.0], [0.5] * 3, [0.0] * 3)
+
+
 def test_no_rows_and_constant_rows(spark):
     schema = "key long, part int, a double, b double, c double, d double, y double, w double"
     for rows in ([], [(i, 0, 1.0, 1.0, 1.0, 1.0, 5.0, 1.0) for i in range(20)]):

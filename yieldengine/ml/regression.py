@@ -330,7 +330,8 @@ def simple_yield_forest(orders: DataFrame, spec: TrainingSpec | None = None) ->
     rows = stage(rows.withColumns({"key": F.xxhash64(ORDER), "part": part}), "training")
     held = tuple(range(spec.folds, 2 * spec.folds))
     fits = [Fit("SimpleForest", None, held, held)]
-    fits += [Fit("SimpleForest", k, (k, k + spec.folds), (k, k + spec.folds)) for k in range(spec.folds)]
+    if spec.folds > 1:
+        fits += [Fit("SimpleForest", k, (k, k + spec.folds), (k, k + spec.folds)) for k in range(spec.folds)]
     full, *folds = fit_all(fits, spec, used, rows)
     trained = TrainedYieldModels(
         orders.sparkSession, {"RandomForest": full.model}, [_metrics("RandomForest", full, folds)], used, encoders

@@ -671,8 +671,8 @@ def _grow_some(table: Table, models: list[Ensemble], growing: Growing, wanted: l
         model = models[task.model]
         k = model.loss.outputs
         factor = model.rate / model.trees if model.bagged else model.rate
-        if not nodes:  # no row was drawn
-            nodes = {"place": np.ones(1, np.int64), "feature": np.full(1, -1), "cut": np.zeros(1, np.int64), "gain": np.zeros(1), "sums": np.zeros((1, 3 * k + 1))}
+        if not nodes:  # no row was drawn: a leaf of value 0
+            nodes = {"place": np.ones(1, np.int64), "feature": np.full(1, -1), "cut": np.zeros(1, np.int64), "gain": np.zeros(1), "sums": np.zeros((1, 2 * k + 1))}
         most = model.growth.most
         tree = _tree(nodes, lambda sums: np.clip(model.growth.value(sums[:, :k], sums[:, k:-1]), -most, most) * factor)
         model.done.append(tree)
