@@ -2,6 +2,7 @@ import pytest
 from conftest import by
 from pyspark.sql import functions as F
 
+from yieldengine import staging
 from yieldengine.operators import aggregates, history, orders
 from yieldengine.operators.volume import derive_input_volume, derive_output_volume, with_valid_yield, with_yield
 from yieldengine.schema import ORDER
@@ -137,3 +138,29 @@ def test_order_summary(ledger):
     got = by(orders.order_yield_summary(issued, received), ORDER)
     assert got["1"]["KS_BFIN"] == 20 and got["1"]["Yield_Percentage"] == 75.0
     assert got["2"]["Yield_Percentage"] is None and got["2"]["Total_BFOUT"] == 0
+
+
+def test_clustered_history_equals_yield_history(ledger):
+    """Whatever the ledgers are measured by, with grades or without, and after its tables are removed."""
+    without = [("BFIN", "BFOUT"), ("TALLYGRADE",), ("MATERIALSPECIE", "TALLYGRADE")]
+    issued, received = ledger("BFIN", IN), ledger("BFOUT", OUT)
+    zero = received.withColumn("BFOUT", F.lit(0.0))
+    pairs = [(issued, received), (issued, zero), (issued, zero.withColumn("BFIN", F.lit(2.0)))]
+    pairs += [(issued.drop(*c), received.drop(*c)) for c in without] + [(issued.limit(0), received.limit(0))]
+    for left, right in pairs:
+        plain = history.yield_history(left, right)
+        clustered = history.clustered_history(left, right)
+        assert sorted(clustered.columns) == sorted(plain.columns)
+        got = sorted(map(repr, clustered.select(plain.columns).collect()))
+        assert got == sorted(map(repr, plain.collect()))
+
+
+def test_staged_tables_are_removed(spark, ledger, monkeypatch):
+    monkeypatch.setattr(staging, "_staged", [])  # those of other tests stay
+    monkeypatch.setattr(staging, "_tables", [])
+    sides = history.clustered_sides(ledger("BFIN", IN), ledger("BFOUT", OUT))
+    assert sides[0].count() > 0
+    names = list(staging._tables)
+    assert len(names) == 2 and all(spark.catalog.tableExists(name) for name in names)
+    staging.remove_staged(spark)
+    assert not any(spark.catalog.tableExists(name) for name in names) and not staging._staged

@@ -6,8 +6,11 @@ import re
 
 import pytest
 
+from yieldengine.operators import forward, history
 from yieldengine.plans.oracle import oracle_sql
 from yieldengine.plans.queries import all_queries
+from yieldengine.schema import ORDER
+from yieldengine.staging import stage_clustered
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -67,6 +70,37 @@ def test_the_facts_are_aggregated_once_whatever_the_patterns(spark):
     assert plan.count("Expand") == 1 and "Union" not in plan
 
 
+@pytest.fixture
+def ledger_reads(spark, monkeypatch):
+    """ledger_reads(name): the plan of a query, and how often it and the tables that it stages clustered read the line items."""
+    def of(name):
+        plans = []
+
+        def recording(parts, *keys):
+            plans.extend(plan_of(df) for df in parts.values())
+            return stage_clustered(parts, *keys)
+
+        for module in (forward, history):
+            monkeypatch.setattr(module, "stage_clustered", recording)
+        # requests are lists of materials, made beforehand in a planning run; the order join is what is looked at
+        last = plan_of(all_queries()[name](spark, SF))
+        return last, sum(len(re.findall(r"FileScan parquet.*lineitem", p)) for p in (*plans, last))
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield of
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name, reads", [("yield_history", 2), ("material_forward", 2), ("advanced_forward", 3), ("kd_distribution", 2), ("kd_lookup", 4)])
+def test_ledgers_are_read_once_and_meet_where_they_lie(spark, ledger_reads, name, reads):
+    """One read per ledger (features and uncleaned totals are reads of their own), and no exchange for the order join."""
+    plan, found = ledger_reads(name)
+    assert found == reads
+    if name in ("yield_history", "material_forward", "advanced_forward"):
+        assert f"SortMergeJoin [{ORDER}" in plan and f"hashpartitioning({ORDER}" not in plan
+
+
 def test_scan_is_pruned_and_filtered(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = plan_of(all_queries()["yield_by_material"](spark, SF))

@@ -7,6 +7,8 @@ the whole. Which volume counts is decided once for all states, from their totals
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +62,18 @@ def merge_states(states: DataFrame, side: str) -> DataFrame:
     return states.groupBy(*keys).agg(*merged)
 
 
-def _chosen(states: DataFrame, sources: list[str], usable) -> Column:
-    """The volume that the whole table is measured by."""
-    fallback = F.col("sum_dims") if "sum_dims" in states.columns else F.raise_error(F.lit("cannot derive a volume: dimension columns are missing")).cast("double")
+def _chosen(rows: DataFrame, sources: list[str], usable: Callable[[Column], Column], kind: str = "sum") -> Column:
+    """The volume that the whole table is measured by, or what else (`kind`) goes with that volume."""
+    missing = F.raise_error(F.lit("cannot derive a volume: dimension columns are missing"))
+    type_of = dict(rows.dtypes)
+    there = [c for c in sources if f"raw_{c}" in rows.columns]
+    kept = [c for c in (*there, "dims") if f"{kind}_{c}" in rows.columns]
+    fallback = F.col(f"{kind}_dims") if "dims" in kept else missing.cast(type_of[f"{kind}_{kept[0]}"])
     chosen = None
-    for c in (c for c in sources if f"raw_{c}" in states.columns):
-        test = usable(states.agg(F.coalesce(F.sum(f"raw_{c}"), F.lit(0.0)).alias("total")).scalar())
-        chosen = F.when(test, F.col(f"sum_{c}")) if chosen is None else chosen.when(test, F.col(f"sum_{c}"))
+    for c in there:
+        test = usable(rows.agg(F.coalesce(F.sum(f"raw_{c}"), F.lit(0.0)).alias("total")).scalar())
+        value = F.col(f"{kind}_{c}")
+        chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
     return fallback if chosen is None else chosen.otherwise(fallback)
 
 
@@ -75,26 +82,62 @@ def _mean(columns: list[str], names: dict[str, str], merged: bool) -> list[Colum
     return [F.try_divide(add(f"total_{c}"), add(f"count_{c}")).alias(names[c]) for c in DIMENSION_COLUMNS if f"total_{c}" in columns]
 
 
-def inputs_of(states: DataFrame) -> DataFrame:
-    """What `aggregate_inputs` gives for the ledger that the staged states (one per order) are of."""
-    volume = _chosen(states, ["BFIN"], lambda total: total != 0)
+def input_candidates(states: DataFrame) -> DataFrame:
+    """One row per order from states of one row per order: the aggregates, with every volume they might be measured by."""
     firsts = [F.col(f"first_{c}.value").alias(INPUT_NAMES[c]) for c in CATEGORY_COLUMNS if f"first_{c}" in states.columns]
-    return states.select(ORDER, volume.alias("Total_Input_BF"), *firsts, *_mean(states.columns, INPUT_NAMES, False))
+    return states.select(ORDER, *_volume_columns(states), *firsts, *_mean(states.columns, INPUT_NAMES, False))
 
 
-def outputs_of(states: DataFrame) -> DataFrame:
-    """What `aggregate_outputs` gives for the ledger that the staged states (one per key) are of."""
-    bf = _chosen(states, ["BFOUT", "BFIN"], lambda total: total > 0)
-    rows = states.withColumn("_bf", bf)
-    grade = F.lit("N/A")
+def output_candidates(states: DataFrame) -> DataFrame:
+    """One row per order and output material from states of one row per key: the aggregates, with every volume they might
+    be measured by and the dominant grade by each. Rows stay where their order is."""
+    volumes = _volume_columns(states)
+    grades = []
     if "TALLYGRADE" in states.columns:
-        grade = F.min_by("TALLYGRADE", F.when(F.col("TALLYGRADE").isNotNull(), F.struct(-F.col("_bf"), F.col("TALLYGRADE"))))
+        known = F.col("TALLYGRADE").isNotNull()
+        grades = [
+            F.min_by("TALLYGRADE", F.when(known, F.struct(-F.col(c), F.col("TALLYGRADE")))).alias(f"grade_{c.removeprefix('sum_')}")
+            for c in volumes if c.startswith("sum_")
+        ]
     specie = [F.min("first_MATERIALSPECIE")["value"].alias("Output_Specie")] if "first_MATERIALSPECIE" in states.columns else []
-    return rows.groupBy(ORDER, F.col("MATERIAL").alias("Output_Material")).agg(
-        F.sum("_bf").alias("Total_Output_BF"), *specie, *_mean(states.columns, OUTPUT_NAMES, True), grade.alias("Output_Grade"),
+    return states.repartition(ORDER).groupBy(ORDER, F.col("MATERIAL").alias("Output_Material")).agg(
+        *[F.sum(c).alias(c) for c in volumes], *specie, *_mean(states.columns, OUTPUT_NAMES, True), *grades,
+    )
+
+
+def _volume_columns(states: DataFrame) -> list[str]:
+    return [c for c in states.columns if c.startswith(("raw_", "sum_"))]
+
+
+def chosen_inputs(candidates: DataFrame) -> DataFrame:
+    """The staged candidates with the volume that the whole table is measured by."""
+    names = [c for c in candidates.columns if c not in (ORDER, *_volume_columns(candidates))]
+    return candidates.select(ORDER, _chosen(candidates, ["BFIN"], lambda total: total != 0).alias("Total_Input_BF"), *names)
+
+
+def chosen_outputs(candidates: DataFrame) -> DataFrame:
+    """The same for outputs, with the dominant grade by that volume."""
+    def of(kind: str) -> Column:
+        return _chosen(candidates, ["BFOUT", "BFIN"], lambda total: total > 0, kind)
+
+    grades = [c for c in candidates.columns if c.startswith("grade_")]
+    names = [c for c in candidates.columns if c not in (ORDER, "Output_Material", *_volume_columns(candidates), *grades)]
+    return candidates.select(
+        ORDER, "Output_Material", of("sum").alias("Total_Output_BF"), *names,
+        (of("grade") if grades else F.lit("N/A")).alias("Output_Grade"),
     )
 
 
+def inputs_of(states: DataFrame) -> DataFrame:
+    """What `aggregate_inputs` gives for the ledger that the staged states (one per order) are of."""
+    return chosen_inputs(input_candidates(states))
+
+
+def outputs_of(states: DataFrame) -> DataFrame:
+    """What `aggregate_outputs` gives for the ledger that the staged states (one per key) are of."""
+    return chosen_outputs(output_candidates(states))
+
+
 def refresh_year(states: DataFrame, path: str, year: str) -> None:
     """Put the states of one year into a folder of yearly states, in place of what it held of that year."""
     states.withColumn("_year", F.lit(str(year))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_year").parquet(path)

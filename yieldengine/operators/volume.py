@@ -14,7 +14,8 @@ def not_negative(value: Column) -> Column:
 
 
 def _table_total(df: DataFrame, column: str) -> Column:
-    """The column's sum over the whole table as a scalar subquery: one extra scan of one column, no join."""
+    """The column's sum over the whole table as a scalar subquery, no join: another scan of the table for this column and
+    what its filters read. Aggregates that are to read a ledger once use `states`."""
     return df.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("total")).scalar()
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 
 from yieldengine.operators.cleaning import clean_strict
 from yieldengine.operators.encode import apply_encoders, fill_unknown, fit_encoders
-from yieldengine.operators.history import fill_medians, join_on_order, remove_outlier_chain
-from yieldengine.operators.states import input_states, inputs_of, output_states, outputs_of
+from yieldengine.operators.history import clustered_sides, fill_medians, join_on_order, remove_outlier_chain
 from yieldengine.operators.volume import with_yield
 from yieldengine.staging import stage
 
@@ -31,8 +30,7 @@ def prepare_dataset(
     fitted on all rows, before any train / test split. Each ledger is read once, to the states of its aggregates; the
     history is written once and everything after reads that.
     """
-    inputs = inputs_of(stage(input_states(clean_strict(ledger_261)), "input-states"))
-    outputs = outputs_of(stage(output_states(clean_strict(ledger_101)), "output-states"))
+    inputs, outputs = clustered_sides(clean_strict(ledger_261), clean_strict(ledger_101))
     history = with_yield(join_on_order(inputs, outputs))
     history = remove_outlier_chain(history) if trim_outliers else stage(history, "history")
     history = fill_unknown(history)

@@ -55,6 +55,11 @@ def split_history(spark: SparkSession, sf_dir: str, with_grade: bool = True) ->
     return history.yield_history(*clean_pair(spark, sf_dir), with_grade)
 
 
+def wide_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all columns, from states clustered by order."""
+    return history.clustered_history(*clean_pair(spark, sf_dir))
+
+
 def full_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     issued, received = full_ledgers(spark, sf_dir)
     return history.yield_history(cleaning.clean_strict(issued), cleaning.clean_strict(received), with_grade=False)
@@ -243,7 +248,7 @@ def output_agg_dominant_grade(spark, sf_dir):
 
 @query
 def yield_history(spark, sf_dir):
-    return split_history(spark, sf_dir)
+    return wide_history(spark, sf_dir)
 
 
 @query
@@ -386,7 +391,7 @@ def share_by_count(spark, sf_dir):
 
 @query
 def kd_distribution(spark, sf_dir):
-    found = mix.kd_distribution(kd_requests(spark, sf_dir), split_history(spark, sf_dir))
+    found = mix.kd_distribution(kd_requests(spark, sf_dir), wide_history(spark, sf_dir))
     return ranking.by_material_and_volume(found)
 
 
@@ -404,13 +409,13 @@ def graded_requests(spark, sf_dir):
 
 @query
 def kd_distribution_by_grade(spark, sf_dir):
-    return mix.kd_distribution(graded_requests(spark, sf_dir), split_history(spark, sf_dir))
+    return mix.kd_distribution(graded_requests(spark, sf_dir), wide_history(spark, sf_dir))
 
 
 @query
 def kd_distribution_by_thickness(spark, sf_dir):
     """Requests that give any of thickness, grade, species and plant: one for each of the orders' own attributes."""
-    past = stage(split_history(spark, sf_dir), "history")
+    past = stage(wide_history(spark, sf_dir), "history")
     given = {"thickness": "Input_Thickness", "grade": "Input_Grade", "species": "Input_Specie", "plant": "Input_Plant"}
     # which filters a request gives follows from its thickness and plant, so that every pattern occurs
     pattern = F.pmod(F.floor("Input_Thickness") + F.length("Input_Plant"), F.lit(16)).cast("int")
@@ -430,7 +435,7 @@ def kd_distribution_by_thickness(spark, sf_dir):
 @query
 def kd_wastage_allocation(spark, sf_dir):
     requests = kd_requests(spark, sf_dir)
-    allocated = mix.allocate_with_wastage(requests, mix.kd_distribution(requests, split_history(spark, sf_dir)))
+    allocated = mix.allocate_with_wastage(requests, mix.kd_distribution(requests, wide_history(spark, sf_dir)))
     return allocated.select(
         "request_id", "Output_Material", "Output_Grade", "Percentage", "wastage_bf", "available_bf",
         "Expected_Output_BF", "total_expected_bf",
@@ -454,7 +459,7 @@ def kd_totals_from_history(spark, sf_dir):
 @query
 def kd_lookup(spark, sf_dir):
     found = mix.kd_lookup(
-        kd_requests(spark, sf_dir), split_history(spark, sf_dir),
+        kd_requests(spark, sf_dir), wide_history(spark, sf_dir),
         ledger_261(spark, sf_dir), ledger_101(spark, sf_dir),
     )
     return found.select(
@@ -479,7 +484,7 @@ def selected_outputs(spark, sf_dir, rows):
 def production_order(spark, sf_dir):
     requests = kd_requests(spark, sf_dir)
     rows = stage(
-        mix.allocate_with_wastage(requests, mix.kd_distribution(requests, split_history(spark, sf_dir))), "allocation"
+        mix.allocate_with_wastage(requests, mix.kd_distribution(requests, wide_history(spark, sf_dir))), "allocation"
     )
     order = mix.production_order(rows, selected_outputs(spark, sf_dir, rows))
     return rounded(order, 2, "selected_bf", "selected_pct").select(
@@ -506,7 +511,7 @@ def forward_by_contribution(spark, sf_dir):
 def allocation_by_expected_volume(spark, sf_dir):
     """The rows of the allocations, the largest expected volume first."""
     requests = kd_requests(spark, sf_dir)
-    allocated = mix.allocate_with_wastage(requests, mix.kd_distribution(requests, split_history(spark, sf_dir)))
+    allocated = mix.allocate_with_wastage(requests, mix.kd_distribution(requests, wide_history(spark, sf_dir)))
     return ranking.by_expected_volume(allocated.select("request_id", "Output_Material", "Output_Grade", "Expected_Output_BF"))
 
 
@@ -548,12 +553,12 @@ def advanced_forward(spark, sf_dir):
 
 @query
 def encoders(spark, sf_dir):
-    return encode.fit_encoders(split_history(spark, sf_dir))
+    return encode.fit_encoders(wide_history(spark, sf_dir))
 
 
 @query
 def encoder_classes(spark, sf_dir):
-    return encode.encoder_classes(encode.fit_encoders(split_history(spark, sf_dir))).withColumn(
+    return encode.encoder_classes(encode.fit_encoders(wide_history(spark, sf_dir))).withColumn(
         "classes", joined_text("classes")
     )
 

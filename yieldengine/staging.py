@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +26,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 _staged: list[str] = []
+_tables: list[str] = []
 
 
 def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
@@ -35,9 +38,35 @@ def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> Data
     return (reader or spark).read.schema(df.schema).parquet(path)
 
 
+def stage_clustered(parts: dict[str, DataFrame], *keys: str) -> list[DataFrame]:
+    """Like `stage`, but as tables in as many buckets by `keys` as a shuffle has partitions; all are written at the same time.
+
+    Joins and groupings by the keys, or by more columns beside them, then need no exchange, however often a table is
+    read. A bucket is written and read by one task, so the rows must already be aggregated by the keys: a key may
+    have as many rows as it has groups (materials and plants of an order), not as it has ledger lines.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = checkpoint_root(spark)
+
+    def written(label: str, df: DataFrame) -> DataFrame:
+        name = f"{label}_{uuid.uuid4().hex}"
+        # a task per bucket, so a file per bucket; Spark drops this exchange where the aggregate has left the rows that way
+        by_key = df.repartition(buckets, *keys)
+        by_key.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{root}/{name}").format("parquet").saveAsTable(name)
+        _staged.append(f"{root}/{name}")
+        _tables.append(name)
+        return spark.table(name)
+
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(written), parts, parts.values()))
+
+
 def remove_staged(spark: SparkSession) -> None:
     """Remove the tables staged so far by this process; call it once a run's results are written."""
     jvm = spark.sparkContext._jvm
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _staged:
         path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
