@@ -300,3 +300,12 @@ def test_reputation_shrinks_small_hosts_and_blocks_bad_ones(spark):
     got = urls.judge_urls(table, spark.createDataFrame(outcomes, "page_id long, bad int"), rules=()).collect()
     verdicts = {r["host"].split(".")[0]: r["verdict"] for r in got}
     assert verdicts["bad"] == "block" and verdicts["good"] == "allow" and verdicts["new"] == "allow"
+
+
+@pytest.mark.parametrize("mask", [[], [0, 0], [1], [1, 1, 0], [0, 1, 1, 0, 1], [1, 0, 1]])
+def test_masked_spans_are_the_runs_of_the_mask(mask):
+    starts, ends = np.arange(len(mask)) * 3, np.arange(len(mask)) * 3 + 2
+    covered = {i for first, last in chat.masked_spans(starts, ends, np.array(mask, dtype=bool)) for i in range(first // 3, last // 3 + 1)}
+    assert covered == {i for i, m in enumerate(mask) if m}
+    spans = chat.masked_spans(starts, ends, np.array(mask, dtype=bool))
+    assert all(a[1] < b[0] - 1 for a, b in zip(spans, spans[1:]))

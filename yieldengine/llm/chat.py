@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,27 @@ def _tokenizer(path: str) -> Tokenizer:
 
 FIELDS = (
     "conv_id long, part long, formatted string, input_ids array<int>, token_starts array<int>, token_ends array<int>, "
-    "loss_mask array<boolean>, turns array<struct<role_start:int,role_end:int,text_start:int,text_end:int>>"
+    "loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>, "
+    "turns array<struct<role_start:int,role_end:int,text_start:int,text_end:int>>"
 )
+SPAN, TURN = ("start", "end"), ("role_start", "role_end", "text_start", "text_end")
+
+
+def masked_spans(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """(start, end) in characters of every run of tokens under the mask."""
+    step = np.flatnonzero(np.diff(mask, prepend=False, append=False))
+    return np.stack([starts[step[::2]], ends[step[1::2] - 1]], axis=1)
+
+
+def _lists(parts: list[np.ndarray], names: tuple[str, ...] = ()) -> pa.ListArray:
+    """One list per part, of values or (with names) of structs from the columns of the part."""
+    borders = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) for p in parts], out=borders[1:])
+    values = np.concatenate(parts)
+    if names:
+        columns = [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(names))]
+        return pa.ListArray.from_arrays(borders, pa.StructArray.from_arrays(columns, list(names)))
+    return pa.ListArray.from_arrays(borders, pa.array(values))
 
 
 def _formatted(vocabulary: str, learned: str):
@@ -110,18 +130,23 @@ def _formatted(vocabulary: str, learned: str):
             number, turns, size = number + 1, [], 0
 
         def flush():
-            encodings = [tool.encode(p[2], add_special_tokens=False) for p in pending]
-            offsets = [np.array(e.offsets, dtype=np.int64).reshape(-1, 2).T for e in encodings]
-            masks = [loss_mask(o[0], o[1], p[4]) for o, p in zip(offsets, pending)]
-            rows = list(zip(*[(p[0], p[1], p[2], e.ids, o[0].tolist(), o[1].tolist(), m.tolist(),
-                               [dict(zip(("role_start", "role_end", "text_start", "text_end"), s)) for s in p[3]])
-                              for p, e, o, m in zip(pending, encodings, offsets, masks)]))
-            ints, place = pa.list_(pa.int32()), pa.int32()
-            turn = pa.struct([(n, place) for n in ("role_start", "role_end", "text_start", "text_end")])
-            types = (pa.int64(), pa.int64(), pa.string(), ints, ints, ints, pa.list_(pa.bool_()), pa.list_(turn))
+            ids, starts, ends, masks, spans = [], [], [], [], []
+            for _, _, text, _, loss in pending:
+                encoding = tool.encode(text, add_special_tokens=False)
+                ids.append(np.array(encoding.ids, dtype=np.int32))
+                offsets = np.fromiter(chain.from_iterable(encoding.offsets), dtype=np.int32).reshape(-1, 2)
+                starts.append(offsets[:, 0])
+                ends.append(offsets[:, 1])
+                masks.append(loss_mask(starts[-1], ends[-1], loss))
+                spans.append(masked_spans(starts[-1], ends[-1], masks[-1]))
+            done = [
+                pa.array([p[0] for p in pending], pa.int64()), pa.array([p[1] for p in pending], pa.int64()),
+                pa.array([p[2] for p in pending], pa.string()), _lists(ids), _lists(starts), _lists(ends), _lists(masks),
+                _lists(spans, SPAN), _lists([np.array(p[3], dtype=np.int32) for p in pending], TURN),
+            ]
             pending.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=[
-                "conv_id", "part", "formatted", "input_ids", "token_starts", "token_ends", "loss_mask", "turns"])
+            return pa.RecordBatch.from_arrays(done, names=[
+                "conv_id", "part", "formatted", "input_ids", "token_starts", "token_ends", "loss_mask", "loss_spans", "turns"])
 
         for batch in batches:
             for conversation, role, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -144,7 +169,8 @@ def _formatted(vocabulary: str, learned: str):
 
 def format_conversations(conversations: DataFrame, vocabulary: str, learned: str = "assistant") -> DataFrame:
     """One row per part of a conversation (most have one), `part` in order: the formatted text, its token ids with
-    their character spans, the loss mask (tokens of the texts of role `learned`), and the spans of roles and texts.
+    their character spans, the loss mask (tokens of the texts of role `learned`), the character spans of the runs of tokens
+    under it, and the spans of roles and texts.
 
     Turns go by turn (null first), then role, then text, so ties and repeated rows have a fixed order and all stay. Null
     roles and texts are empty; a null conv_id is one conversation. An empty assistant text has no token under the loss.
@@ -191,10 +217,8 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[0] += 1
                 state[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
             # the runs of tokens under the loss; a control token ends a run
-            mask = np.array([False, *row["loss_mask"], False])
-            step = np.flatnonzero(mask[1:] != mask[:-1])
-            for first, last in zip(step[::2].tolist(), step[1::2].tolist()):
-                learned = unescape(text[row["token_starts"][first] : row["token_ends"][last - 1]])
+            for span in row["loss_spans"]:
+                learned = unescape(text[span["start"] : span["end"]])
                 state[2] += len(learned)
                 state[3].update(learned.encode())
             state[4] += len(text)
@@ -211,7 +235,7 @@ def digest_conversations(parts: DataFrame) -> DataFrame:
     A digest of one conversation is sequential; it streams through its parts in constant memory.
     """
     return (
-        parts.select("conv_id", "part", "formatted", "token_starts", "token_ends", "loss_mask")
+        parts.select("conv_id", "part", "formatted", "loss_spans")
         .repartition("conv_id").sortWithinPartitions("conv_id", "part")
         .mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                                "formatted_chars long")
