@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import components, local_alignment
 from yieldengine.llm import decontaminate, setjoin
@@ -56,6 +57,20 @@ def test_blocks_of_lists_lose_no_link(spark, corpus, monkeypatch):
     assert result(spark, corpus) == components(corpus)
 
 
+def test_copies_of_a_hot_set_lose_no_link(spark, corpus, monkeypatch):
+    monkeypatch.setattr(setjoin, "SHARE", 3)
+    assert result(spark, corpus) == components(corpus)
+
+
+def test_bitmap_grows_with_its_members(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "LEAST_BITS", 1 << 15)
+    prints = spark.range(5000).select(((F.col("id") - 2500) * 7_919_000_017).alias("print"))
+    for rows, bits in ((10, 1 << 15), (5000, 1 << 17)):
+        found = np.unpackbits(np.frombuffer(setjoin._bitmap(prints, "print", rows), dtype=np.uint8), bitorder="little")
+        assert len(found) == bits
+        assert set(np.flatnonzero(found)) == {r["print"] % bits for r in prints.collect()}
+
+
 def test_any_boundary_gives_the_same_links(spark, corpus, monkeypatch):
     for boundary in (0, 40):
         monkeypatch.setattr(setjoin, "_light_boundary", lambda sizes, length, b=boundary: b)

@@ -266,23 +266,26 @@ def _sets(wanted):
     return run
 
 
-BITMAP_BITS = 1 << 23
+#: Bits of the bitmap: SPARE for each fingerprint, within these bounds (1 MB and 32 MB).
+LEAST_BITS, MOST_BITS, SPARE = 1 << 23, 1 << 28, 16
 
 
-def _bitmap(prints: DataFrame, column: str) -> bytes:
-    """A bitmap of fixed size (1 MB) over the fingerprints of a column; a fuller one only spares less work."""
+def _bitmap(prints: DataFrame, column: str, rows: int) -> bytes:
+    """A bitmap over the (at most `rows`) fingerprints of a column. It grows with them up to MOST_BITS, 16 million at
+    SPARE bits each; one that is fuller spares less work and changes no result."""
+    bits = min(max(1 << (SPARE * rows).bit_length(), LEAST_BITS), MOST_BITS)
     size = 32_768  # bits of one bitmap of the aggregate
-    at = F.pmod(F.col(column), F.lit(BITMAP_BITS))
-    rows = (
+    at = F.pmod(F.col(column), F.lit(bits))
+    found = (
         prints.select(at.alias("at"))
         .groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
         .collect()
     )
-    out = bytearray(BITMAP_BITS // 8)
-    for row in rows:
-        at = (row["bucket"] - 1) * size // 8
-        out[at : at + size // 8] = bytes(row["bits"]).ljust(size // 8, b"\0")
+    out = bytearray(bits // 8)
+    for row in found:
+        first = (row["bucket"] - 1) * size // 8
+        out[first : first + size // 8] = bytes(row["bits"]).ljust(size // 8, b"\0")
     return bytes(out)
 
 
@@ -308,20 +311,38 @@ def _plausible(pairs: DataFrame, fronts: DataFrame, boundary: int) -> DataFrame:
     )
 
 
+#: Pairs of one set that are compared with one copy of it.
+SHARE = 256
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets reach the threshold, by exact intersection of the shingle arrays.
 
     The sets are made again from the texts, for the pairs' members only, and dealt out by fingerprint once for both
-    sides of the pairs; keeping every document's set instead would take several times the input.
+    sides of the pairs; keeping every document's set instead would take several times the input. A set with more than
+    SHARE pairs (the origin of a large group of copies) is dealt out in a copy for each SHARE of them, so no task has
+    all; that is at most two copies for SHARE pairs.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(ends, "print"))
+    wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(ends, "print", 2 * pairs.count()))
     sets = texts.mapInArrow(_sets(wanted), "print long, shingles array<long>").dropDuplicates(["print"])
     left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"))
+    shares = stage(
+        pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > SHARE)
+        .select("a", F.ceil(F.col("m") / SHARE).cast("int").alias("copies")),
+        "shingle-shares",
+    )
+    dealt = pairs.join(shares, "a", "left")
+    few = dealt.where("copies is null").select("a", "b").join(right, "b").join(left, "a")
+    many = (
+        dealt.where("copies is not null").select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"))
+        .join(right, "b")
+        .join(left.join(shares, "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))), ["a", "copy"])
+    )
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(right, "b").join(left, "a")
+        few.select("a", "b", "x", "y").unionByName(many.select("a", "b", "x", "y"))
         .where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
