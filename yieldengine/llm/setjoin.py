@@ -321,28 +321,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     The sets are made again from the texts, for the pairs' members only, and dealt out by fingerprint once for both
     sides of the pairs; keeping every document's set instead would take several times the input. A set with more than
     SHARE pairs (the origin of a large group of copies) is dealt out in a copy for each SHARE of them, so no task has
-    all; that is at most two copies for SHARE pairs.
+    all; that is at most four copies for SHARE pairs.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("print"))
     wanted = texts.sparkSession.sparkContext.broadcast(_bitmap(ends, "print", 2 * pairs.count()))
-    sets = texts.mapInArrow(_sets(wanted), "print long, shingles array<long>").dropDuplicates(["print"])
-    left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"))
     shares = stage(
-        pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > SHARE)
-        .select("a", F.ceil(F.col("m") / SHARE).cast("int").alias("copies")),
+        ends.groupBy("print").agg(F.count("*").alias("m")).where(F.col("m") > SHARE)
+        .select("print", F.ceil(F.col("m") / SHARE).cast("int").alias("copies")),
         "shingle-shares",
     )
-    dealt = pairs.join(shares, "a", "left")
-    few = dealt.where("copies is null").select("a", "b").join(right, "b").join(left, "a")
-    many = (
-        dealt.where("copies is not null").select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"))
-        .join(right, "b")
-        .join(left.join(shares, "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))), ["a", "copy"])
+    sets = (
+        texts.mapInArrow(_sets(wanted), "print long, shingles array<long>").join(shares, "print", "left")
+        .select("print", "shingles", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+        .dropDuplicates(["print", "copy"])
     )
+
+    def side(name: str, copy: str, shingles: str) -> DataFrame:
+        return sets.select(F.col("print").alias(name), F.col("copy").alias(copy), F.col("shingles").alias(shingles))
+
+    def dealt(rows: DataFrame, name: str, other: str, copy: str) -> DataFrame:
+        of = shares.withColumnRenamed("print", name)
+        at = F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")
+        return rows.join(of, name, "left").withColumn(copy, at).drop("copies")
+
     both = F.size(F.array_intersect("x", "y"))
     return (
-        few.select("a", "b", "x", "y").unionByName(many.select("a", "b", "x", "y"))
+        dealt(dealt(pairs, "a", "b", "i"), "b", "a", "j")
+        .join(side("b", "j", "y"), ["b", "j"]).join(side("a", "i", "x"), ["a", "i"])
         .where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
