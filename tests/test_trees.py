@@ -89,6 +89,19 @@ def test_levels_and_subtrees_grow_the_same_trees(signal, monkeypatch):
                 assert s.value == pytest.approx(t.value, abs=1e-9) and s.gain == pytest.approx(t.gain, abs=1e-6)
 
 
+def test_a_level_and_the_subtrees_of_a_round_are_a_job_each(signal, monkeypatch):
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 300)
+    model, context = boosted(trees=4, growth=Growth(3, 3, 5)), signal.sparkSession.sparkContext
+    table = trees.training_table(signal, FEATURES, trees.bin_edges(signal, FEATURES, 64), model.base)
+    context.setJobGroup("rounds", "rounds of boosting")
+    try:
+        trees.train(table, [model])
+        jobs = len(context.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.done) == 4 and 4 * 2 <= jobs <= 4 * 5  # levels of the nodes and of the leaves, and the subtrees
+
+
 def test_folds_in_shared_passes_equal_separate_fits(signal):
     together = [boosted(), boosted(leave_out=(-1, 1)), boosted(growth=Growth(3, l2=1.0, tree_columns=2), seed=7)]
     alone = [boosted(), boosted(leave_out=(-1, 1)), boosted(growth=Growth(3, l2=1.0, tree_columns=2), seed=7)]
