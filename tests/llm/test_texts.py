@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from yieldengine.llm import chat, packing, pagetext, pieces, units, urls
+from yieldengine.llm import chat, packing, pagetext, pieces, queries, units, urls
 from yieldengine.llm.queries import model_file
 
 PARTS = ["a", "the", " ", "  ", "\n", "\t", "é", "①", "▁", "ing", "x" * 30, "\x00", "日本", " " * 15, " " * 31, "漢", "😀",
@@ -258,6 +258,17 @@ def test_repeats_are_found_over_the_whole_host_however_it_is_dealt(spark):
     assert repeats[1, True] == repeats[7, True] == repeats[43, True] == {n: 0 if n == 60 else 20 for n in expected}
 
 
+def test_the_query_counts_repeats_on_pages_with_an_article_too(spark, tmp_path):
+    notice = " ".join(f"n{i}" for i in range(12))
+    rows = [page(f"<article><p>{notice}</p><p>own{n}</p></article>", number=n) for n in range(3)]
+    rows.append(page("<article><p>alone here</p></article>", "k.example.com", 9))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op8_page_text(spark, str(tmp_path)).collect()
+    assert {r["page_id"]: (r["text"], r["repeated_tokens"]) for r in got} == {
+        **{n: (f"{notice}\nown{n}", 12) for n in range(3)}, 9: ("alone here", 0),
+    }
+
+
 def test_windows_do_not_depend_on_groups(monkeypatch):
     draw = random.Random(5)
     made = [f"<p>{' '.join(draw.choice('ab') + str(draw.randrange(2)) for _ in range(60))}</p>" for _ in range(12)]

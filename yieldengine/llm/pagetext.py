@@ -10,7 +10,8 @@ Every window of DEPTH words has a fingerprint of its words and host. A task puts
 a suffix array (prefix doubling) over at most GROUP_TOKENS tokens, so what is repeated there leaves as one row; the
 smallest and largest page of each fingerprint are then taken over all tasks, and the fingerprints with two pages are
 joined back to the pages that hold them. The result depends on the host's pages alone, not on groups or partitions.
-Pages are not shuffled for this where their markup decides, nor windows of hosts on which it always does.
+If repeats need not be counted, pages are not shuffled for this where their markup decides, nor windows of hosts on
+which it always does.
 """
 
 from __future__ import annotations

@@ -69,8 +69,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's main text."""
-    return pagetext.extract_text(_table(spark, sf_dir, "pages"), count_repeats=False).drop("repeated_tokens")
+    """Every page's main text, with the tokens of its blocks in runs that other pages of its host have too."""
+    return pagetext.extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
