@@ -204,3 +204,39 @@ def test_a_writer_that_dies_leaves_the_last_version(spark, tmp_path):
     assert spark.read.parquet(f"{artifacts.current(spark, store)}/t").count() == 1  # kept beside what is new
     assert artifacts.remove_old_versions(spark, store, 1) == [first] and artifacts.committed_versions(spark, store) == [second]
     assert artifacts.current(spark, str(tmp_path / "none")) is None
+
+
+def test_siblings_by_subtraction_grow_the_subtrees_that_sums_do(monkeypatch):
+    draw = np.random.default_rng(5)
+    x = np.minimum(draw.geometric(0.1, (4000, 4)), 40).astype(np.uint16)
+    g = ((x[:, :1] > 3) + 0.2 * (x[:, 1:2] > 9) * (x[:, 2:3] > 2) + draw.normal(size=(4000, 1)) * 0.3)
+    for h, growth in ((np.ones((4000, 1)), Growth(7, 3, 5)), (draw.uniform(0.5, 1, (4000, 1)), Growth(7, min_weight=2.0, l2=1.0, tree_columns=3))):
+        grown = {}
+        for kept in (0, trees.KEPT_CELLS):
+            monkeypatch.setattr(trees, "KEPT_CELLS", kept)
+            grown[kept] = trees.grow_subtree(x, g, h, 1, Task(0, 1, growth))
+        summed, taken = grown.values()
+        assert len(summed["place"]) > 40
+        for name in ("place", "feature", "cut"):
+            assert summed[name].tolist() == taken[name].tolist()
+        assert summed["gain"] == pytest.approx(taken["gain"], abs=1e-8) and summed["sums"] == pytest.approx(taken["sums"])
+        monkeypatch.undo()
+
+
+def test_rows_of_subtrees_travel_without_their_gradients():
+    """A bagged row takes its bins, target and number of draws; classes, scores and gradients are made where it arrives."""
+    n = 2000
+    draw = np.random.default_rng(6)
+    rows = trees.Rows(
+        0, draw.integers(0, 1 << 63, n).astype(np.uint64), draw.integers(0, 256, (n, 8)).astype(np.uint16), draw.normal(size=n), np.ones(n),
+        np.zeros(n, np.int32), np.zeros((n, 7)),
+    )
+    models = [Ensemble(Squared(), Growth(5), 1, bagged=True, base=[0.0]), Ensemble(Softmax(6), Growth(5), 1, base=[0.0] * 6)]
+    growing, tasks = trees.Growing(models), [Task(0, 3, models[0].growth), Task(1, 3, models[1].growth)]
+    for t, most in ((0, 17), (1, 65)):
+        (_, (_, *cells)), = trees._local_rows(growing, tasks, [None, None], [(0, t, 1)], 256)(iter([rows]))
+        assert sum(c.nbytes for c in cells) <= most * len(cells[0])
+        index, *given = growing.drawn(rows, tasks[t])
+        want = trees.grow_subtree(rows.x[index], *growing.sums(*given, tasks[t]), 1, tasks[t])
+        (_, told), = trees._subtrees(growing, tasks, [(t, 1)])(iter([(0, (0, *cells))]))
+        assert told["feature"].tolist() == want["feature"].tolist() and told["sums"] == pytest.approx(want["sums"])
