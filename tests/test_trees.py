@@ -212,8 +212,9 @@ def test_siblings_by_subtraction_grow_the_subtrees_that_sums_do(monkeypatch):
     g = ((x[:, :1] > 3) + 0.2 * (x[:, 1:2] > 9) * (x[:, 2:3] > 2) + draw.normal(size=(4000, 1)) * 0.3)
     for h, growth in ((np.ones((4000, 1)), Growth(7, 3, 5)), (draw.uniform(0.5, 1, (4000, 1)), Growth(7, min_weight=2.0, l2=1.0, tree_columns=3))):
         grown = {}
-        for kept in (0, trees.KEPT_CELLS):
+        for kept in (0, 1 << 18):
             monkeypatch.setattr(trees, "KEPT_CELLS", kept)
+            monkeypatch.setattr(trees, "SUMMED_ROWS", 0)
             grown[kept] = trees.grow_subtree(x, g, h, 1, Task(0, 1, growth))
         summed, taken = grown.values()
         assert len(summed["place"]) > 40
