@@ -241,3 +241,77 @@ def test_rows_of_subtrees_travel_without_their_gradients():
         want = trees.grow_subtree(rows.x[index], *growing.sums(*given, tasks[t]), 1, tasks[t])
         (_, told), = trees._subtrees(growing, tasks, [(t, 1)])(iter([(0, (0, *cells))]))
         assert told["feature"].tolist() == want["feature"].tolist() and told["sums"] == pytest.approx(want["sums"])
+
+
+def test_drawn_features_are_summed_alone_and_split_alike(monkeypatch):
+    """A node that may be split on two of eight features has its rows summed for those two, with the same tree as before."""
+    draw = np.random.default_rng(9)
+    x = np.minimum(draw.geometric(0.05, (20000, 8)), 200).astype(np.uint8)
+    y = 2.0 * (x[:, 0] > 9) + (x[:, 3] > 20) * (x[:, 5] > 4) + draw.normal(size=20000)
+    w = 1.0 + draw.poisson(1, 20000)
+    task = Task(0, 4, Growth(9, 2, 5, node_columns=2))
+    summed, by_cell = [], trees._by_cell
+    monkeypatch.setattr(trees, "_by_cell", lambda sums, cell, size: summed.append(len(cell)) or by_cell(sums, cell, size))
+    grown, asked = {}, {}
+    for bound in (1 << 30, 500):
+        monkeypatch.setattr(trees, "PICKED_ROWS", bound)
+        summed.clear()
+        grown[bound] = trees.grow_subtree(x, (y * w)[:, None], w[:, None], 1, task)
+        asked[bound] = max(summed), sum(summed)
+    whole, picked = grown.values()
+    assert len(whole["place"]) > 100 and asked[500][0] == 20000 and asked[500][1] <= (3 * 9 + 1) * 20000
+    for name in ("place", "feature", "cut"):
+        assert whole[name].tolist() == picked[name].tolist()
+    assert whole["gain"] == pytest.approx(picked["gain"], abs=1e-6) and whole["sums"] == pytest.approx(picked["sums"])
+
+
+def test_votes_of_many_rows_are_summed_without_a_column_a_class(monkeypatch):
+    draw = np.random.default_rng(10)
+    x = np.minimum(draw.geometric(0.05, (9000, 6)), 200).astype(np.uint8)
+    y = (draw.integers(0, 4, 9000) + (x[:, 0] > 9) * 1.0) % 5
+    y[:7] = [-1.0, 5.0, 2.5, np.nan, 7.0, 0.0, 4.0]  # of no class, but rows all the same
+    w = draw.uniform(0.5, 2, 9000) * (1 + draw.poisson(1, 9000))
+    for node_columns in (2, None):
+        model = Ensemble(Votes(5), Growth(8, 2, 5, node_columns=node_columns), 1, bagged=True, weighted=True, base=[0.0] * 5)
+        growing, task, grown = trees.Growing([model]), Task(0, 4, model.growth), []
+        for bound in (1 << 30, 500):
+            monkeypatch.setattr(trees, "PICKED_ROWS", bound)
+            sums = growing.subtree_sums(y, w, np.zeros((9000, 0)), task)
+            assert isinstance(sums[0], trees.Shares) == (bound == 500)
+            grown.append(trees.grow_subtree(x, *sums, 1, task))
+        assert len(grown[0]["place"]) > 60
+        for name in ("place", "feature", "cut"):
+            assert grown[0][name].tolist() == grown[1][name].tolist()
+        assert grown[0]["sums"] == pytest.approx(grown[1]["sums"])
+
+
+def test_models_of_one_seed_draw_the_rows_once(monkeypatch):
+    n, draw = 500, np.random.default_rng(11)
+    rows = trees.Rows(
+        0, draw.integers(0, 1 << 63, n).astype(np.uint64), np.zeros((n, 2), np.uint16), np.zeros(n), np.ones(n),
+        draw.integers(-1, 4, n).astype(np.int32), np.zeros((n, 4)),
+    )
+    hashed, uniform = [], trees._uniform
+    monkeypatch.setattr(trees, "_uniform", lambda key, seed: hashed.append(seed) or uniform(key, seed))
+    models = [boosted(leave_out=(-1, k)) for k in range(4)] + [Ensemble(Squared(), Growth(3), 2, bagged=True, leave_out=(-1, k)) for k in range(4)]
+    drawn = [m.drawn(rows, 42) for m in models]
+    assert hashed == [42]
+    share = uniform(rows.key, 42)
+    for m, (index, times) in zip(models, drawn):
+        used = ~np.isin(rows.part, m.leave_out)
+        want = np.searchsorted(trees._POISSON, share) if m.bagged else (share < 0.8).astype(int)
+        assert index.tolist() == np.flatnonzero(used & (want > 0)).tolist() and times.tolist() == want[index].tolist()
+
+
+def test_large_nodes_of_enough_trees_are_grown_in_one_job(signal, monkeypatch):
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 800)
+    context = signal.sparkSession.sparkContext
+    model = Ensemble(Squared(), Growth(6, 2, 5, node_columns=2), context.defaultParallelism, bagged=True, base=[0.0], leave_out=(-1,))
+    table = trees.training_table(signal, FEATURES, trees.bin_edges(signal, FEATURES, 64), model.base)
+    context.setJobGroup("forest", "a forest")
+    try:
+        trees.train(table, [model])
+        jobs = len(context.statusTracker().getJobIdsForGroup("forest"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1 and len(model.done) == context.defaultParallelism and all(len(t.place) > 20 for t in model.done)
