@@ -1,4 +1,6 @@
 import json
+import threading
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -135,6 +137,16 @@ def trained(spark, data_dir):
     return data, regression.train_yield_models(data.history, data.encoders, SMALL, years=["2024", "2025"])
 
 
+def test_spreads_of_materials_are_found_beside_the_fits(trained, monkeypatch):
+    data, before = trained
+    started, found, spreads, fits = threading.Event(), [], regression.material_yield_stats, regression.fit_all
+    monkeypatch.setattr(regression, "material_yield_stats", lambda rows: started.set() or spreads(rows))
+    monkeypatch.setattr(regression, "fit_all", lambda *given: found.append(started.wait(60)) or fits(*given))
+    again = regression.train_yield_models(data.history, data.encoders, replace(SMALL, models=("Ridge",)))
+    assert found == [True]
+    assert sorted(map(tuple, again.stats.collect())) == sorted(map(tuple, before.stats.collect()))
+
+
 def test_prepared_history(trained):
     data, _ = trained
     assert data.inputs.count() == 300 and 250 < data.history.count() < 300

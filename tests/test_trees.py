@@ -315,3 +315,16 @@ def test_large_nodes_of_enough_trees_are_grown_in_one_job(signal, monkeypatch):
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert jobs == 1 and len(model.done) == context.defaultParallelism and all(len(t.place) > 20 for t in model.done)
+
+
+def test_blocks_keep_few_bins_in_a_byte_and_residuals_alone_travel(signal):
+    model = boosted()
+    for bins, width in ((64, 1), (1000, 2)):
+        table = trees.training_table(signal, FEATURES, trees.bin_edges(signal, FEATURES, bins), model.base)
+        assert {(rows.x.dtype.itemsize, rows.x.shape[1]) for rows in table.rows.collect()} == {(width, 4)}
+    (rows, *_), task = table.rows.collect(), Task(0, 3, model.growth)
+    growing = trees.Growing([model])
+    index, y, w, score = growing.drawn(rows, task)
+    assert score.shape == (len(index), 0) and y.tolist() == (rows.y - 91.0)[index].tolist()
+    g, h = growing.sums(y, w, score, task)
+    assert g[:, 0].tolist() == y.tolist() and (h == 1).all()
