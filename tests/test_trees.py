@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -328,3 +330,54 @@ def test_blocks_keep_few_bins_in_a_byte_and_residuals_alone_travel(signal):
     assert score.shape == (len(index), 0) and y.tolist() == (rows.y - 91.0)[index].tolist()
     g, h = growing.sums(y, w, score, task)
     assert g[:, 0].tolist() == y.tolist() and (h == 1).all()
+
+
+def test_of_two_large_siblings_one_is_summed(signal, monkeypatch):
+    """Below the root a level sums the child of fewer rows and takes its sibling from the parent, with the trees that sums of both give."""
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(trees, "SUMMED_ROWS", 0)
+    wanted, histograms = [], trees._part_histograms
+    monkeypatch.setattr(trees, "_part_histograms", lambda growing, tasks, x, big, *rest: wanted.append(list(big)) or histograms(growing, tasks, x, big, *rest))
+    kept = {}
+    for held in (0, 1 << 26):
+        monkeypatch.setattr(trees, "DRIVER_BYTES", held)
+        wanted.clear()
+        models = [boosted(trees=2), boosted(trees=2, seed=7, leave_out=(-1, 1), growth=Growth(4, l2=1.0, min_weight=2.0, tree_columns=3))]
+        grown(signal, *models)
+        kept[held] = models, [len(set(big)) - len({(t, place >> 1) for t, place in big}) for big in wanted]
+    (summed, pairs), (taken, single) = kept.values()
+    assert max(pairs) > 1 and max(single) == 0 and len(pairs) == len(single)
+    for a, b in zip(summed, taken):
+        for s, t in zip(a.done, b.done):
+            assert s.place.tolist() == t.place.tolist() and s.feature.tolist() == t.feature.tolist() and s.cut.tolist() == t.cut.tolist()
+            assert s.value == pytest.approx(t.value, abs=1e-9) and s.gain == pytest.approx(t.gain, abs=1e-6)
+
+
+def test_passes_of_a_round_read_the_drawn_rows_alone(signal):
+    models = [boosted(), boosted(leave_out=(-1, 1)), Ensemble(Softmax(3), Growth(3), 2, leave_out=(-1,), base=[0.0] * 3)]
+    table = trees.training_table(signal, FEATURES, trees.bin_edges(signal, FEATURES, 64), [b for m in models for b in m.base])
+    growing, tasks = trees.Growing(models), [Task(i, 5, m.growth) for i, m in enumerate(models)]
+    for rows in table.rows.collect():
+        for some in (tasks[:2], tasks):
+            kept = growing.round(rows, some)
+            assert len(kept.x) == np.logical_or.reduce([growing.fits(rows, t) for t in some]).sum() < len(rows.x)
+            for task in some:
+                index, *given = growing.drawn(rows, task)
+                own, *told = growing.drawn(kept, task)
+                assert kept.x[own].tolist() == rows.x[index].tolist() and all(a.tolist() == b.tolist() for a, b in zip(given, told))
+
+
+def test_what_a_pass_has_shuffled_is_removed(signal, monkeypatch):
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 300)
+    monkeypatch.setattr(trees, "DRIVER_BYTES", 0)
+    env = signal.sparkSession._jvm.org.apache.spark.SparkEnv.get()
+    table = trees.training_table(signal, FEATURES, trees.bin_edges(signal, FEATURES, 64), [91.0])
+    table.rows.count()
+    shuffled = lambda: {b for b in env.blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, model = shuffled(), boosted(trees=3)
+    trees.train(table, [model])
+    table.rows.count()
+    ends = time.time() + 20
+    while shuffled() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert len(model.done) == 3 and not shuffled() - before
