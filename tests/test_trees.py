@@ -381,3 +381,51 @@ def test_what_a_pass_has_shuffled_is_removed(signal, monkeypatch):
     while shuffled() - before and time.time() < ends:
         time.sleep(0.2)
     assert len(model.done) == 3 and not shuffled() - before
+
+
+def test_a_model_is_stored_and_sent_in_parts(signal, monkeypatch, tmp_path):
+    """No task is sent, no job returns and no task holds more than a part of the trees; scores are the same."""
+    spark, classes = signal.sparkSession, signal.withColumn("y", F.col("k").cast("double"))
+    model = Ensemble(Votes(3), Growth(8, 2, 5, node_columns=2), 12, bagged=True, leave_out=(-1,), base=[0.0] * 3)
+    _, edges = grown(classes, model)
+    own = TreeModel.of(model, FEATURES, edges)
+    told = lambda m: {r["key"]: r["probability"] for r in m.transform(classes).select("key", "probability").collect()}
+    whole = told(own)
+    size = max(cut.nbytes + t.feature.nbytes + t.left.nbytes + t.value.nbytes for t, cut in zip(own.trees, own.thresholds))
+    monkeypatch.setattr(trees, "PART_BYTES", 3 * size)
+    monkeypatch.setattr(trees, "SCORED_ROWS", 700)
+    parts = [[r["tree"] for r in part.select("tree").collect()] for part in own.tables(spark)]
+    assert sum(parts, []) == [-1, *range(12)] and len(parts) > 4 and max(map(len, parts)) < 12
+    own.write(spark, str(tmp_path / "model"))
+    again = TreeModel.from_table(spark.read.parquet(str(tmp_path / "model")))
+    assert told(own) == told(again) == whole
+    assert again.importances == pytest.approx(own.importances)
+    assert all(len(t.value) == (t.feature < 0).sum() for t in again.trees)  # leaves alone have values
+
+
+def test_trees_of_a_pass_are_bounded_by_what_they_shuffle():
+    forest = [Ensemble(Squared(), Growth(15), 200, bagged=True), Ensemble(Votes(6), Growth(15), 200, bagged=True)]
+    wanted = lambda i: [(i, n) for n in range(200)]
+    drawn = 1 - np.exp(-1)
+    for total in (10**4, 10**6, 10**7, 10**9):
+        for i, columns in ((0, 1), (1, 6)):
+            taken = trees._passes(wanted(i), forest, total, 6)
+            most = max(trees.PASS_TABLES * total, 6 * trees.LOCAL_ROWS * trees.FOREST_FACTOR)
+            assert 1 <= taken <= 200 and taken * drawn * total <= most
+            assert taken * min(2 << 15, 2 * total) * columns <= trees.PASS_VALUES
+    assert trees._passes(wanted(0)[:3], forest, 10**4, 6) == 3 and trees._passes(wanted(0), forest, 10**7, 6) == 6
+
+
+def test_the_table_of_scores_is_written_over(signal, monkeypatch, tmp_path):
+    """Boosting keeps the table as it was last written and none before."""
+    from yieldengine import staging
+
+    monkeypatch.setattr(trees, "PENDING", 2)
+    monkeypatch.setattr(staging, "checkpoint_root", lambda spark: str(tmp_path))
+    model = boosted(trees=9, rows=1.0)
+    table, edges = grown(signal, model)
+    kept = [p.name for p in tmp_path.iterdir() if list(p.glob("part-*")) and not list(p.glob("*.parquet"))]
+    assert len(kept) == 1
+    scored = {r["key"]: r["score_0"][0] for r in trees.scores(table, [1]).collect()}
+    told = TreeModel.of(model, FEATURES, edges).transform(signal).select("key", "prediction").collect()
+    assert scored == pytest.approx({r["key"]: r["prediction"] for r in told})
