@@ -429,3 +429,17 @@ def test_the_table_of_scores_is_written_over(signal, monkeypatch, tmp_path):
     scored = {r["key"]: r["score_0"][0] for r in trees.scores(table, [1]).collect()}
     told = TreeModel.of(model, FEATURES, edges).transform(signal).select("key", "prediction").collect()
     assert scored == pytest.approx({r["key"]: r["prediction"] for r in told})
+
+
+def test_what_the_rows_were_shuffled_by_is_removed(signal):
+    env = signal.sparkSession._jvm.org.apache.spark.SparkEnv.get()
+    shuffled = lambda: {b for b in env.blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    edges = trees.bin_edges(signal, FEATURES, 64)
+    before = shuffled()
+    table = trees.training_table(signal.repartition(7), FEATURES, edges, [91.0])
+    own = shuffled() - before
+    trees.train(table, [boosted(trees=1, growth=Growth(1))])
+    ends = time.time() + 20
+    while shuffled() & own and time.time() < ends:
+        time.sleep(0.2)
+    assert own and not shuffled() & own and table.rows.count()
